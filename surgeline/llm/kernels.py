@@ -73,7 +73,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of every n consecutive values."""
     out = np.zeros(max(0, len(words) - n + 1), U)
-    for k in range(n):
+    for k in range(n if len(out) else 0):
         out += words[k : len(words) - n + 1 + k] * U((BASE ** (k + 1)) % (1 << 64))
     return mix(out)
 

@@ -3,18 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surgeline.llm.decontaminate import contamination
+
+    out = contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surgeline.llm.quality_rules import quality_rules
+
+    trusted = _read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return quality_rules(_read(spark, sf_dir, "documents"), trusted).drop("text")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surgeline.llm.jaccard import jaccard_components
 
     return jaccard_components(_read(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
-QUERIES = {"op10_ngram_jaccard": op10_ngram_jaccard}
+QUERIES = {
+    "op2_winnowing": op2_winnowing,
+    "op6_ngram_ratio": op6_ngram_ratio,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
+}
 
 ORACLE_SQL: dict[str, str] = {}
