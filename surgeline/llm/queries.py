@@ -17,6 +17,14 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from surgeline.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surgeline.llm.quality_rules import quality_rules
 
@@ -32,6 +40,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_winnowing": op2_winnowing,
+    "op3_grouping_genetic": op3_grouping_genetic,
     "op6_ngram_ratio": op6_ngram_ratio,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
