@@ -25,6 +25,13 @@ def op3_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surgeline.llm.suffix import remove_repeats
+
+    out = remove_repeats(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surgeline.llm.quality_rules import quality_rules
 
@@ -41,6 +48,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_winnowing": op2_winnowing,
     "op3_grouping_genetic": op3_grouping_genetic,
+    "op4_suffix_array": op4_suffix_array,
     "op6_ngram_ratio": op6_ngram_ratio,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
