@@ -39,6 +39,15 @@ def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"), trusted).drop("text")
 
 
+def op9_bootstrapped_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surgeline.llm.pii import KINDS, find, joined
+
+    out = find(_read(spark, sf_dir, "documents"))
+    base = F.filter("entities", lambda e: e["base"])
+    counts = [F.size(F.filter(base, lambda e, k=k: e["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return out.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("entities")).alias("spans"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surgeline.llm.jaccard import jaccard_components
 
@@ -50,6 +59,7 @@ QUERIES = {
     "op3_grouping_genetic": op3_grouping_genetic,
     "op4_suffix_array": op4_suffix_array,
     "op6_ngram_ratio": op6_ngram_ratio,
+    "op9_bootstrapped_context": op9_bootstrapped_context,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
