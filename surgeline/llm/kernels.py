@@ -91,3 +91,21 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]
         else:
             out.append(np.zeros(0, U))
     return out
+
+
+#: Token classes of a byte: 0 white space, 1 letters, digits and bytes beyond ASCII, 2 the rest.
+TOKEN_CLASS = np.full(256, 2, np.uint8)
+TOKEN_CLASS[[0x20, *range(0x09, 0x0E)]] = 0
+TOKEN_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+
+
+def token_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each token, a run of bytes of one class other than white space, and the first token of each document."""
+    kind = np.zeros(len(data) + 2, np.uint8)
+    kind[1:-1] = TOKEN_CLASS[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offs] = True
+    change = (kind[1:] != kind[:-1]) | cut
+    starts = np.flatnonzero(change & (kind[1:] > 0))
+    ends = np.flatnonzero(change & (kind[:-1] > 0))
+    return span_hash(prefix_hash(data), starts, ends), np.searchsorted(starts, offs)

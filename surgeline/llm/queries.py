@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surgeline.llm.shared import held_out
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -32,6 +34,14 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_bayes_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surgeline.llm.quality_model import classify
+
+    labels = _read(spark, sf_dir, "labels").where(~held_out("doc_id")).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    out = classify(_read(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surgeline.llm.quality_rules import quality_rules
 
@@ -39,6 +49,14 @@ def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"), trusted).drop("text")
 
 
+def op8_random_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surgeline.llm.language import identify
+
+    docs = _read(spark, sf_dir, "documents")
+    out = identify(docs, docs.where(~held_out("doc_id")).select(F.col("doc_id").alias("id"), "text", "lang"))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op9_bootstrapped_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surgeline.llm.pii import KINDS, find, joined
 
@@ -58,7 +76,9 @@ QUERIES = {
     "op2_winnowing": op2_winnowing,
     "op3_grouping_genetic": op3_grouping_genetic,
     "op4_suffix_array": op4_suffix_array,
+    "op5_bayes_support_vectors": op5_bayes_support_vectors,
     "op6_ngram_ratio": op6_ngram_ratio,
+    "op8_random_field": op8_random_field,
     "op9_bootstrapped_context": op9_bootstrapped_context,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
