@@ -20,9 +20,13 @@ SMOOTH, COST, PULL, EPOCHS = 1.0, 1.0, 0.25, 12
 
 
 def indicators(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-    """Sorted distinct cells of each document's unigrams and bigrams of tokens."""
+    """Sorted distinct cells of each document's n-grams of tokens: all unigrams and bigrams, and by their form alone those that say a token three times, next to each other or every second time."""
     tokens, first = K.token_hashes(data, offs)
     pairs = K.gram_hashes(tokens, 2)
+    for apart in (1, 2):
+        if len(tokens) > 2 * apart:
+            thrice = (tokens[: -2 * apart] == tokens[apart:-apart]) & (tokens[: -2 * apart] == tokens[2 * apart :])
+            pairs[: len(thrice)][thrice] = np.uint64(apart)
     one, two = (tokens & np.uint64(CELLS - 1)).astype(np.int32), (pairs & np.uint64(CELLS - 1)).astype(np.int32)
     return [np.unique(np.concatenate([one[a:b], two[a : max(a, b - 1)]])) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
