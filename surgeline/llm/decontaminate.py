@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surgeline.llm.shared import Scratch, maybe_broadcast
+from surgeline.llm.shared import Scratch, maybe_broadcast, whole_row
 
 #: Words of a window, and of the n-grams hashed in it.
 LENGTH, GRAM = 10, 5
@@ -71,24 +71,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Which benchmark items stand in which documents, and how many words they cover.
 
     docs (id, text), benchmark (item_id, text). Returns one row for each document
-    row: id, n_words, n_hit (words inside any occurrence of an item window),
+    row: doc (the row itself), id, n_words, n_hit (words inside any occurrence of an item window),
     n_items, items (sorted item ids as strings), spans (array of start, end word
     positions of the covered stretches, end exclusive), contaminated.
     Null and empty texts have no words and are clean; items without words match
     nothing; a null item_id counts as an item but has no place in the list;
     repeated rows have equal results; repeated items count once each by id.
-    Empty tables give no rows, or clean documents. Other columns are not read.
+    Empty tables give no rows, or clean documents. Other columns only go along in doc.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
+    docs = docs.select(whole_row(docs), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
     # equal items form one class, so that copies of an item aren't matched again and again
     items = benchmark.select("item_id", words_of("text").alias("words")).where(F.size("words") > 0)
     wins = scratch.table(windows(items.select("words").distinct().select(F.xxhash64("words").alias("item_id"), "words")).withColumnRenamed("item_id", "class"))
     classes = scratch.table(items.select(F.xxhash64("words").alias("class"), F.col("item_id").cast("string").alias("item")).distinct())
     lengths = sorted(r[0] for r in wins.select("len").distinct().collect())  # of at most LENGTH values
     if not lengths:
-        return docs.select(F.col("id").alias(id_col), F.size(words_of("text")).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(False).alias("contaminated"))
+        return docs.select("doc", F.col("id").alias(id_col), F.size(words_of("text")).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(False).alias("contaminated"))
     split = docs.select("id", "th", words_of("text").alias("words"))
     # hashes of K words, once for each gram size that a window length asks for
     sizes = sorted({shape(n)[0] for n in lengths})
@@ -125,10 +125,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spans = spans.select("id", "th", F.aggregate("s", none, merged).alias("spans"))
     listed = same.select("id", "th", F.explode("classes").alias("class")).distinct().join(classes, "class").groupBy("id", "th").agg(F.sort_array(F.collect_set("item")).alias("items"), F.count_distinct(F.struct("item")).alias("n_items"))
     got = spans.join(listed, [spans.id.eqNullSafe(listed.id), spans.th == listed.th]).select(spans.id.alias("hid"), spans.th.alias("hth"), "spans", "items", "n_items")
-    out = docs.select("id", "th", F.size(words_of("text")).cast("long").alias("n_words"))
+    out = docs.select("doc", "id", "th", F.size(words_of("text")).cast("long").alias("n_words"))
     out = out.join(maybe_broadcast(scratch.table(got), 20_000), [F.col("id").eqNullSafe(F.col("hid")), F.col("th") == F.col("hth")], "left")
     n_hit = F.aggregate(F.coalesce("spans", none), F.lit(0), lambda a, x: a + x["end"] - x["start"]).cast("long")
     return out.select(
-        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        "doc", F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", none).alias("spans"), (n_hit > 0).alias("contaminated"),
     )

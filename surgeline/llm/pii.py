@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surgeline.llm.shared import Scratch, maybe_broadcast, tune
+from surgeline.llm.shared import Scratch, maybe_broadcast, tune, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 #: Turns of scoring; distinct trusted instances that a pattern needs; share of them; least score of an instance.
@@ -188,7 +188,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     columns, schema = docs.columns, docs.schema
     # the whole row goes along as the id, so that equal ids don't matter
-    found = find(docs.select(F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("id")), "id", "text")
+    found = find(docs.select(F.col(text_col).alias("text"), whole_row(docs).alias("id")), "id", "text")
     at = columns.index(text_col)
     names = (*KINDS, "context")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surgeline.llm.shared import maybe_broadcast
+from surgeline.llm.shared import maybe_broadcast, whole_row
 
 #: Cells of the hashed n-grams (a power of 2); this bounds what reaches the driver.
 BUCKETS = 1 << 14
@@ -82,19 +82,19 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     """Judges every document by its measures and by its likeness to trusted documents.
 
     docs (id, text); trusted (id): ids of documents of the trusted target.
-    Returns one row for each row of docs: id, text, n_words, word_chars, n_symbols,
+    Returns one row for each row of docs: doc (the row itself), id, text, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, score, kept. Words are runs of
     anything but ASCII white space.
     Null or empty texts have no words: they fail the base rules. A text without
     n-grams scores 0. Repeated rows have equal results; a null id is never
     trusted; trusted ids that are in no document do nothing. Without any trusted
     document every score is 0, and the base rules alone decide. A score equal to
-    the threshold stays. Other columns are not read.
+    the threshold stays. Other columns only go along in doc.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    docs = docs.select(whole_row(docs), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     table = F.expr("cast(split('" + ",".join(repr(round(x, 6)) for x in log_ratios(docs, trusted)) + "', ',') as array<double>)")
     out = measures(docs).withColumn("h_", token_hashes("body"))
     out = out.withColumn("cells_", buckets(F.col("h_")))
     score = F.aggregate("cells_", F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.greatest(F.size("cells_"), F.lit(1))
     out = out.withColumn("score", score)
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))
+    return out.select("doc", F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))

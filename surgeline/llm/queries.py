@@ -12,6 +12,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rules of the url filter: the longest that fits wins.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surgeline.llm.urls import judge
+
+    return judge(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surgeline.llm.decontaminate import contamination
 
@@ -46,7 +56,13 @@ def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surgeline.llm.quality_rules import quality_rules
 
     trusted = _read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
-    return quality_rules(_read(spark, sf_dir, "documents"), trusted).drop("text")
+    return quality_rules(_read(spark, sf_dir, "documents"), trusted).drop("doc", "text")
+
+
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surgeline.llm.sentences import remove_spans
+
+    return remove_spans(_read(spark, sf_dir, "documents"))
 
 
 def op8_random_field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +89,13 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_link_graph": op1_link_graph,
     "op2_winnowing": op2_winnowing,
     "op3_grouping_genetic": op3_grouping_genetic,
     "op4_suffix_array": op4_suffix_array,
     "op5_bayes_support_vectors": op5_bayes_support_vectors,
     "op6_ngram_ratio": op6_ngram_ratio,
+    "op7_sentence_spans": op7_sentence_spans,
     "op8_random_field": op8_random_field,
     "op9_bootstrapped_context": op9_bootstrapped_context,
     "op10_ngram_jaccard": op10_ngram_jaccard,

@@ -63,6 +63,11 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def whole_row(df: DataFrame) -> "F.Column":
+    """All columns of df as one, named doc, so that no names clash."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("doc")
+
+
 def held_out(doc_id) -> "F.Column":
     """crc32(doc_id as text) mod 3 = 1; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
