@@ -1,11 +1,82 @@
-"""A corpus pipeline over documents."""
+"""A corpus pipeline over documents: rules, near duplicates, benchmark passages, personal data, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next stage's docs. All but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from surgeline.llm.decontaminate import contamination
+from surgeline.llm.jaccard import jaccard_components
+from surgeline.llm.packing import pack
+from surgeline.llm.pii import redact
+from surgeline.llm.quality_rules import quality_rules
+from surgeline.llm.shared import Scratch
+
+
+def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go; labels name the trusted ones."""
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return quality_rules(docs, trusted).where("kept").select("doc.*")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles with a similarity of 0.8 or more, the document with the smallest id stays; of rows with one id, or none, one. Documents without words stay."""
+    scratch = Scratch(spark, "near-duplicates")
+    columns = docs.columns
+    row = "row_"
+    while row in columns:
+        row += "_"
+    docs = scratch.table(docs.withColumn(row, F.monotonically_increasing_id()))  # rows are told apart, as ids may repeat
+    groups = jaccard_components(docs, words=5, num=80, den=100, id_col=row)
+    groups = scratch.table(groups.select(F.col(row).alias("r"), F.col("component_id").alias("c")))
+    shared = groups.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
+    members = groups.join(shared, "c").join(docs.select(F.col(row).alias("r"), "doc_id"), "r")
+    first = members.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r")).alias("first"))
+    gone = members.join(first, "c").where("r <> first.r").select(F.col("r").alias(row))
+    return docs.join(gone, row, "left_anti").select(*[docs[f"`{c}`"] for c in columns])
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select("doc.*")
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts gives way to its kind, and n_chars follows."""
+    out = redact(docs)
+    if "n_chars" in out.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType))
+    return out
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of at most 2048."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", rule_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("PII", personal_data_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: The packing stage can't be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, one after another."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
