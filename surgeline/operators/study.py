@@ -10,17 +10,22 @@ from surgeline.params import HORIZONS, THRESHOLDS
 
 
 def forward(bench: DataFrame, horizons: dict[str, int] = HORIZONS) -> DataFrame:
-    """bench (universe, session, px) to rows (universe, session, horizon, h, fwd, mdd): the return over the next h sessions and the worst fall from a peak on the way; null where the series ends first."""
+    """bench (universe, session, px) to rows (universe, session, horizon, h, fwd): the return over the next h sessions, null where the series ends first. One window serves all horizons."""
     w = by("universe")
-    fall = F.aggregate("path", F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst")), lambda a, x: F.struct(F.greatest(a["peak"], x).alias("peak"), F.least(a["worst"], x / F.greatest(a["peak"], x) - 1.0).alias("worst")))["worst"]
-    parts = []
-    for name, h in horizons.items():
-        rows = bench.select("universe", "session", F.lit(name).alias("horizon"), F.lit(h).alias("h"), (F.lead("px", h).over(w) / F.col("px") - 1.0).alias("fwd"), F.collect_list("px").over(w.rowsBetween(0, h)).alias("path"))
-        parts.append(rows.select("universe", "session", "horizon", "h", "fwd", F.when(F.size("path") == h + 1, fall).alias("mdd")))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
-    return out
+    cells = F.array(*[F.struct(F.lit(name).alias("horizon"), F.lit(h).alias("h"), (F.lead("px", h).over(w) / F.col("px") - 1.0).alias("fwd")) for name, h in horizons.items()])
+    return bench.select("universe", "session", cells.alias("cells")).select("universe", "session", F.inline("cells"))
+
+
+def drawdowns(rows: DataFrame, bench: DataFrame) -> DataFrame:
+    """rows (universe, session, horizon, h) to (universe, session, horizon, mdd): the worst fall from a peak over the next h sessions; rows whose path the series cuts short have none.
+
+    Only the paths that are asked for are laid out, by an equal join on sessions.
+    """
+    days = rows.select("universe", "session", "horizon", "h", F.explode(F.sequence(F.col("session"), F.col("session") + F.col("h"))).alias("day"))
+    path = days.join(bench.select("universe", F.col("session").alias("day"), "px"), ["universe", "day"])
+    w = Window.partitionBy("universe", "horizon", "session").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    falls = path.select("universe", "session", "horizon", "h", (F.col("px") / F.max("px").over(w) - 1.0).alias("fall"))
+    return falls.groupBy("universe", "session", "horizon", "h").agg(F.min("fall").alias("mdd"), F.count("*").alias("n")).where("n = h + 1").select("universe", "session", "horizon", "mdd")
 
 
 def in_window(comp: DataFrame) -> DataFrame:
@@ -39,17 +44,19 @@ def selections(signal: DataFrame, fwd: DataFrame, thresholds=THRESHOLDS, events_
     """Sessions that count for each threshold and horizon, with their forward return."""
     rows = signal.where("event" if events_only else "true").join(fwd.where("fwd is not null"), ["universe", "session"])
     each = F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: F.col("score") >= t)
-    return rows.select("universe", "session", "horizon", "h", "fwd", "mdd", F.explode(each).alias("threshold"))
+    return rows.select("universe", "session", "horizon", "h", "fwd", F.explode(each).alias("threshold"))
 
 
-def conditional(signal: DataFrame, fwd: DataFrame, thresholds=THRESHOLDS, events_only: bool = True) -> DataFrame:
+def conditional(signal: DataFrame, fwd: DataFrame, bench: DataFrame, thresholds=THRESHOLDS, events_only: bool = True) -> DataFrame:
     """A row for every threshold and horizon, empty ones too: n, win_rate, mean, median, percentiles and the median worst fall."""
     q = lambda p: F.percentile("fwd", F.lit(p))
-    stats = selections(signal, fwd, thresholds, events_only).groupBy("universe", "threshold", "horizon").agg(
+    chosen = selections(signal, fwd, thresholds, events_only)
+    falls = drawdowns(chosen.select("universe", "session", "horizon", "h").distinct(), bench)
+    stats = chosen.join(falls, ["universe", "session", "horizon"], "left").groupBy("universe", "threshold", "horizon").agg(
         F.count("*").alias("n"), F.avg((F.col("fwd") > 0).cast("double")).alias("win_rate"), q(0.5).alias("median_ret"), F.avg("fwd").alias("mean_ret"),
         q(0.10).alias("p10"), q(0.25).alias("p25"), q(0.75).alias("p75"), q(0.90).alias("p90"), F.median("mdd").alias("median_max_dd"),
     )
-    grid = fwd.select("universe", "horizon").distinct().select("universe", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"), "horizon")
+    grid = fwd.groupBy("universe", "horizon").agg(F.first("h")).select("universe", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"), "horizon")
     return grid.join(stats, ["universe", "threshold", "horizon"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

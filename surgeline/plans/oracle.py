@@ -75,8 +75,8 @@ TABLES: dict[str, str] = {
     "sig": "SELECT b.session, lag(c.n_dimensions) OVER (ORDER BY b.session) AS score, coalesce(lag(c.event) OVER (ORDER BY b.session), false) AS event FROM bw b LEFT JOIN cw c ON c.session = b.session",
     "th": "SELECT * FROM (VALUES (1), (2), (3), (4)) AS v(threshold)",
     "cond": """SELECT t.threshold, z.horizon, count(f.fwd) AS n, avg(CASE WHEN f.fwd > 0 THEN 1e0 WHEN f.fwd IS NOT NULL THEN 0e0 END) AS win_rate, quantile_cont(f.fwd, 0.5) AS median_ret, avg(f.fwd) AS mean_ret,
-        quantile_cont(f.fwd, 0.1) AS p10, quantile_cont(f.fwd, 0.25) AS p25, quantile_cont(f.fwd, 0.75) AS p75, quantile_cont(f.fwd, 0.9) AS p90
-        FROM th t CROSS JOIN hz z LEFT JOIN (SELECT s.score, f.horizon, f.fwd FROM sig s JOIN fw f ON f.session = s.session WHERE s.event AND f.fwd IS NOT NULL) f ON f.horizon = z.horizon AND f.score >= t.threshold GROUP BY 1, 2""",
+        quantile_cont(f.fwd, 0.1) AS p10, quantile_cont(f.fwd, 0.25) AS p25, quantile_cont(f.fwd, 0.75) AS p75, quantile_cont(f.fwd, 0.9) AS p90, quantile_cont(f.mdd, 0.5) AS median_max_dd
+        FROM th t CROSS JOIN hz z LEFT JOIN (SELECT s.score, f.horizon, f.fwd, f.mdd FROM sig s JOIN fwd f ON f.session = s.session WHERE s.event AND f.fwd IS NOT NULL) f ON f.horizon = z.horizon AND f.score >= t.threshold GROUP BY 1, 2""",
     "pos": "SELECT horizon, h, fwd, CAST(row_number() OVER (PARTITION BY horizon ORDER BY session) - 1 AS BIGINT) AS i, count(*) OVER (PARTITION BY horizon) AS n FROM fw WHERE fwd IS NOT NULL",
     "blocks": """SELECT horizon, h, n, d.draw, b.b FROM (SELECT DISTINCT horizon, h, n FROM pos) CROSS JOIN (SELECT CAST(range AS BIGINT) AS draw FROM range({draws})) d JOIN (SELECT CAST(range AS BIGINT) AS b FROM range(200)) b ON b.b < greatest(n // {block}, 1)""",
     "x1": "SELECT *, (CAST(12345 AS BIGINT) * 48271 + 42 * 16807 + 7) % 2147483647 AS x FROM blocks",

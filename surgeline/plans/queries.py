@@ -227,22 +227,23 @@ def forward_returns_grid(spark, d):
 
 @query(f"SELECT CAST(session AS BIGINT) AS session, horizon, {r('mdd')} FROM fwd WHERE horizon IN ('1w', '1m', '3m')")
 def forward_max_drawdown(spark, d):
-    return rounded(_study(spark, d, {k: HORIZONS[k] for k in ("1w", "1m", "3m")})[3], "session", "horizon", "mdd")
+    _, bench, _, fwd = _study(spark, d, {k: HORIZONS[k] for k in ("1w", "1m", "3m")})
+    return rounded(fwd.join(E.drawdowns(fwd, bench), ["universe", "session", "horizon"], "left"), "session", "horizon", "mdd")
 
 
-_cond = ["win_rate", "median_ret", "mean_ret", "p10", "p25", "p75", "p90"]
+_cond = ["win_rate", "median_ret", "mean_ret", "p10", "p25", "p75", "p90", "median_max_dd"]
 
 
 @query(f"SELECT CAST(threshold AS BIGINT) AS threshold, horizon, n, {r(*_cond)} FROM cond")
 def conditional_table(spark, d):
-    _, _, signal, fwd = _study(spark, d)
-    return rounded(E.conditional(signal, fwd), "threshold", "horizon", "n", *_cond)
+    _, bench, signal, fwd = _study(spark, d)
+    return rounded(E.conditional(signal, fwd, bench), "threshold", "horizon", "n", *_cond)
 
 
 @query("SELECT s.score AS score, count(*) AS n, round(quantile_cont(f.mdd, 0.5), 6) AS median_max_dd FROM sig s JOIN fwd f ON f.session = s.session WHERE f.horizon = '1m' AND f.mdd IS NOT NULL AND s.score >= 1 GROUP BY 1")
 def drawdown_by_score(spark, d):
-    _, _, signal, fwd = _study(spark, d, {"1m": 21})
-    rows = signal.join(fwd.where("mdd is not null"), ["universe", "session"]).where("score >= 1")
+    _, bench, signal, fwd = _study(spark, d, {"1m": 21})
+    rows = signal.join(E.drawdowns(fwd, bench), ["universe", "session"]).where("score >= 1")
     return rounded(rows.groupBy("score").agg(F.count("*").alias("n"), F.percentile("mdd", F.lit(0.5)).alias("median_max_dd")), "score", "n", "median_max_dd").withColumn("score", F.col("score").cast("int"))
 
 
@@ -256,8 +257,8 @@ def block_bootstrap_baseline(spark, d):
 
 @query(f"SELECT CAST(threshold AS BIGINT) AS threshold, horizon, n, {r('win_lift', 'ret_lift')}, win_beyond_noise, ret_beyond_noise FROM lifted", draws=DRAWS)
 def lift_table(spark, d):
-    _, _, signal, fwd = _study(spark, d)
-    return rounded(E.lift(E.conditional(signal, fwd), E.baseline(fwd, DRAWS)), "threshold", "horizon", "n", "win_lift", "ret_lift", "win_beyond_noise", "ret_beyond_noise")
+    _, bench, signal, fwd = _study(spark, d)
+    return rounded(E.lift(E.conditional(signal, fwd, bench), E.baseline(fwd, DRAWS)), "threshold", "horizon", "n", "win_lift", "ret_lift", "win_beyond_noise", "ret_beyond_noise")
 
 
 def _cluster_rows(spark, d):
@@ -273,14 +274,14 @@ def cluster_count(spark, d):
 
 @query("SELECT CASE WHEN win_beyond_noise AND ret_beyond_noise THEN 'PASS' ELSE 'FAIL' END AS verdict FROM lifted WHERE threshold = 3 AND horizon = '6m'", draws=DRAWS)
 def decision_rule(spark, d):
-    _, _, signal, fwd = _study(spark, d)
-    return E.decision(E.lift(E.conditional(signal, fwd), E.baseline(fwd, DRAWS)), _cluster_rows(spark, d)).select("verdict")
+    _, bench, signal, fwd = _study(spark, d)
+    return E.decision(E.lift(E.conditional(signal, fwd, bench), E.baseline(fwd, DRAWS)), _cluster_rows(spark, d)).select("verdict")
 
 
 @query("SELECT count(*) AS n, round(CASE WHEN count(*) >= 3 THEN corr(a, b) END, 6) AS rho FROM (SELECT rank() OVER (ORDER BY threshold) + 0e0 AS a, rank() OVER (ORDER BY win_lift) + (count(*) OVER (PARTITION BY win_lift) - 1) / 2e0 AS b FROM lifted WHERE horizon = '6m' AND n > 0)", draws=DRAWS)
 def spearman_monotonicity(spark, d):
-    _, _, signal, fwd = _study(spark, d)
-    return rounded(E.monotonic(E.lift(E.conditional(signal, fwd), E.baseline(fwd, DRAWS))), "n", "rho")
+    _, bench, signal, fwd = _study(spark, d)
+    return rounded(E.monotonic(E.lift(E.conditional(signal, fwd, bench), E.baseline(fwd, DRAWS))), "n", "rho")
 
 
 @query("SELECT e.date AS event_date, CAST(e.n_dimensions AS BIGINT) AS n_dimensions, CAST(e.session + 1 AS BIGINT) AS anchor, " + ", ".join(f"round((SELECT px FROM bench WHERE session = e.session + 1 + {h}) / b.px - 1, 6) AS ret_{k}" for k, h in HORIZONS.items()) + ", round((SELECT max_by(px, session) FROM bench) / b.px - 1, 6) AS ret_to_date FROM (SELECT * FROM comp WHERE event AND n_dimensions >= 1 AND session <= 2400 ORDER BY session DESC LIMIT 1) e JOIN bench b ON b.session = e.session + 1")
@@ -301,8 +302,8 @@ def timeline(spark, d):
 
 @query("SELECT CAST(a.threshold AS BIGINT) AS threshold, a.horizon, CAST(b.n - a.n AS BIGINT) AS delta_n, round(b.win_rate - a.win_rate, 6) AS delta_win, (coalesce(abs(b.win_rate - a.win_rate) > 0.02, false) OR coalesce(abs(b.median_ret - a.median_ret) > 0.01, false) OR abs(b.n - a.n) > 2) AS erratum FROM cond a JOIN (SELECT t.threshold, z.horizon, count(f.fwd) AS n, avg(CASE WHEN f.fwd > 0 THEN 1e0 WHEN f.fwd IS NOT NULL THEN 0e0 END) AS win_rate, quantile_cont(f.fwd, 0.5) AS median_ret FROM th t CROSS JOIN hz z LEFT JOIN (SELECT s.score, f.horizon, f.fwd FROM sig s JOIN fw f ON f.session = s.session WHERE s.event AND f.fwd IS NOT NULL AND s.session > 1000) f ON f.horizon = z.horizon AND f.score >= t.threshold GROUP BY 1, 2) b ON b.threshold = a.threshold AND b.horizon = a.horizon")
 def reconcile_windows(spark, d):
-    _, _, signal, fwd = _study(spark, d)
-    return rounded(E.reconcile(E.conditional(signal, fwd), E.conditional(signal.where("session > 1000"), fwd)), "threshold", "horizon", "delta_n", "delta_win", "erratum")
+    _, bench, signal, fwd = _study(spark, d)
+    return rounded(E.reconcile(E.conditional(signal, fwd, bench), E.conditional(signal.where("session > 1000"), fwd, bench)), "threshold", "horizon", "delta_n", "delta_win", "erratum")
 
 
 # stress
