@@ -145,10 +145,14 @@ def repeated(segments: list[bytes], many: list[bool], length: int) -> list[list[
 
 
 def stretches(length: int, gram: int):
-    """Arrow function: (text hash, text) to rows (h, seg, th, start, size, copies). Equal texts in a batch are one row each with their number."""
+    """Arrow function: (text hash, text) to rows (h, seg, th, start, size, copies, sure). Equal texts in a batch are one row each with their number.
+
+    Of a stretch that stands more than once in a batch, one row stands for all; the
+    others are sure to be repeated, so they go anywhere and no anchor gathers them.
+    """
     import pyarrow as pa
 
-    names = ["h", "seg", "th", "start", "size", "copies"]
+    names = ["h", "seg", "th", "start", "size", "copies", "sure"]
 
     def run(batches):
         for batch in batches:
@@ -161,7 +165,17 @@ def stretches(length: int, gram: int):
                 if len(h):
                     parts.append((h.view(np.int64), seg.view(np.int64), np.full(len(h), th[i]), start, size, np.full(len(h), c)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts)], names)
+                h, seg, place, start, size, copies = (np.concatenate(c) for c in zip(*parts))
+                order = np.lexsort((seg, h))
+                new = np.ones(len(h), bool)
+                new[1:] = (h[order][1:] != h[order][:-1]) | (seg[order][1:] != seg[order][:-1])
+                total = np.add.reduceat(copies[order], np.flatnonzero(new))
+                copies[order[new]] = total
+                sure = np.zeros(len(h), bool)
+                sure[order[~new]] = True
+                copies[sure] = 2
+                h[sure] = K.mix((seg[sure] ^ place[sure]).view(U) + start[sure].astype(U)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in (h, seg, place, start, size, copies)], pa.array(sure)], names)
 
     return run
 
@@ -177,10 +191,10 @@ def shared_anchors(batches):
         h, seg, copies = c[0], c[1], c[5]
         lead = np.ones(n, bool)
         lead[1:] = (seg[1:] != seg[:-1]) | (h[1:] != h[:-1])
-        return h, seg, copies, lead
+        return h, seg, copies, lead & ~c[6]
 
     for batch in batches:
-        cols = [batch.column(i).to_numpy() for i in range(6)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
         if not len(cols[0]):
             continue
         before = held
@@ -192,8 +206,8 @@ def shared_anchors(batches):
         same_h[1:n] = h[1:] == h[:-1]
         keep = same_h[:-1] | same_h[1:] | (copies > 1)
         twice = copies > 1
-        twice[:-1] |= ~lead[1:]
-        twice[1:] |= ~lead[1:]
+        twice[:-1] |= ~lead[1:] & ~cols[6][1:]
+        twice[1:] |= ~lead[1:] & ~cols[6][1:]
         if before is not None:
             keep[0] |= before["keep"]
             twice[0] |= before["twice"]
@@ -312,7 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
     kind = docs.schema["id"].dataType.simpleString()
     long = docs.where(F.octet_length("text") >= length)
-    rows = long.select("th", "text").mapInArrow(stretches(length, gram), "h long, seg long, th long, start long, size long, copies long")
+    rows = long.select("th", "text").mapInArrow(stretches(length, gram), "h long, seg long, th long, start long, size long, copies long, sure boolean")
     rows = rows.repartition("h").sortWithinPartitions("h", "seg", "th", "start")
     places = scratch.table(rows.mapInArrow(shared_anchors, "h long, seg long, th long, start long, size long, many boolean, lead boolean"))
     # a stretch's mark for standing twice is complete on its first row
