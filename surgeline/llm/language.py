@@ -19,6 +19,8 @@ from surgeline.llm.shared import maybe_broadcast, text_bytes, tune
 U = np.uint64
 #: Hashed features; documents of a language that are fitted to, and words taken from each.
 CELLS, SAMPLE, SAMPLE_WORDS = 1 << 17, 400, 200
+#: Parts in which a language's documents are ranked first.
+SALTS = 64
 #: Words of a training sequence, and turns of fitting.
 SEQUENCE, TURNS = 50, 60
 UNKNOWN = "und"
@@ -161,8 +163,13 @@ def train(batches):
 
 def fit_model(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Fits to at most sample documents of each language, the first by a hash of their ids. labelled (id, text, lang)."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id"))
-    chosen = labelled.where("lang is not null and id is not null").select("id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank")
+    def first(df: DataFrame, *keys: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.col("id").cast("string")), "id"))
+        return df.withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank")
+
+    # a language may hold most rows: the first of each of SALTS parts, then the first of those
+    rows = labelled.where("lang is not null and id is not null").select("id", "lang", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(1)), F.lit(SALTS)).alias("salt"))
+    chosen = first(first(rows.groupBy("salt", "lang", "id").agg(F.lit(1).alias("one")).drop("one"), "lang", "salt"), "lang").select("id", "lang")
     rows = labelled.join(maybe_broadcast(chosen, 1_000_000), ["id", "lang"]).select("lang", "text")
     got = rows.repartition(1).sortWithinPartitions("lang", F.xxhash64("text")).mapInArrow(train, "names array<string>, weights binary, between binary").collect()
     if not got or not got[0]["names"]:
