@@ -98,3 +98,12 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     score = F.aggregate("cells_", F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.greatest(F.size("cells_"), F.lit(1))
     out = out.withColumn("score", score)
     return out.select("doc", F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))
+
+
+def kept_rows(judged: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep.
+
+    They go through a generator, as a filter would be pushed down and have every
+    measure put into it, again and again for each use.
+    """
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("doc")).otherwise(F.slice(F.array("doc"), 1, 0))).alias("doc")).select("doc.*")
