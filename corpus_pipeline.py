@@ -14,14 +14,14 @@ from surgeline.llm.decontaminate import contamination
 from surgeline.llm.jaccard import jaccard_components
 from surgeline.llm.packing import pack
 from surgeline.llm.pii import redact
-from surgeline.llm.quality_rules import quality_rules
+from surgeline.llm.quality_rules import kept_rows, quality_rules
 from surgeline.llm.shared import Scratch
 
 
 def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; labels name the trusted ones."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("id"))
-    return quality_rules(docs, trusted).where("kept").select("doc.*")
+    return kept_rows(quality_rules(docs, trusted))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
