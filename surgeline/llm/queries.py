@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surgeline.llm.oracle import CONTAMINATION, NEAR_DUPLICATES
 from surgeline.llm.shared import held_out
 
 
@@ -101,4 +102,4 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_winnowing": CONTAMINATION, "op10_ngram_jaccard": NEAR_DUPLICATES}
