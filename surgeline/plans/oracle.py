@@ -122,6 +122,19 @@ TABLES: dict[str, str] = {
     "hflags": "SELECT key, session, n > avg(n) OVER (PARTITION BY key ORDER BY session ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS flag FROM hours",
     "starts2": "SELECT key, session FROM (SELECT *, flag AND NOT coalesce(lag(flag) OVER (PARTITION BY key ORDER BY session), false) AS s FROM hflags) WHERE s",
 }
+#: The same recurrence over eras, each numbered from 1, and over rotations of the tilt.
+TABLES["etilts"] = """SELECT CASE WHEN year(b.date) < 1999 THEN 'early' ELSE 'late' END AS variant, t.delta, t.hold, t.session AS orig, t.tilt,
+    row_number() OVER (PARTITION BY year(b.date) < 1999 ORDER BY t.session) AS session FROM tilts t JOIN bonds b ON b.session = t.session"""
+TABLES["turns"] = """SELECT draw, n, (((x * 48271 + draw * 16807 + 7) % 2147483647) * 48271) % 2147483647 * (n - 1) // 2147483647 + 1 AS k
+    FROM (SELECT (CAST(12345 AS BIGINT) * 48271 + 42 * 16807 + 7) % 2147483647 AS x, (SELECT count(*) FROM cal) AS n) CROSS JOIN (SELECT CAST(range AS BIGINT) AS draw FROM range(20))"""
+TABLES["rtilts"] = "SELECT r.draw AS variant, t.delta, t.hold, (t.session - 1 + r.k) % r.n + 1 AS session, (t.session - 1 + r.k) % r.n + 1 AS orig, t.tilt FROM tilts t CROSS JOIN turns r"
+for x in "er":
+    TABLES[f"{x}legs"] = TABLES["legs"].replace("b.session, least", "t.session, least").replace("WHEN b.session = 1", "WHEN t.session = 1").replace("FROM tilts t JOIN bonds b ON b.session = t.session", f"FROM {x}tilts t JOIN bonds b ON b.session = t.orig")
+    TABLES[f"{x}legs2"] = TABLES["legs2"].replace("FROM legs", f"FROM {x}legs")
+    TABLES[f"{x}sim"] = TABLES["sim"].replace("FROM legs2", f"FROM {x}legs2").replace("FROM sim s JOIN legs2", f"FROM {x}sim s JOIN {x}legs2")
+    TABLES[f"{x}rets"] = TABLES["rets"].replace("FROM sim", f"FROM {x}sim")
+    TABLES[f"{x}met0"] = TABLES["met0"].replace("FROM rets", f"FROM {x}rets")
+    TABLES[f"{x}met"] = TABLES["met"].replace("FROM met0", f"FROM {x}met0")
 TABLES["mwide"] = TABLES["wide"].replace("{panel}", "mpanel")
 TABLES["wide"] = TABLES["wide"].replace("{panel}", "panel")
 TABLES["mdaily"] = TABLES["daily"].replace("JOIN wide w", "JOIN mwide w")
@@ -140,7 +153,7 @@ def sql(final: str, **params) -> str:
                 need.add(name)
                 todo.append(TABLES[name])
     fill = {"draws": 50, "block": 21, "variants": "('V1', 2e-1, 21)"} | params
-    body = ",\n".join(f"{k} AS {'' if k in ('ema', 'sim') else 'MATERIALIZED '}({TABLES[k]})" for k in order if k in need)
+    body = ",\n".join(f"{k} AS {'' if k in ('ema', 'sim', 'esim', 'rsim') else 'MATERIALIZED '}({TABLES[k]})" for k in order if k in need)
     out = f"WITH RECURSIVE {body}\n{final}" if need else final
     for k, v in fill.items():
         out = out.replace("{" + k + "}", str(v))

@@ -452,24 +452,20 @@ def tilt_diagnostics(spark, d):
     return rounded(PF.tilt_stats(_tilts(spark, d, [("V1", 0.2, 21), ("V2", 0.2, 21)]), _KEYS), "variant", "days_tilted", "share_tilted", "n_tilts")
 
 
+@query(f"SELECT variant AS era, {r(*_METRICS)} FROM emet", variants=_values([("V1", 0.2, 21)]))
 def era_split(spark, d):
     """Each era's backtest starts anew."""
     rows = _tilts(spark, d, [("V1", 0.2, 21)]).withColumn("era", F.when(F.year("date") < 1999, "early").otherwise("late"))
     return rounded(PF.metrics(PF.backtest(rows, [*_KEYS, "era"]), [*_KEYS, "era"]), "era", *_METRICS)
 
 
-QUERIES["era_split"] = era_split
-
-
+@query("SELECT " + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {c}_p{n}" for c, q, n in (("sharpe", 0.05, "05"), ("sharpe", 0.5, "50"), ("sharpe", 0.95, "95"), ("cagr", 0.5, "50"), ("cagr", 0.95, "95"))) + " FROM rmet", variants=_values([("V1", 0.2, 21)]))
 def rotation_null(spark, d):
     """Metrics of 20 rotations of the tilt; their distribution is the null."""
     rows = _tilts(spark, d, [("V1", 0.2, 21)]).select("session", "date", "px", "bond_ret", "tilt")
     return rounded(PF.null_points(PF.metrics(PF.backtest(PF.rotations(rows, 20), ["draw"]), ["draw"])), "sharpe_p05", "sharpe_p50", "sharpe_p95", "cagr_p50", "cagr_p95")
 
 
-QUERIES["rotation_null"] = rotation_null
-
-
 # comparisons
 
 
