@@ -18,16 +18,26 @@ def constant_maturity_return(yields: DataFrame, keys: list[str], maturity: int =
     return yields.withColumn("bond_ret", F.coalesce(price - 1.0 + before / 252.0, F.lit(0.0)))
 
 
+def tilts(signal: DataFrame, variants: list[tuple[str, float, int]], keys: list[str]) -> DataFrame:
+    """A row for each variant (variant, delta, hold) and row of signal (keys, session, event, score), with tilt.
+
+    The tilt is delta for hold sessions from each event with score 3 or more (V1),
+    or delta by score up to 4, from 1 (V2). A new event starts anew and never
+    stacks. One window serves all variants.
+    """
+    each = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(float(x)).alias("delta"), F.lit(h).alias("hold")) for v, x, h in variants])
+    rows = signal.select("*", F.inline(each))
+    w = Window.partitionBy(*keys, "variant", "delta", "hold").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.col("variant") == "V1"
+    trig = F.coalesce(F.col("event") & (F.col("score") >= F.when(first, 3).otherwise(1)), F.lit(False))
+    size = F.when(first, F.col("delta")).otherwise(F.col("delta") * (F.least(F.greatest(F.col("score"), F.lit(0)), F.lit(4)) / 4.0))
+    last = F.last(F.when(trig, F.struct(F.col("session").alias("s"), size.alias("x"))), ignorenulls=True).over(w)
+    return rows.withColumn("tilt", F.when(F.col("session") - last["s"] < F.col("hold"), last["x"]).otherwise(0.0))
+
+
 def tilt(signal: DataFrame, variant: str, delta: float, hold: int, keys: list[str]) -> DataFrame:
-    """Adds tilt: delta for hold sessions from each event with score 3 or more (V1), or delta by score up to 4, from 1 (V2). A new event starts anew and never stacks. signal (keys, session, event, score)."""
-    w = Window.partitionBy(*keys).orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
-    if variant == "V1":
-        trig, size = F.col("event") & (F.col("score") >= 3), F.lit(delta)
-    else:
-        trig, size = F.col("event") & (F.col("score") >= 1), delta * (F.least(F.greatest(F.col("score"), F.lit(0)), F.lit(4)) / 4.0)
-    trig = F.coalesce(trig, F.lit(False))
-    last = F.last(F.when(trig, F.struct(F.col("session").alias("s"), size.cast("double").alias("x"))), ignorenulls=True).over(w)
-    return signal.withColumn("tilt", F.when(F.col("session") - last["s"] < hold, last["x"]).otherwise(0.0))
+    """The tilt of one variant."""
+    return tilts(signal, [(variant, delta, hold)], keys).drop("variant", "delta", "hold")
 
 
 def backtest(rows: DataFrame, keys: list[str], p: TiltParams = TiltParams()) -> DataFrame:

@@ -409,11 +409,8 @@ def _tilts(spark, d, variants):
     """(universe, variant, delta, hold, session, date, px, bond_ret, tilt) for each variant, on the signal of the session before."""
     w = S.by("universe")
     signal = _comp(spark, d).select("universe", "session", F.lag("event").over(w).alias("event"), F.lag("n_dimensions").over(w).alias("score"))
-    out = None
-    for v, delta, hold in variants:
-        t = PF.tilt(signal, v, delta, hold, ["universe"]).select(F.lit(v).alias("variant"), F.lit(delta).alias("delta"), F.lit(hold).alias("hold"), "universe", "session", "tilt")
-        out = t if out is None else out.union(t)
-    return out.join(F.broadcast(_bonds(spark, d).select("universe", "session", "date", "px", "bond_ret")), ["universe", "session"])
+    rows = PF.tilts(signal, variants, ["universe"]).select("universe", "variant", "delta", "hold", "session", "tilt")
+    return rows.join(F.broadcast(_bonds(spark, d).select("universe", "session", "date", "px", "bond_ret")), ["universe", "session"])
 
 
 _KEYS = ["universe", "variant", "delta", "hold"]
@@ -462,7 +459,7 @@ def era_split(spark, d):
 @query("SELECT " + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {c}_p{n}" for c, q, n in (("sharpe", 0.05, "05"), ("sharpe", 0.5, "50"), ("sharpe", 0.95, "95"), ("cagr", 0.5, "50"), ("cagr", 0.95, "95"))) + " FROM rmet", variants=_values([("V1", 0.2, 21)]))
 def rotation_null(spark, d):
     """Metrics of 20 rotations of the tilt; their distribution is the null."""
-    rows = _tilts(spark, d, [("V1", 0.2, 21)]).select("session", "date", "px", "bond_ret", "tilt")
+    rows = _tilts(spark, d, [("V1", 0.2, 21)]).select("session", "date", "px", "bond_ret", "tilt").persist()
     return rounded(PF.null_points(PF.metrics(PF.backtest(PF.rotations(rows, 20), ["draw"]), ["draw"])), "sharpe_p05", "sharpe_p50", "sharpe_p95", "cagr_p50", "cagr_p95")
 
 
