@@ -39,6 +39,25 @@ class Scheme:
         self.differ = [2 * (b - 1) * (den - num) // (den + num) for b in bounds[1:]]
         self.few = sum(h <= FEW for h in self.differ)  # the first bands
 
+    def least_shared(self, n: int) -> int:
+        """Signatures that a set of n and any larger partner share, but for one pair in 10**9.
+
+        Up to H differences fall into parts by hash, so the number of parts without any
+        is that of empty cells in an occupancy problem; six of its standard
+        deviations, and the parts that either set leaves out, are taken off its mean.
+        """
+        j = int(np.searchsorted(self.bounds, n, "right")) - 1
+        if j < self.few:
+            return 1
+        least = []
+        for h in self.differ[j : j + 2]:
+            spare = -(-(h + 1) * 6 // 100)
+            m = h + 1 + 2 * spare
+            a = h / m
+            deviation = np.sqrt(m * (np.exp(-a) - (1 + a) * np.exp(-2 * a)))
+            least.append(int(m * np.exp(-a) - 6 * deviation - 2 * spare))
+        return max(1, *([1] if not least else [min(least)]))
+
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """Signatures of a sorted shingle set: any two sets within the threshold share one."""
         n = len(s)
@@ -74,8 +93,8 @@ def _node(s: np.ndarray) -> np.uint64:
     return K.mix(np.add.reduce(K.mix(s ^ U(0x5851F42D4C957F2D)), keepdims=True) + U(len(s)))[0]
 
 
-def signature_rows(words: int, num: int, den: int):
-    """Arrow function: (id, text) to (id, n, node, sigs, hubs). In a batch, each signature is listed once, and the other nodes that have it name the one that lists it."""
+def signature_rows(words: int, num: int, den: int, together: int = 1):
+    """Arrow function: (id, text) to (id, n, node, need, sigs, hubs). In a batch, of signatures that more than together nodes have, each signature is listed once, and the other nodes that have it name the one that lists it."""
     import pyarrow as pa
 
     scheme = Scheme(num, den)
@@ -84,12 +103,12 @@ def signature_rows(words: int, num: int, den: int):
         for batch in batches:
             data, offs = text_bytes(batch.column(1))
             n = len(batch)
-            size, node, sigs = np.zeros(n, np.int64), np.zeros(n, U), [np.zeros(0, U)] * n
+            size, node, need, sigs = np.zeros(n, np.int64), np.zeros(n, U), np.ones(n, np.int32), [np.zeros(0, U)] * n
             seen: set[int] = set()
             for i, j in doc_chunks(offs):
                 for k, s in enumerate(K.shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words), i):
                     if size_k := len(s):
-                        size[k], node[k] = size_k, _node(s)
+                        size[k], node[k], need[k] = size_k, _node(s), scheme.least_shared(size_k)
                         if (key := int(node[k])) not in seen:
                             seen.add(key)
                             sigs[k] = np.unique(scheme.signatures(s))
@@ -98,6 +117,8 @@ def signature_rows(words: int, num: int, den: int):
             order = np.argsort(flat, kind="stable")
             new = np.ones(len(flat), bool)
             new[1:] = flat[order][1:] != flat[order][:-1]
+            at = np.flatnonzero(new)
+            new |= np.repeat(np.diff(np.r_[at, len(flat)]) <= together, np.diff(np.r_[at, len(flat)]))
             lead = np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))
             hub, mine = owner[order[lead]], owner[order]
             first = np.sort(order[new])
@@ -105,11 +126,11 @@ def signature_rows(words: int, num: int, den: int):
             hubs = _signed(node)[pairs[1]]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(size), pa.array(_signed(node)),
+                    batch.column(0), pa.array(size), pa.array(_signed(node)), pa.array(need),
                     pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[first], np.arange(n + 1)), pa.int32()), pa.array(_signed(flat[first]))),
                     pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[0], np.arange(n + 1)), pa.int32()), pa.array(hubs)),
                 ],
-                ["id", "n", "node", "sigs", "hubs"],
+                ["id", "n", "node", "need", "sigs", "hubs"],
             )
 
     return run
@@ -135,6 +156,55 @@ def chain(batches):
         yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(hub[keep])], ["a", "b"])
 
 
+#: Nodes of a signature up to which all their pairs are counted.
+TOGETHER = 16
+
+
+def pairs(batches):
+    """Arrow function over rows (sig, node) sorted by both: (a, b, sure) for all pairs of a signature that up to TOGETHER nodes have; in larger groups each node and the first, for sure. Holds one batch and a group."""
+    import pyarrow as pa
+
+    sig, node, first = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # first: (sig, node) of a large group that goes on
+
+    def close(sig, node):
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])] if len(sig) else np.zeros(0, bool)
+        sig, node = sig[new], node[new]
+        at = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[at, len(sig)])
+        a, b, sure = [], [], []
+        for g in np.unique(size[size > 1]).tolist():
+            rows = at[size == g][:, None] + np.arange(g)
+            i, j = np.triu_indices(g, 1) if g <= TOGETHER else (np.zeros(g - 1, np.int64), np.arange(1, g))
+            a.append(node[rows[:, j]].ravel())
+            b.append(node[rows[:, i]].ravel())
+            sure.append(np.full(len(a[-1]), g > TOGETHER))
+        if not a:
+            a, b, sure = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(sure))], ["a", "b", "sure"])
+
+    for batch in batches:
+        s, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if first is not None:
+            mine = s == first[0]
+            if mine.any():
+                yield pa.RecordBatch.from_arrays([pa.array(v[mine]), pa.array(np.full(mine.sum(), first[1])), pa.array(np.ones(mine.sum(), bool))], ["a", "b", "sure"])
+            if not mine.all():
+                first = None
+            s, v = s[~mine], v[~mine]
+        sig, node = np.r_[sig, s], np.r_[node, v]
+        if not len(sig):
+            continue
+        cut = int(np.searchsorted(sig, sig[-1], "left"))
+        yield close(sig[:cut], node[:cut])
+        sig, node = sig[cut:], node[cut:]
+        if len(sig) > 4 * TOGETHER and len(np.unique(node)) > TOGETHER:
+            yield close(sig, node)
+            first = (sig[0], node[0])
+            sig, node = sig[:0], node[:0]
+    if len(sig):
+        yield close(sig, node)
+
+
 def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Component of each set (the position of one of its members) under links of num / den.
 
@@ -245,11 +315,14 @@ def block_links(words: int, num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, counted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links of word-shingle sets by Jaccard similarity of at least num / den, as one row for each document.
 
     Returns (doc_id, n_shingles, component_id): the size of the set, and the
-    smallest id among the documents reachable by links. Words are runs of
+    smallest id among the documents reachable by links. counted: pairs go on to
+    their sets only if they share as many signatures as all but one pair in 10**9
+    within the threshold do; for thresholds so low that parts are small, and met
+    by chance. Words are runs of
     anything but ASCII white space, A-Z lower-cased.
     Null or empty texts: 0 shingles, linked with nothing. Fewer words than a
     shingle: the whole sequence is the one shingle. Repeated rows stay, with
@@ -261,9 +334,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    rows = scratch.table(docs.mapInArrow(signature_rows(words, num, den), f"id {kind}, n long, node long, sigs array<long>, hubs array<long>"))
+    rows = scratch.table(docs.mapInArrow(signature_rows(words, num, den, TOGETHER if counted else 1), f"id {kind}, n long, node long, need int, sigs array<long>, hubs array<long>"))
     listed = rows.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
-    near = rows.select(F.col("node").alias("a"), F.explode("hubs").alias("b")).union(listed.mapInArrow(chain, "a long, b long"))
+    near = rows.select(F.col("node").alias("a"), F.explode("hubs").alias("b"))
+    if counted:
+        met = listed.mapInArrow(pairs, "a long, b long, sure boolean").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("sure").alias("sure"))
+        need = rows.where("n > 0").groupBy("node").agg(F.min("need").alias("need"))
+        need = maybe_broadcast(scratch.table(need), 500_000)
+        met = met.join(need.withColumnRenamed("node", "a").withColumnRenamed("need", "need_a"), "a").join(need.withColumnRenamed("node", "b").withColumnRenamed("need", "need_b"), "b")
+        near = near.union(met.where("sure or c >= least(need_a, need_b)").select("a", "b"))
+    else:
+        near = near.union(listed.mapInArrow(chain, "a long, b long"))
     edges = scratch.table(near.where("a <> b").distinct())
     blocks = connected_components(edges, scratch)
     scratch.drop(edges)

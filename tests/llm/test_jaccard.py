@@ -46,11 +46,12 @@ def corpus(seed, n=160):
     return rows + [rows[20], rows[21], rows[21]]
 
 
+@pytest.mark.parametrize("counted", [False, True])
 @pytest.mark.parametrize("words,num,den,seed", [(3, 90, 100, 1), (5, 80, 100, 2), (3, 80, 100, 3), (1, 60, 100, 4)])
-def test_matches_all_pairs(spark, words, num, den, seed):
+def test_matches_all_pairs(spark, words, num, den, seed, counted):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("clash"))
-    got = sorted(tuple(r) for r in jaccard.jaccard_components(df, words, num, den).collect())
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(df, words, num, den, counted).collect())
     assert got == brute(rows, words, num, den)
 
 
@@ -81,3 +82,32 @@ def test_signatures_meet():
                 both = len(np.intersect1d(a, b))
                 if len(b) and 100 * both >= num * (len(a) + len(b) - both):
                     assert np.intersect1d(scheme.signatures(a), scheme.signatures(b)).size
+
+
+def test_counted_pairs_share_enough():
+    r = np.random.default_rng(6)
+    scheme = jaccard.Scheme(80, 100)
+    for n in [14, 40, 100, 300, 700, 1500]:
+        for _ in range(40):
+            k = n // 9
+            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([r.permutation(a)[k:], r.integers(0, 1 << 63, k).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                assert np.intersect1d(scheme.signatures(a), scheme.signatures(b)).size >= min(scheme.least_shared(len(a)), scheme.least_shared(len(b)))
+    assert scheme.least_shared(300) > 3
+
+
+def test_pairs_across_batches():
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    rows = sorted({(int(s), int(v)) for s, v in zip(np.r_[r.integers(0, 40, 200), np.full(300, 7)], r.integers(0, 200, 500))})
+    for size in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows[i : i + size]], pa.int64()), pa.array([x[1] for x in rows[i : i + size]], pa.int64())], ["sig", "node"]) for i in range(0, len(rows), size)]
+        got = sorted((x["a"], x["b"], x["sure"]) for b in jaccard.pairs(iter(batches)) for x in b.to_pylist())
+        want = []
+        for s in {x[0] for x in rows}:
+            v = [x[1] for x in rows if x[0] == s]
+            want += [(b, v[0], True) for b in v[1:]] if len(v) > jaccard.TOGETHER else [(b, a, False) for i, a in enumerate(v) for b in v[i + 1 :]]
+        assert got == sorted(want)
