@@ -32,7 +32,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     while row in columns:
         row += "_"
     docs = scratch.table(docs.withColumn(row, F.monotonically_increasing_id()))  # rows are told apart, as ids may repeat
-    groups = jaccard_components(docs, words=5, num=80, den=100, id_col=row)
+    groups = jaccard_components(docs, words=5, num=80, den=100, counted=True, id_col=row)
     groups = scratch.table(groups.select(F.col(row).alias("r"), F.col("component_id").alias("c")))
     shared = groups.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
     members = groups.join(shared, "c").join(docs.select(F.col(row).alias("r"), "doc_id"), "r")
