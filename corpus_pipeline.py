@@ -15,7 +15,7 @@ from surgeline.llm.jaccard import jaccard_components
 from surgeline.llm.packing import pack
 from surgeline.llm.pii import redact
 from surgeline.llm.quality_rules import kept_rows, quality_rules
-from surgeline.llm.shared import Scratch
+from surgeline.llm.shared import Scratch, maybe_broadcast
 
 
 def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,17 +28,18 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group linked by five-word shingles with a similarity of 0.8 or more, the document with the smallest id stays; of rows with one id, or none, one. Documents without words stay."""
     scratch = Scratch(spark, "near-duplicates")
     columns = docs.columns
-    row = "row_"
-    while row in columns:
-        row += "_"
-    docs = scratch.table(docs.withColumn(row, F.monotonically_increasing_id()))  # rows are told apart, as ids may repeat
-    groups = jaccard_components(docs, words=5, num=80, den=100, counted=True, id_col=row)
-    groups = scratch.table(groups.select(F.col(row).alias("r"), F.col("component_id").alias("c")))
-    shared = groups.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
-    members = groups.join(shared, "c").join(docs.select(F.col(row).alias("r"), "doc_id"), "r")
-    first = members.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r")).alias("first"))
-    gone = members.join(first, "c").where("r <> first.r").select(F.col("r").alias(row))
-    return docs.join(gone, row, "left_anti").select(*[docs[f"`{c}`"] for c in columns])
+    key = "key_"
+    while key in columns:
+        key += "_"
+    # ids may repeat or be null; the smallest id comes first
+    docs = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th")))
+    groups = jaccard_components(docs, words=5, num=80, den=100, counted=True, id_col=key)
+    groups = scratch.table(groups.where("n_shingles > 0").groupBy(F.col(key).alias("k")).agg(F.first("component_id").alias("c"), F.count("*").alias("n")))
+    gone = scratch.table(groups.where("k <> c").select(F.col("k").alias(key)))
+    again = scratch.table(groups.where("k = c and n > 1").select(F.col("k").alias(key)))
+    kept = docs.join(maybe_broadcast(gone, 500_000), key, "left_anti")
+    alone, same = kept.join(maybe_broadcast(again, 500_000), key, "left_anti"), kept.join(maybe_broadcast(again, 500_000), key, "left_semi")
+    return alone.union(same.select(alone.columns).dropDuplicates([key])).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
