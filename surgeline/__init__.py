@@ -1,0 +1 @@
+"""Breadth, event studies and tilt backtests on Spark."""

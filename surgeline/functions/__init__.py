@@ -1,0 +1 @@
+"""Window functions over series."""

@@ -1,0 +1 @@
+"""Operators on panels, series and events."""

@@ -1,0 +1 @@
+"""Empty on purpose: nothing here is a stream. See README.md."""
