@@ -3,7 +3,9 @@
 Every run of RUN or more consecutive sentences with WORDS words is hashed; runs
 meet in a global join, and sentences that a run covers which stood anywhere
 before are removed. Sentences end at . ! ? or a line end; one of more than LONG words counts
-as several, so that long sentences are compared in parts.
+as several, so that long sentences are compared in parts. As such parts shift with the words
+before them, long sentences are cut a second time, at places that the words themselves
+determine, and runs from these cuts are hashed too.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ from surgeline.llm.shared import Scratch, doc_chunks, text_bytes, tune
 
 U = np.uint64
 RUN, WORDS, LONG = 3, 12, 12
+#: A long sentence is cut before the word of least hash in every NEAR consecutive ones, so a stretch of RUN * LONG + 3 * NEAR - 2 words in it meets its like whatever stands before.
+NEAR = 5
 ENDS = np.zeros(256, bool)
 ENDS[[ord(c) for c in ".!?"]] = True
 
 
-def sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of many documents: first byte, first word of each sentence (one more word count at the end), each document's first sentence (n + 1), and the words' hashes."""
+def sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of many documents: first byte of each word, first word of each sentence's parts (the number of words at the end), first word of each sentence, each document's first word (n + 1), and the words' hashes."""
     lower = K.LOWER[data]
     starts, ends, first = K.word_spans(lower, offs)
     words = K.span_hash(K.prefix_hash(lower), starts, ends)
@@ -34,25 +38,68 @@ def sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     head = np.flatnonzero(new)
     size = np.diff(np.r_[head, n])
     within = np.arange(n) - np.repeat(head, size)
-    unit = np.flatnonzero(within % LONG == 0)
-    return starts[unit], np.r_[unit, n], np.searchsorted(unit, first), words
+    return starts, np.r_[np.flatnonzero(within % LONG == 0), n], head, first, words
+
+
+def cuts(head: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Words before which a run may begin or end: first words of sentences, and in long ones the last of the words of least hash among every NEAR; the number of words at the end."""
+    n = len(words)
+    cut = np.zeros(n + 1, bool)
+    cut[head] = cut[n] = True
+    size = np.diff(np.r_[head, n])
+    if n >= NEAR:
+        view = np.lib.stride_tricks.sliding_window_view(words, NEAR)[:, ::-1]
+        inside = np.arange(len(view)) + NEAR <= np.repeat(head + size, size)[: len(view)]
+        at = np.flatnonzero(inside & np.repeat(size > LONG, size)[: len(view)])
+        cut[at + NEAR - 1 - view[at].argmin(1)] = True
+    return np.flatnonzero(cut)
+
+
+def cut_runs(head: np.ndarray, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end of the shortest run from each cut to a cut with RUN parts and WORDS words, where it has words of a long sentence. What a run has of a sentence counts as one part, or as one for each LONG full words."""
+    n = len(words)
+    at = cuts(head, words)
+    bounds = np.r_[head, n]
+    size = np.diff(bounds)
+    parts = np.maximum(1, size // LONG)
+    before = np.r_[0, np.cumsum(parts)]
+    of = np.searchsorted(head, at, "right") - 1
+    of[-1] = len(head)
+    behind = at - bounds[of]
+    upto = before[of] + np.where(behind > 0, np.maximum(1, behind // LONG), 0)
+    at, of, ends = at[:-1], of[:-1], at
+    left = bounds[of + 1] - at
+    own = np.maximum(1, left // LONG)
+    here = np.searchsorted(ends, at + RUN * LONG, "left")
+    far = np.maximum(np.searchsorted(upto, before[of + 1] + RUN - own, "left"), np.searchsorted(ends, at + WORDS, "left"))
+    j = np.where(left >= RUN * LONG, here, far)
+    stop = first[np.searchsorted(first, at, "right")]
+    ok = j < len(ends)
+    end = ends[np.minimum(j, len(ends) - 1)]
+    long = np.r_[0, np.cumsum(np.repeat(size > LONG, size))]
+    ok &= (end <= stop) & (long[end] > long[at])
+    return at[ok], end[ok]
 
 
 def runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each sentence that has one, the shortest run from it with RUN sentences and WORDS words: document, first sentence in it, number of sentences, hash."""
-    _, unit, first, words = sentences(data, offs)
-    n = len(unit) - 1
-    if n < RUN:
+    """Of each sentence's part that has one, the shortest run from it with RUN parts and WORDS words, and those of cut_runs: document, first word in it, number of words, hash."""
+    _, unit, head, first, words = sentences(data, offs)
+    if not len(words):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+    n = len(unit) - 1
     i = np.arange(n)
     j = np.maximum(i + RUN, np.searchsorted(unit, unit[:-1] + WORDS, "left"))
-    doc = np.searchsorted(first, i, "right") - 1
-    ok = j <= first[doc + 1]
-    i, j, doc = i[ok], j[ok], doc[ok]
+    ok = j <= n
+    i, j = i[ok], j[ok]
+    a, b, c = unit[i], unit[j], (j - i).astype(U)
+    ok = b <= first[np.searchsorted(first, a, "right")]
+    a, b, c = a[ok], b[ok], c[ok]
+    x, y = cut_runs(head, first, words)
+    a, b, c = np.r_[a, x], np.r_[b, y], np.r_[c, np.zeros(len(x), U)]
+    doc = np.searchsorted(first, a, "right") - 1
     up, down = K.powers(len(words) + 1)
     total = np.r_[U(0), np.cumsum(words * up[: len(words)])]
-    h = K.mix((total[unit[j]] - total[unit[i]]) * down[unit[i]] + (unit[j] - unit[i]).astype(U))
-    return doc, i - first[doc], j - i, h
+    return doc, a - first[doc], b - a, K.mix((total[b] - total[a]) * down[a] + c)
 
 
 def run_rows(batches):
@@ -80,7 +127,8 @@ def run_rows(batches):
         first = (ids[doc] == ids[doc][lead]) & (th[doc] == th[doc][lead]) & (at == at[lead]) if len(h) else same
         again = ~first
         key = np.where(again, K.mix(h + ids[doc].astype(U) + at.astype(U)), h).view(np.int64) if len(h) else np.zeros(0, np.int64)
-        keep = ~copy
+        keep = np.flatnonzero(~copy)
+        keep = keep[np.lexsort((at[keep], doc[keep]))]  # a document's rows together, which its id and hash compress well in
         yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ids[doc][keep]), pa.array(th[doc][keep]), pa.array(at[keep], pa.int32()), pa.array(n[keep], pa.int32()), pa.array(again[keep])], ["h", "id", "th", "at", "n", "again"])
 
 
@@ -115,37 +163,38 @@ def cut(batches):
     for batch in batches:
         data, offs = text_bytes(batch.column(1))
         count, removed, spans, kept = [], [], [], []
-        lists = batch.column(2).to_pylist()
-        for i, found in enumerate(lists):
+        found = batch.column(2)
+        till = np.r_[0, np.cumsum(found.value_lengths().fill_null(0).to_numpy())]
+        at_, n_ = (x.to_numpy() for x in found.flatten().flatten())
+        for i in range(len(offs) - 1):
             x = data[offs[i] : offs[i + 1]]
-            start, _, _, _ = sentences(x, np.array([0, len(x)]))
-            gone = np.zeros(len(start) + 1, np.int64)
-            for f in found or ():
-                gone[f["at"]] += 1
-                gone[f["at"] + f["n"]] -= 1
-            gone = np.cumsum(gone[:-1]) > 0
+            start, unit, _, _, _ = sentences(x, np.array([0, len(x)]))
+            f = slice(till[i], till[i + 1])
+            size = len(start) + 1
+            gone = np.cumsum(np.bincount(at_[f], minlength=size) - np.bincount(at_[f] + n_[f], minlength=size))[:-1] > 0
             edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
             bounds = np.r_[start, len(x)]
             ab = bounds[edge].reshape(-1, 2)
+            stays = np.r_[0, np.cumsum(~gone)]
             raw, out, at = x.tobytes(), [], 0
             for a, b in ab.tolist():
                 out.append(raw[at:a])
                 at = b
             out.append(raw[at:])
-            count.append(len(start))
-            removed.append(int(gone.sum()))
+            count.append(len(unit) - 1)
+            removed.append(int((stays[unit[1:]] == stays[unit[:-1]]).sum()))
             spans.append([{"start": int(a), "end": int(b)} for a, b in ab])
             kept.append(b"".join(out).decode("utf-8", "replace"))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())], ["id", "n_sentences", "n_removed", "spans", "kept"])
 
 
 def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Removes sentences that a repeated run covers, but for the run's first place by id, text and position.
+    """Removes sentences, and parts of long ones, that a repeated run covers, but for the run's first place by id, text and position.
 
-    Returns a row for each row of docs: id, n_sentences, n_removed, spans (start
-    and end of the removed stretches in bytes, end exclusive), kept (text). Words
-    are runs of anything but ASCII white space, A-Z lower-cased; a stretch reaches
-    up to the next sentence. Ids are whole numbers; a null id comes before all
+    Returns a row for each row of docs: id, n_sentences, n_removed (those that
+    went as a whole), spans (start and end of the removed stretches in bytes, end
+    exclusive), kept (text). Words are runs of anything but ASCII white space,
+    A-Z lower-cased; a stretch reaches up to the next word. Ids are whole numbers; a null id comes before all
     others. Null and empty texts have no sentences; the kept text is then empty.
     Rows with one id and text are one document, so they don't remove each other.
     Of equal ids with different texts, the order is that of a hash. An empty table

@@ -62,3 +62,24 @@ def test_matches_brute_force(spark):
 
 def test_empty(spark):
     assert S.remove_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shared_passage_behind_prefixes_of_any_length(spark):
+    r = random.Random(6)
+    word = lambda: f"w{r.randrange(10**6)}"
+    for size, least in ((S.RUN * S.LONG + 3 * S.NEAR - 2, S.RUN * S.LONG), (60, S.RUN * S.LONG)):
+        passage = [word() for _ in range(size)]
+        own = [([word() for _ in range(k)], [word() for _ in range(30 - k)]) for k in range(27)]
+        rows = [(k, " ".join([*a, *passage, *b])) for k, (a, b) in enumerate(own)]
+        got = {x.doc_id: x for x in S.remove_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+        assert got[0].kept == rows[0][1] and not got[0].n_removed
+        for k, (a, b) in enumerate(own[1:], 1):
+            kept = got[k].kept.split()
+            gone = size - sum(w in set(passage) for w in kept)
+            assert gone >= least and kept[: len(a)] == a and kept[len(kept) - len(b) :] == b
+
+
+def test_long_sentences_of_one_word(spark):
+    rows = [(0, "x " * 500), (1, "y " + "x " * 500)]
+    got = {x.doc_id: x.kept.split() for x in S.remove_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got[0]) == {"x"} and got[1][0] == "y"
