@@ -20,8 +20,8 @@ from surgeline.sources import panel as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Draws of the registered bootstraps; the operators' default is 2,000.
-DRAWS = 50
+#: Draws of the registered bootstraps, as many as the reference takes.
+DRAWS = 2000
 
 
 def query(oracle: str, **params):
