@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Draws of the registered bootstraps, as many as the reference takes.
 DRAWS = 2000
+#: Rotations of the tilt's null, as many as the reference takes.
+ROTATIONS = 2000
 
 
 def query(oracle: str, **params):
@@ -458,9 +460,9 @@ def era_split(spark, d):
 
 @query("SELECT " + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {c}_p{n}" for c, q, n in (("sharpe", 0.05, "05"), ("sharpe", 0.5, "50"), ("sharpe", 0.95, "95"), ("cagr", 0.5, "50"), ("cagr", 0.95, "95"))) + " FROM rmet", variants=_values([("V1", 0.2, 21)]))
 def rotation_null(spark, d):
-    """Metrics of 20 rotations of the tilt; their distribution is the null."""
+    """Metrics of 2,000 rotations of the tilt; their distribution is the null. The SQL takes 20 of them."""
     rows = _tilts(spark, d, [("V1", 0.2, 21)]).select("session", "date", "px", "bond_ret", "tilt").persist()
-    return rounded(PF.null_points(PF.metrics(PF.backtest(PF.rotations(rows, 20), ["draw"]), ["draw"])), "sharpe_p05", "sharpe_p50", "sharpe_p95", "cagr_p50", "cagr_p95")
+    return rounded(PF.null_points(PF.metrics(PF.backtest(PF.rotations(rows, ROTATIONS), ["draw"]), ["draw"])), "sharpe_p05", "sharpe_p50", "sharpe_p95", "cagr_p50", "cagr_p95")
 
 
 # comparisons

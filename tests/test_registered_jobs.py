@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from surgeline.operators import portfolio as PF
 from surgeline.operators import study as E
 from surgeline.plans import queries as Q
 
@@ -25,3 +26,12 @@ def test_bootstraps_take_2000_draws(spark, monkeypatch):
     draws = [np.concatenate([fwd[s : s + 21] for b in range(n // 21) for s in [drawn(n - 21, 42, 5, k, b)]]) for k in range(2000)]
     for name, values in (("win", [(x > 0).mean() for x in draws]), ("ret", [np.median(x) for x in draws])):
         assert np.allclose([got[f"base_{name}_lo"], got[f"base_{name}_hi"]], np.quantile(values, [0.05, 0.95]), atol=1e-6)
+
+
+def test_null_takes_2000_rotations(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, float(100 + r.normal()), float(r.normal(0, 0.001)), 0.2 if 20 <= i < 30 else 0.0) for i in range(1, 81)], "session int, px double, bond_ret double, tilt double").selectExpr("*", "date_add(date'2020-01-01', session) as date")
+    monkeypatch.setattr(Q, "_tilts", lambda *a: rows)
+    want = PF.null_points(PF.metrics(PF.backtest(PF.rotations(rows, 2000), ["draw"]), ["draw"])).first()
+    got = Q.rotation_null(spark, "").first()
+    assert all(abs(got[c] - want[c]) < 1e-6 for c in got.asDict())
