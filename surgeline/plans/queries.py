@@ -288,7 +288,7 @@ def spearman_monotonicity(spark, d):
 
 @query("SELECT e.date AS event_date, CAST(e.n_dimensions AS BIGINT) AS n_dimensions, CAST(e.session + 1 AS BIGINT) AS anchor, " + ", ".join(f"round((SELECT px FROM bench WHERE session = e.session + 1 + {h}) / b.px - 1, 6) AS ret_{k}" for k, h in HORIZONS.items()) + ", round((SELECT max_by(px, session) FROM bench) / b.px - 1, 6) AS ret_to_date FROM (SELECT * FROM comp WHERE event AND n_dimensions >= 1 AND session <= 2400 ORDER BY session DESC LIMIT 1) e JOIN bench b ON b.session = e.session + 1")
 def last_signal(spark, d):
-    return rounded(E.last_signal(_comp(spark, d).where("session <= 2400"), _bench(spark, d)), "event_date", "n_dimensions", "anchor", *[f"ret_{k}" for k in HORIZONS], "ret_to_date")
+    return rounded(E.last_signal(_comp(spark, d), _bench(spark, d)), "event_date", "n_dimensions", "anchor", *[f"ret_{k}" for k in HORIZONS], "ret_to_date")
 
 
 @query("SELECT min(date) AS first, max(date) AS last, count(*) AS sessions, CAST(sum(CASE WHEN event THEN 1 ELSE 0 END) AS BIGINT) AS events FROM cw")

@@ -35,3 +35,11 @@ def test_null_takes_2000_rotations(spark, monkeypatch):
     want = PF.null_points(PF.metrics(PF.backtest(PF.rotations(rows, 2000), ["draw"]), ["draw"])).first()
     got = Q.rotation_null(spark, "").first()
     assert all(abs(got[c] - want[c]) < 1e-6 for c in got.asDict())
+
+
+def test_last_signal_may_be_late(spark, monkeypatch):
+    rows = spark.range(2390, 2460).selectExpr("'U' as universe", "cast(id as int) as session", "date_add(date'2020-01-01', cast(id as int)) as date", "id * 1.0d as px", "1 as n_dimensions", "id in (2395, 2450) as event")
+    monkeypatch.setattr(Q, "_comp", lambda *a: rows.drop("px"))
+    monkeypatch.setattr(Q, "_bench", lambda *a: rows.select("universe", "session", "date", "px"))
+    got = Q.last_signal(spark, "").first()
+    assert got.anchor == 2451 and got.ret_1w == round(2456 / 2451 - 1, 6) and got.ret_1m is None
