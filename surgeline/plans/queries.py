@@ -229,7 +229,7 @@ def forward_returns_grid(spark, d):
 
 @query(f"SELECT CAST(session AS BIGINT) AS session, horizon, {r('mdd')} FROM fwd WHERE horizon IN ('1w', '1m', '3m')")
 def forward_max_drawdown(spark, d):
-    _, bench, _, fwd = _study(spark, d, {k: HORIZONS[k] for k in ("1w", "1m", "3m")})
+    _, bench, _, fwd = _study(spark, d)
     return rounded(fwd.join(E.drawdowns(fwd, bench), ["universe", "session", "horizon"], "left"), "session", "horizon", "mdd")
 
 

@@ -4,6 +4,7 @@ import numpy as np
 
 from surgeline.operators import portfolio as PF
 from surgeline.operators import study as E
+from surgeline.params import HORIZONS
 from surgeline.plans import queries as Q
 
 M = 2147483647
@@ -43,3 +44,14 @@ def test_last_signal_may_be_late(spark, monkeypatch):
     monkeypatch.setattr(Q, "_bench", lambda *a: rows.select("universe", "session", "date", "px"))
     got = Q.last_signal(spark, "").first()
     assert got.anchor == 2451 and got.ret_1w == round(2456 / 2451 - 1, 6) and got.ret_1m is None
+
+
+def test_drawdowns_of_every_horizon(spark, monkeypatch):
+    px = 100 * np.exp(np.cumsum(np.random.default_rng(3).normal(0, 0.02, max(HORIZONS.values()) + 3)))
+    bench = spark.createDataFrame([("U", i, float(v)) for i, v in enumerate(px)], "universe string, session int, px double")
+    monkeypatch.setattr(Q, "_study", lambda s, d, horizons=HORIZONS: (None, bench, None, E.forward(bench, horizons)))
+    got = {r.horizon: r.mdd for r in Q.forward_max_drawdown(spark, "").where("session = 1").collect()}
+    assert set(got) == set(HORIZONS)
+    for k, h in HORIZONS.items():
+        w = px[1 : h + 2]
+        assert abs(got[k] - (w / np.maximum.accumulate(w) - 1).min()) < 1e-6
