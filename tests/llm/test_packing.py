@@ -44,22 +44,72 @@ def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
 
+def amounts(packing):
+    out = Counter()
+    for p, n in packing.items():
+        for size, times in p:
+            out[size] += n * times
+    return out
+
+
 def test_operators_keep_every_size():
     r = random.Random(2)
-    for trial in range(30):
+    for _ in range(30):
         cap = r.choice([10, 50, 300])
         sizes = Counter(r.randint(1, cap) for _ in range(r.choice([5, 100, 800])))
-        total = lambda p: Counter({s: sum(n * list(q).count(s) for q, n in p.items()) for s in sizes})
-        a = packing.best_fit(sizes, cap)
+        a, *others = packing.settle(sizes, cap, r)
         b = packing.mutate(a, cap, r)
-        for p in (a, b, packing.crossover(a, b, cap, r), packing.crossover(b, packing.mutate(b, cap, r), cap, r)):
-            assert total(p) == sizes
-            assert all(sum(q) <= cap for q in p)
+        for p in (a, b, *others, packing.crossover(a, b, cap, r), packing.crossover(b, packing.mutate(b, cap, r), cap, r), packing.crossover(others[0], a, cap, r)):
+            assert amounts(p) == sizes
+            assert all(packing.filled(q) <= cap for q in p)
             assert sum(p.values()) >= packing.lower_bound(sizes, cap)
+            assert len(p) <= packing.PATTERNS * cap
+
+
+def exact(sizes, capacity):
+    """Fewest sequences, by trying every place for every document."""
+    best = len(sizes)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for k in sorted({r: k for k, r in enumerate(rooms) if r >= sizes[i]}.values()):
+            rooms[k] -= sizes[i]
+            place(i + 1, rooms)
+            rooms[k] += sizes[i]
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    sizes = sorted(sizes, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_small_inputs_are_packed_as_well_as_can_be():
+    r = random.Random(5)
+    for trial in range(40):
+        documents = [r.randint(5, 60) for _ in range(r.randint(1, 11))]
+        islands = [[] for _ in range(packing.ISLANDS)]
+        for epoch in range(packing.EPOCHS):
+            islands = [packing.evolve(p, Counter(documents), 100, random.Random(1000 * epoch + i)) for i, p in enumerate(islands)]
+        best = max((p[0][0] for p in islands), key=lambda p: packing.quality(p, 100))
+        assert sum(best.values()) == exact(documents, 100), documents
+
+
+def test_crossover_decides(spark):
+    """On a histogram with a tight bound the best packing comes from crossovers, and is no worse than best-fit."""
+    r = random.Random(9)
+    sizes = Counter(min(2048, int(r.lognormvariate(5.5, 1.0)) + 1) for _ in range(3000))
+    best, crossed = packing.pack_sizes(spark, sizes, 2048)
+    assert amounts(best) == sizes and crossed > 0
+    assert packing.quality(best, 2048) > packing.quality(packing.best_fit(sizes, 2048), 2048)
+    assert sum(best.values()) >= packing.lower_bound(sizes, 2048)
 
 
-def test_improves_on_best_fit(spark):
-    sizes = Counter({41: 6, 30: 12, 29: 6, 11: 30, 59: 4, 8: 3})
-    best = packing.pack_sizes(spark, sizes, 100)
-    assert sum(best.values()) <= sum(packing.best_fit(sizes, 100).values())
-    assert sum(best.values()) >= packing.lower_bound(sizes, 100)
+def test_long_texts(spark):
+    docs = [(1, "the " * 100_000), (2, "word, " * 30_000), (3, "x" * 50_000), (4, None)]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), PATH).collect()
+    check(rows, docs, 2048)
