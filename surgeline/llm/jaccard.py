@@ -1,13 +1,13 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
-The incidence matrix has a row for each distinct shingle set and a column for
-each shingle. Rows that can't reach the threshold never meet: of two sets with
-at most H differences, cut by hash into H + 1 + 2s parts, 1 + 2s parts agree, so
-a set may leave out its s smallest parts and the two still share a part. H comes
-from the sizes alone. Sets that share a part form candidate blocks; in a block,
-overlap counts accumulate over the columns, and a pair whose sizes or counts
-can't reach the threshold goes. Pairs that a found link already joins are not
-counted again. Exact for 64-bit hashes.
+The incidence matrix has a row for each distinct shingle set and a column for each
+shingle. In an order of all shingles that puts crowded ones last, a row keeps its
+first entries alone: as many as may differ from a partner, by the sizes, and NEED
+more. Two linked rows share NEED of the entries that both keep, so the product of
+these short rows, with overlap counts accumulated over the columns, has every link;
+pairs whose counts stay below what their sizes ask for are discarded. What is left
+forms candidate blocks, whose whole rows are multiplied, rarest columns first.
+Exact for 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,66 +23,21 @@ from surgeline.llm.shared import Scratch, doc_chunks, maybe_broadcast, text_byte
 U = np.uint64
 #: Shingles that one task holds at a time; larger blocks are dealt out in parts.
 BLOCK = 4_000_000
-#: Differences up to which a set lists what is left of it without one or two shingles.
-FEW = 2
-
-
-class Scheme:
-    """Parts of sets by size, for the threshold num / den."""
-
-    def __init__(self, num: int, den: int, grown: int = 1 << 31):
-        self.num, self.den = num, den
-        bounds = [1]
-        while bounds[-1] < grown:
-            bounds.append(bounds[-1] * den // num + 1)
-        self.bounds = np.array(bounds)  # sizes of band j: bounds[j] up to bounds[j + 1] - 1; a partner is in the same or the next band
-        self.differ = [2 * (b - 1) * (den - num) // (den + num) for b in bounds[1:]]
-        self.few = sum(h <= FEW for h in self.differ)  # the first bands
-
-    def least_shared(self, n: int) -> int:
-        """Signatures that a set of n and any larger partner share, but for one pair in 10**9.
-
-        Up to H differences fall into parts by hash, so the number of parts without any
-        is that of empty cells in an occupancy problem; six of its standard
-        deviations, and the parts that either set leaves out, are taken off its mean.
-        """
-        j = int(np.searchsorted(self.bounds, n, "right")) - 1
-        if j < self.few:
-            return 1
-        least = []
-        for h in self.differ[j : j + 2]:
-            spare = -(-(h + 1) * 6 // 100)
-            m = h + 1 + 2 * spare
-            a = h / m
-            deviation = np.sqrt(m * (np.exp(-a) - (1 + a) * np.exp(-2 * a)))
-            least.append(int(m * np.exp(-a) - 6 * deviation - 2 * spare))
-        return max(1, *([1] if not least else [min(least)]))
-
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Signatures of a sorted shingle set: any two sets within the threshold share one."""
-        n = len(s)
-        j = int(np.searchsorted(self.bounds, n, "right")) - 1
-        m = K.mix(s + U(1))
-        out = []
-        if j < self.few:
-            total, most = np.add.reduce(m), self.differ[j]
-            out.append(np.array([total], U))
-            if most >= 1:
-                out.append(total - m)
-            if most >= 2 and n > 2:
-                a, b = np.triu_indices(n, 1)
-                out.append(total - m[a] - m[b])
-        for band in (j, j + 1):
-            if band < self.few:
-                continue
-            spare = -(-(self.differ[band] + 1) * 6 // 100)
-            parts = self.differ[band] + 1 + 2 * spare
-            at = np.searchsorted(s >> U(32), (np.arange(parts + 1, dtype=U) << U(32)) // U(parts))
-            sums = np.concatenate(([U(0)], np.cumsum(m)))
-            count = np.diff(at)
-            sig = K.mix((sums[at[1:]] - sums[at[:-1]]) + U(K.BASE) * (U(band + 1) << U(32) | np.arange(parts, dtype=U)) + count.astype(U))
-            out.append(sig[np.argsort(count, kind="stable")[spare:]])
-        return np.concatenate(out) if out else np.zeros(0, U)
+#: Sets that share a column up to which all their pairs are counted.
+TOGETHER = 32
+#: Cells of the table of crowded shingles, and the share of all texts from which a cell is crowded.
+#: The table only puts shingles in order: any order gives the same links.
+CELLS, CROWDED = 1 << 21, 0.0005
+
+
+def need_of(n, num: int, den: int):
+    """Entries that a row of n must share with a partner among those that both keep: half of what may differ."""
+    return np.maximum(1, n * (den - num) // (2 * den))
+
+
+def kept_of(n, num: int, den: int):
+    """Entries that a row of n keeps: those that a linked row may lack, and need_of more."""
+    return n + n * num // -den + need_of(n, num, den)
 
 
 def _signed(x) -> np.ndarray:
@@ -93,116 +48,160 @@ def _node(s: np.ndarray) -> np.uint64:
     return K.mix(np.add.reduce(K.mix(s ^ U(0x5851F42D4C957F2D)), keepdims=True) + U(len(s)))[0]
 
 
-def signature_rows(words: int, num: int, den: int, together: int = 1):
-    """Arrow function: (id, text) to (id, n, node, need, sigs, hubs). In a batch, of signatures that more than together nodes have, each signature is listed once, and the other nodes that have it name the one that lists it."""
+def _cells(s: np.ndarray) -> np.ndarray:
+    return (s >> U(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def sets_of(batch_column, words: int):
+    """(position, shingle set) of each text of an Arrow column."""
+    data, offs = text_bytes(batch_column)
+    for i, j in doc_chunks(offs):
+        yield from enumerate(K.shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words), i)
+
+
+def cell_counts(words: int):
+    """Arrow function: texts to (cell, n) of the cells that stand out among a task's, and its number of texts as cell -1. Equal texts of a batch count once."""
     import pyarrow as pa
 
-    scheme = Scheme(num, den)
+    def run(batches):
+        counts, docs = np.zeros(CELLS, np.int64), 0
+        for batch in batches:
+            seen, found = set(), []
+            for _, s in sets_of(batch.column(0), words):
+                if len(s) and (node := int(_node(s))) not in seen:
+                    seen.add(node)
+                    found.append(_cells(s))
+            docs += len(seen)
+            if found:
+                counts += np.bincount(np.concatenate(found), minlength=CELLS)
+        mean = counts.mean()
+        out = np.flatnonzero(counts > mean + 4 * np.sqrt(mean) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, out]), pa.array(np.r_[docs, counts[out]])], ["cell", "n"])
+
+    return run
+
+
+def crowded_cells(docs: DataFrame, words: int) -> np.ndarray:
+    """Which cells are crowded (at most CELLS of them)."""
+    counts = docs.select("text").mapInArrow(cell_counts(words), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    total = counts.select(F.max(F.when(F.col("cell") < 0, F.col("n")))).first()[0] or 0
+    out = np.zeros(CELLS, bool)
+    out[counts.where((F.col("cell") >= 0) & (F.col("n") >= max(2 * TOGETHER, CROWDED * total))).select("cell").toArrow().column(0).to_numpy()] = True
+    return out
+
+
+def kept_rows(words: int, num: int, den: int, crowded: np.ndarray, together: int):
+    """Arrow function: (id, th, text) to (id, th, n, node, sigs, crowds, hubs).
+
+    A set's kept entries are its sigs; equal sets of a batch list them once. An entry
+    that more than together sets of a batch keep is listed by the first of them alone,
+    in crowds; the others, and the first itself, name the first in hubs with the number
+    of such entries.
+    """
+    import pyarrow as pa
+
+    bits = np.packbits(crowded)
 
     def run(batches):
+        last = np.unpackbits(bits).view(bool)
         for batch in batches:
-            data, offs = text_bytes(batch.column(1))
             n = len(batch)
-            size, node, need, sigs = np.zeros(n, np.int64), np.zeros(n, U), np.ones(n, np.int32), [np.zeros(0, U)] * n
+            size, node, sigs = np.zeros(n, np.int64), np.zeros(n, U), [np.zeros(0, U)] * n
             seen: set[int] = set()
-            for i, j in doc_chunks(offs):
-                for k, s in enumerate(K.shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words), i):
-                    if size_k := len(s):
-                        size[k], node[k], need[k] = size_k, _node(s), scheme.least_shared(size_k)
-                        if (key := int(node[k])) not in seen:
-                            seen.add(key)
-                            sigs[k] = np.unique(scheme.signatures(s))
-            lens = np.array([len(x) for x in sigs], np.int64)
-            flat, owner = (np.concatenate(sigs) if n else np.zeros(0, U)), np.repeat(np.arange(n), lens)
+            for k, s in sets_of(batch.column(2), words):
+                if size_k := len(s):
+                    size[k], node[k] = size_k, _node(s)
+                    if (key := int(node[k])) not in seen:
+                        seen.add(key)
+                        many = last[_cells(s)]
+                        keep = int(kept_of(size_k, num, den))
+                        first = s[~many][:keep]
+                        sigs[k] = np.concatenate([first, s[many][: keep - len(first)]])
+            flat, owner = (np.concatenate(sigs) if n else np.zeros(0, U)), np.repeat(np.arange(n), [len(x) for x in sigs])
             order = np.argsort(flat, kind="stable")
             new = np.ones(len(flat), bool)
             new[1:] = flat[order][1:] != flat[order][:-1]
             at = np.flatnonzero(new)
-            new |= np.repeat(np.diff(np.r_[at, len(flat)]) <= together, np.diff(np.r_[at, len(flat)]))
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))
-            hub, mine = owner[order[lead]], owner[order]
-            first = np.sort(order[new])
-            pairs = np.unique(np.stack([mine[~new], hub[~new]]), axis=1) if len(flat) else np.zeros((2, 0), np.int64)
-            hubs = _signed(node)[pairs[1]]
+            group = np.diff(np.r_[at, len(flat)])
+            large = np.repeat(group > together, group)
+            lead = order[np.repeat(at, group)]
+            lone = np.sort(order[~large])
+            crowd = np.sort(order[large & new])
+            pair = np.stack([owner[order[large]], owner[lead[large]]]) if len(flat) else np.zeros((2, 0), np.int64)
+            pair, times = np.unique(pair, axis=1, return_counts=True)
+            cut = lambda x: pa.array(np.searchsorted(x, np.arange(n + 1)), pa.int32())
+            hubs = pa.StructArray.from_arrays([pa.array(_signed(node)[pair[1]]), pa.array(times)], ["b", "c"])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(size), pa.array(_signed(node)), pa.array(need),
-                    pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[first], np.arange(n + 1)), pa.int32()), pa.array(_signed(flat[first]))),
-                    pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[0], np.arange(n + 1)), pa.int32()), pa.array(hubs)),
+                    batch.column(0), batch.column(1), pa.array(size), pa.array(_signed(node)),
+                    pa.ListArray.from_arrays(cut(owner[lone]), pa.array(_signed(flat[lone]))),
+                    pa.ListArray.from_arrays(cut(owner[crowd]), pa.array(_signed(flat[crowd]))),
+                    pa.ListArray.from_arrays(cut(pair[0]), hubs),
                 ],
-                ["id", "n", "node", "need", "sigs", "hubs"],
+                ["id", "th", "n", "node", "sigs", "crowds", "hubs"],
             )
 
     return run
 
 
-def chain(batches):
-    """Arrow function over rows (sig, node) sorted by both: an edge from each node to the first with its signature. Holds one batch."""
-    import pyarrow as pa
+def pairs(together: int):
+    """Arrow function over rows (sig, crowd, node) sorted by sig, crowds first, and node: (a, b, large).
 
-    last_sig, last_node = None, None
-    for batch in batches:
-        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(sig):
-            continue
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))
-        hub = node[first]
-        if last_sig is not None and sig[0] == last_sig:
-            hub[first == 0] = last_node
-        last_sig, last_node = sig[-1], hub[-1]
-        keep = hub != node
-        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(hub[keep])], ["a", "b"])
-
-
-#: Nodes of a signature up to which all their pairs are counted.
-TOGETHER = 16
-
-
-def pairs(batches):
-    """Arrow function over rows (sig, node) sorted by both: (a, b, sure) for all pairs of a signature that up to TOGETHER nodes have; in larger groups each node and the first, for sure. Holds one batch and a group."""
+    All pairs of a column that up to together sets keep; of larger columns, and of
+    crowds, each set with the first, and the first with itself. Holds a batch and a
+    group of up to four times together.
+    """
     import pyarrow as pa
 
-    sig, node, first = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # first: (sig, node) of a large group that goes on
-
-    def close(sig, node):
-        new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])] if len(sig) else np.zeros(0, bool)
-        sig, node = sig[new], node[new]
-        at = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[at, len(sig)])
-        a, b, sure = [], [], []
-        for g in np.unique(size[size > 1]).tolist():
-            rows = at[size == g][:, None] + np.arange(g)
-            i, j = np.triu_indices(g, 1) if g <= TOGETHER else (np.zeros(g - 1, np.int64), np.arange(1, g))
-            a.append(node[rows[:, j]].ravel())
-            b.append(node[rows[:, i]].ravel())
-            sure.append(np.full(len(a[-1]), g > TOGETHER))
-        if not a:
-            a, b, sure = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(sure))], ["a", "b", "sure"])
+    def run(batches):
+        sig, crowd, node = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+        first = None  # (sig, node) of a large group that goes on
+
+        def rows(a, b, large):
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.asarray(large, bool))], ["a", "b", "large"])
+
+        def close(sig, crowd, node):
+            new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])][: len(sig)]
+            sig, crowd, node = sig[new], crowd[new], node[new]
+            at = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
+            size = np.diff(np.r_[at, len(sig)])
+            star = crowd[at] | (size > together)
+            a, b, large = [], [], []
+            for g in np.unique(size[(size > 1) & ~star]).tolist():
+                them = at[(size == g) & ~star][:, None] + np.arange(g)
+                i, j = np.triu_indices(g, 1)
+                a.append(node[them[:, j]].ravel())
+                b.append(node[them[:, i]].ravel())
+                large.append(np.zeros(len(a[-1]), bool))
+            inside = np.repeat(star, size)
+            a.append(node[inside])
+            b.append(np.repeat(node[at], size)[inside])
+            large.append(np.ones(len(a[-1]), bool))
+            return rows(*map(np.concatenate, (a, b, large)))
+
+        for batch in batches:
+            s, c, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            if first is not None:
+                mine = s == first[0]
+                if mine.any():
+                    yield rows(v[mine], np.full(mine.sum(), first[1]), np.ones(mine.sum(), bool))
+                if not mine.all():
+                    first = None
+                s, c, v = s[~mine], c[~mine], v[~mine]
+            sig, crowd, node = np.r_[sig, s], np.r_[crowd, c], np.r_[node, v]
+            if not len(sig):
+                continue
+            cut = int(np.searchsorted(sig, sig[-1], "left"))
+            yield close(sig[:cut], crowd[:cut], node[:cut])
+            sig, crowd, node = sig[cut:], crowd[cut:], node[cut:]
+            if len(sig) > 4 * together and (crowd[0] or len(np.unique(node)) > together):
+                yield close(sig, crowd, node)
+                first = (sig[0], node[0])
+                sig, crowd, node = sig[:0], crowd[:0], node[:0]
+        if len(sig):
+            yield close(sig, crowd, node)
 
-    for batch in batches:
-        s, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if first is not None:
-            mine = s == first[0]
-            if mine.any():
-                yield pa.RecordBatch.from_arrays([pa.array(v[mine]), pa.array(np.full(mine.sum(), first[1])), pa.array(np.ones(mine.sum(), bool))], ["a", "b", "sure"])
-            if not mine.all():
-                first = None
-            s, v = s[~mine], v[~mine]
-        sig, node = np.r_[sig, s], np.r_[node, v]
-        if not len(sig):
-            continue
-        cut = int(np.searchsorted(sig, sig[-1], "left"))
-        yield close(sig[:cut], node[:cut])
-        sig, node = sig[cut:], node[cut:]
-        if len(sig) > 4 * TOGETHER and len(np.unique(node)) > TOGETHER:
-            yield close(sig, node)
-            first = (sig[0], node[0])
-            sig, node = sig[:0], node[:0]
-    if len(sig):
-        yield close(sig, node)
+    return run
 
 
 def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -281,12 +280,24 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return label
 
 
+def once(batches):
+    """Arrow function over (node, text): each node's first row in the task. Holds the task's nodes."""
+    seen: set[int] = set()
+    for batch in batches:
+        keep = []
+        for i, node in enumerate(batch.column(0).to_pylist()):
+            if node not in seen:
+                seen.add(node)
+                keep.append(i)
+        yield batch.take(keep) if len(keep) < len(batch) else batch
+
+
 def block_links(words: int, num: int, den: int):
     """Arrow function over rows (block, part, node, text) sorted by block and part: edges (a, b) that join each block's linked nodes."""
     import pyarrow as pa
 
     def run(batches):
-        key, nodes, sets = None, [], []
+        key, nodes, sets, seen = None, [], [], set()
 
         def close():
             label = linked(sets, num, den)
@@ -299,71 +310,83 @@ def block_links(words: int, num: int, den: int):
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             names = batch.column(2).to_pylist()
-            data, offs = text_bytes(batch.column(3))
-            for i, j in doc_chunks(offs):
-                for k, s in enumerate(K.shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words), i):
-                    if keys[k] != key:
-                        if len(nodes) > 1:
-                            yield close()
-                        key, nodes, sets = keys[k], [], []
-                    if len(s) and int(_node(s).view(np.int64)) == names[k]:  # another text may have the same id
-                        nodes.append(names[k])
-                        sets.append(s)
+            for k, s in sets_of(batch.column(3), words):
+                if keys[k] != key:
+                    if len(nodes) > 1:
+                        yield close()
+                    key, nodes, sets, seen = keys[k], [], [], set()
+                if names[k] not in seen:
+                    seen.add(names[k])
+                    nodes.append(names[k])
+                    sets.append(s)
         if len(nodes) > 1:
             yield close()
 
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, counted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def candidates(rows: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between nodes, over which any two linked ones are connected."""
+    listed = rows.select(F.explode("sigs").alias("sig"), F.lit(False).alias("crowd"), "node").union(rows.select(F.explode("crowds").alias("sig"), F.lit(True), "node"))
+    listed = listed.repartition("sig").sortWithinPartitions("sig", F.desc("crowd"), "node")
+    met = listed.mapInArrow(pairs(TOGETHER), "a long, b long, large boolean").groupBy("a", "b", "large").agg(F.count("*").alias("c"))
+    named = rows.select(F.col("node").alias("a"), F.explode("hubs").alias("h")).select("a", "h.b", F.lit(True).alias("large"), F.col("h.c").alias("c"))
+    met = scratch.table(met.union(named))
+    sizes = maybe_broadcast(scratch.table(rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))), 500_000)
+    need = lambda n: F.greatest(F.lit(1), F.floor(n * (den - num) / (2 * den)))
+    small = met.where("not large").join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    small = scratch.table(small.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num)).select("a", "b", "c", need(F.least("na", "nb")).alias("need")))
+    # a set's entries in large columns matter only if they could make up what its counted pairs lack
+    large = met.where("large").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    most = small.select(F.col("a").alias("node"), "c").union(small.select("b", "c")).groupBy("node").agg(F.max("c").alias("most"))
+    wide = large.groupBy(F.col("a").alias("node")).agg(F.sum("c").alias("wide")).join(most, "node", "left").join(sizes, "node")
+    partner = F.ceil(F.col("n") * num / den)
+    wide = scratch.table(wide.where(F.col("wide") + F.coalesce("most", F.lit(0)) >= need(partner)).select(F.col("node").alias("a")))
+    near = small.where("c >= need").select("a", "b").union(large.where("a <> b").join(maybe_broadcast(wide, 500_000), "a", "left_semi").select("a", "b"))
+    return scratch.table(near)
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links of word-shingle sets by Jaccard similarity of at least num / den, as one row for each document.
 
     Returns (doc_id, n_shingles, component_id): the size of the set, and the
-    smallest id among the documents reachable by links. counted: pairs go on to
-    their sets only if they share as many signatures as all but one pair in 10**9
-    within the threshold do; for thresholds so low that parts are small, and met
-    by chance. Words are runs of
+    smallest id among the documents reachable by links. Words are runs of
     anything but ASCII white space, A-Z lower-cased.
     Null or empty texts: 0 shingles, linked with nothing. Fewer words than a
     shingle: the whole sequence is the one shingle. Repeated rows stay, with
-    equal results; a null id counts in no minimum. An empty table gives an empty
-    result. Other columns are not read. Ties don't arise: links are exact.
+    equal results. A document with a null id links others like any other, but its id
+    counts in no minimum; a component of such documents alone has a null id. An
+    empty table gives an empty result. Other columns are not read. Ties don't arise:
+    links are exact. Texts are taken whole, however long.
     """
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    rows = scratch.table(docs.mapInArrow(signature_rows(words, num, den, TOGETHER if counted else 1), f"id {kind}, n long, node long, need int, sigs array<long>, hubs array<long>"))
-    listed = rows.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
-    near = rows.select(F.col("node").alias("a"), F.explode("hubs").alias("b"))
-    if counted:
-        met = listed.mapInArrow(pairs, "a long, b long, sure boolean").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("sure").alias("sure"))
-        need = rows.where("n > 0").groupBy("node").agg(F.min("need").alias("need"))
-        need = maybe_broadcast(scratch.table(need), 500_000)
-        met = met.join(need.withColumnRenamed("node", "a").withColumnRenamed("need", "need_a"), "a").join(need.withColumnRenamed("node", "b").withColumnRenamed("need", "need_b"), "b")
-        near = near.union(met.where("sure or c >= least(need_a, need_b)").select("a", "b"))
-    else:
-        near = near.union(listed.mapInArrow(chain, "a long, b long"))
-    edges = scratch.table(near.where("a <> b").distinct())
+    crowded = crowded_cells(docs, words)
+    rows = scratch.table(docs.mapInArrow(kept_rows(words, num, den, crowded, TOGETHER), f"id {kind}, th long, n long, node long, sigs array<long>, crowds array<long>, hubs array<struct<b:long,c:long>>"))
+    edges = candidates(rows, num, den, scratch)
     blocks = connected_components(edges, scratch)
-    scratch.drop(edges)
     # one document stands for each set; large blocks are dealt out in parts
-    owners = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n")).join(blocks, "node")
-    owners = scratch.table(owners)
+    rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep")
+    owners = scratch.table(rows.where("n > 0").groupBy("node").agg(rep, F.first("n").alias("n")).join(blocks, "node"))
     parts = owners.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
-    owners = owners.join(parts, "root").withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
-    texts = docs.join(maybe_broadcast(owners.select("id", "root", "node", "part", "parts"), 500_000), "id")
+    members = owners.join(parts, "root").select("node", "root", "n", "parts", F.pmod(F.hash("node"), F.col("parts")).alias("part"))
+    members = scratch.table(members)
+    who = maybe_broadcast(owners.select("node", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth")), 500_000)
+    texts = docs.join(who, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("node", "text")
+    texts = scratch.table(texts.mapInArrow(once, "node long, text string"))
 
     def within(df: DataFrame) -> DataFrame:
-        df = df.repartition("block", "part").sortWithinPartitions("block", "part")
+        df = df.join(texts, "node").repartition("block", "part").sortWithinPartitions("block", "part")
         return df.select("block", "part", "node", "text").mapInArrow(block_links(words, num, den), "a long, b long")
 
     # part 0 meets every part
     meets = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))).otherwise(F.array("part"))
-    links = scratch.table(within(texts.select(F.col("root").alias("block"), F.explode(meets).alias("part"), "node", "text")))
+    links = scratch.table(within(members.select("node", F.col("root").alias("block"), F.explode(meets).alias("part"))))
     roots = connected_components(links, scratch)
-    large = owners.where("parts > 1")
+    large = members.where("parts > 1")
     if large.limit(1).count():
         # any link that is still missing has an end outside the largest component of its block; such ends meet every part
         group = large.withColumnRenamed("root", "block").join(roots, "node", "left").withColumn("now", F.coalesce("root", "node"))
@@ -375,8 +398,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         cells = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda x: x * F.col("parts") + F.col("part"))
         own = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda y: F.pmod(F.hash("node", F.lit(1)), F.col("minors")) * F.col("parts") + y)
         group = group.withColumn("cells", F.when(F.col("minor"), F.array_distinct(F.concat(cells, own))).otherwise(cells))
-        again = docs.join(group.select("id", "block", "node", "cells"), "id").select("block", F.explode("cells").alias("part"), "node", "text")
-        roots = connected_components(links.union(within(again)), scratch)
-    out = rows.join(roots, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
-    least = out.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    return out.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+        roots = connected_components(links.union(within(group.select("node", "block", F.explode("cells").alias("part")))), scratch)
+    # the least id of each component goes to its sets, and from there to the rows; sets of one row and no link need none
+    least = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("many")).join(roots, "node", "left").where("many > 1 or root is not null")
+    least = scratch.table(least.select("node", F.coalesce("root", "node").alias("root"), "least"))
+    lowest = scratch.table(least.groupBy("root").agg(F.min("least").alias("lowest")))
+    least = scratch.table(least.select("node", "root").join(lowest, "root").select(F.col("node").alias("of"), "lowest"))
+    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(maybe_broadcast(least, 500_000), F.col("node") == F.col("of"), "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("lowest", "id").alias("component_id"))
