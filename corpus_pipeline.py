@@ -33,7 +33,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         key += "_"
     # ids may repeat or be null; the smallest id comes first
     docs = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th")))
-    groups = jaccard_components(docs, words=5, num=80, den=100, counted=True, id_col=key)
+    groups = jaccard_components(docs, words=5, num=80, den=100, id_col=key)
     groups = scratch.table(groups.where("n_shingles > 0").groupBy(F.col(key).alias("k")).agg(F.first("component_id").alias("c"), F.count("*").alias("n")))
     gone = scratch.table(groups.where("k <> c").select(F.col("k").alias(key)))
     again = scratch.table(groups.where("k = c and n > 1").select(F.col("k").alias(key)))
