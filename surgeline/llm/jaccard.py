@@ -25,9 +25,9 @@ U = np.uint64
 BLOCK = 4_000_000
 #: Sets that share a column up to which all their pairs are counted.
 TOGETHER = 32
-#: Cells of the table of crowded shingles, and the share of all texts from which a cell is crowded.
-#: The table only puts shingles in order: any order gives the same links.
-CELLS, CROWDED = 1 << 21, 0.0005
+#: Cells in which shingles are counted over all texts, and slices of that table. The counts only put
+#: shingles in order: any order gives the same links.
+CELLS, SLICES = 1 << 21, 32
 
 
 def need_of(n, num: int, den: int):
@@ -60,34 +60,66 @@ def sets_of(batch_column, words: int):
 
 
 def cell_counts(words: int):
-    """Arrow function: texts to (cell, n) of the cells that stand out among a task's, and its number of texts as cell -1. Equal texts of a batch count once."""
+    """Arrow function: texts to (slice, salt, counts) of the cells of a task's shingle sets. Equal sets of a batch count once."""
     import pyarrow as pa
 
     def run(batches):
-        counts, docs = np.zeros(CELLS, np.int64), 0
+        from pyspark import TaskContext
+
+        counts = np.zeros(CELLS, "<u8")
         for batch in batches:
             seen, found = set(), []
             for _, s in sets_of(batch.column(0), words):
                 if len(s) and (node := int(_node(s))) not in seen:
                     seen.add(node)
                     found.append(_cells(s))
-            docs += len(seen)
             if found:
-                counts += np.bincount(np.concatenate(found), minlength=CELLS)
-        mean = counts.mean()
-        out = np.flatnonzero(counts > mean + 4 * np.sqrt(mean) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, out]), pa.array(np.r_[docs, counts[out]])], ["cell", "n"])
+                counts += np.bincount(np.concatenate(found), minlength=CELLS).astype("<u8")
+        rows = [x.tobytes() for x in counts.reshape(SLICES, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([TaskContext.get().partitionId() % 256] * SLICES, pa.int32()), pa.array(rows, pa.binary())], ["slice", "salt", "counts"])
+
+    return run
+
+
+def add_up(batches):
+    """Arrow function over (slice, salt, counts) sorted by slice: the sums of each slice. Holds one slice."""
+    import pyarrow as pa
+
+    key, salt, total = None, 0, None
+    for batch in batches:
+        for k, t, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            if key is not None and k != key:
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([salt], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "salt", "counts"])
+                total = None
+            key, salt = k, t
+            total = np.frombuffer(counts, "<u8") + (0 if total is None else total)
+    if key is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([salt], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "salt", "counts"])
+
+
+def stand_out(together: int):
+    """Arrow function over (slice, salt, counts): (slice, bits) of the cells with more than together and six deviations above a cell's mean."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            bits = []
+            for counts in batch.column(2).to_pylist():
+                n = np.frombuffer(counts, "<u8")
+                bits.append(np.packbits(n > max(together, n.mean() + 6 * np.sqrt(n.mean()) + 2)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["slice", "bits"])
 
     return run
 
 
 def crowded_cells(docs: DataFrame, words: int) -> np.ndarray:
-    """Which cells are crowded (at most CELLS of them)."""
-    counts = docs.select("text").mapInArrow(cell_counts(words), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    total = counts.select(F.max(F.when(F.col("cell") < 0, F.col("n")))).first()[0] or 0
-    out = np.zeros(CELLS, bool)
-    out[counts.where((F.col("cell") >= 0) & (F.col("n") >= max(2 * TOGETHER, CROWDED * total))).select("cell").toArrow().column(0).to_numpy()] = True
-    return out
+    """A bit for each of the CELLS: whether its shingles are crowded."""
+    kind = "slice int, salt int, counts binary"
+    counts = docs.select("text").mapInArrow(cell_counts(words), kind)
+    for keys in (["slice", "salt"], ["slice"]):
+        counts = counts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add_up, kind)
+    bits = {r["slice"]: np.frombuffer(r["bits"], np.uint8) for r in counts.mapInArrow(stand_out(TOGETHER), "slice int, bits binary").collect()}  # SLICES rows
+    return np.concatenate([bits.get(k, np.zeros(CELLS // SLICES // 8, np.uint8)) for k in range(SLICES)])
 
 
 def kept_rows(words: int, num: int, den: int, crowded: np.ndarray, together: int):
@@ -96,14 +128,12 @@ def kept_rows(words: int, num: int, den: int, crowded: np.ndarray, together: int
     A set's kept entries are its sigs; equal sets of a batch list them once. An entry
     that more than together sets of a batch keep is listed by the first of them alone,
     in crowds; the others, and the first itself, name the first in hubs with the number
-    of such entries.
+    of such entries. crowded: bits of crowded_cells.
     """
     import pyarrow as pa
 
-    bits = np.packbits(crowded)
-
     def run(batches):
-        last = np.unpackbits(bits).view(bool)
+        last = np.unpackbits(crowded).view(bool)
         for batch in batches:
             n = len(batch)
             size, node, sigs = np.zeros(n, np.int64), np.zeros(n, U), [np.zeros(0, U)] * n
