@@ -74,40 +74,34 @@ def cell_counts(words: int):
                     seen.add(node)
                     found.append(_cells(s))
             if found:
-                counts += np.bincount(np.concatenate(found), minlength=CELLS).astype("<u8")
+                cells, times = np.unique(np.concatenate(found), return_counts=True)
+                counts[cells] += times.astype("<u8")
         rows = [x.tobytes() for x in counts.reshape(SLICES, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([TaskContext.get().partitionId() % 256] * SLICES, pa.int32()), pa.array(rows, pa.binary())], ["slice", "salt", "counts"])
 
     return run
 
 
-def add_up(batches):
-    """Arrow function over (slice, salt, counts) sorted by slice: the sums of each slice. Holds one slice."""
-    import pyarrow as pa
-
-    key, salt, total = None, 0, None
-    for batch in batches:
-        for k, t, counts in zip(*(c.to_pylist() for c in batch.columns)):
-            if key is not None and k != key:
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([salt], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "salt", "counts"])
-                total = None
-            key, salt = k, t
-            total = np.frombuffer(counts, "<u8") + (0 if total is None else total)
-    if key is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([salt], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "salt", "counts"])
-
-
-def stand_out(together: int):
-    """Arrow function over (slice, salt, counts): (slice, bits) of the cells with more than together and six deviations above a cell's mean."""
+def add_up(together: int | None = None):
+    """Arrow function over (slice, salt, counts) sorted by slice: the sums of each slice; given together, bits in their place, of the cells with more than that and six deviations above a cell's mean. Holds one slice."""
     import pyarrow as pa
 
     def run(batches):
+        key, salt, total = None, 0, None
+
+        def close():
+            out = total if together is None else np.packbits(total > max(together, total.mean() + 6 * np.sqrt(total.mean()) + 2))
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([salt], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["slice", "salt", "counts"])
+
         for batch in batches:
-            bits = []
-            for counts in batch.column(2).to_pylist():
-                n = np.frombuffer(counts, "<u8")
-                bits.append(np.packbits(n > max(together, n.mean() + 6 * np.sqrt(n.mean()) + 2)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["slice", "bits"])
+            for k, t, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if key is not None and k != key:
+                    yield close()
+                    total = None
+                key, salt = k, t
+                total = np.frombuffer(counts, "<u8") + (0 if total is None else total)
+        if key is not None:
+            yield close()
 
     return run
 
@@ -116,9 +110,9 @@ def crowded_cells(docs: DataFrame, words: int) -> np.ndarray:
     """A bit for each of the CELLS: whether its shingles are crowded."""
     kind = "slice int, salt int, counts binary"
     counts = docs.select("text").mapInArrow(cell_counts(words), kind)
-    for keys in (["slice", "salt"], ["slice"]):
-        counts = counts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add_up, kind)
-    bits = {r["slice"]: np.frombuffer(r["bits"], np.uint8) for r in counts.mapInArrow(stand_out(TOGETHER), "slice int, bits binary").collect()}  # SLICES rows
+    counts = counts.repartition("slice", "salt").sortWithinPartitions("slice", "salt").mapInArrow(add_up(), kind)
+    counts = counts.repartition("slice").sortWithinPartitions("slice").mapInArrow(add_up(TOGETHER), kind)
+    bits = {r["slice"]: np.frombuffer(r["counts"], np.uint8) for r in counts.collect()}  # SLICES rows
     return np.concatenate([bits.get(k, np.zeros(CELLS // SLICES // 8, np.uint8)) for k in range(SLICES)])
 
 
@@ -126,9 +120,8 @@ def kept_rows(words: int, num: int, den: int, crowded: np.ndarray, together: int
     """Arrow function: (id, th, text) to (id, th, n, node, sigs, crowds, hubs).
 
     A set's kept entries are its sigs; equal sets of a batch list them once. An entry
-    that more than together sets of a batch keep is listed by the first of them alone,
-    in crowds; the others, and the first itself, name the first in hubs with the number
-    of such entries. crowded: bits of crowded_cells.
+    that more than together sets of a batch keep is in hubs instead, and the first of
+    these sets has it in crowds too. crowded: bits of crowded_cells.
     """
     import pyarrow as pa
 
@@ -154,19 +147,12 @@ def kept_rows(words: int, num: int, den: int, crowded: np.ndarray, together: int
             at = np.flatnonzero(new)
             group = np.diff(np.r_[at, len(flat)])
             large = np.repeat(group > together, group)
-            lead = order[np.repeat(at, group)]
-            lone = np.sort(order[~large])
-            crowd = np.sort(order[large & new])
-            pair = np.stack([owner[order[large]], owner[lead[large]]]) if len(flat) else np.zeros((2, 0), np.int64)
-            pair, times = np.unique(pair, axis=1, return_counts=True)
-            cut = lambda x: pa.array(np.searchsorted(x, np.arange(n + 1)), pa.int32())
-            hubs = pa.StructArray.from_arrays([pa.array(_signed(node)[pair[1]]), pa.array(times)], ["b", "c"])
+            lone, crowd, hub = np.sort(order[~large]), np.sort(order[large & new]), np.sort(order[large])
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[x], np.arange(n + 1)), pa.int32()), pa.array(_signed(flat[x])))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(size), pa.array(_signed(node)),
-                    pa.ListArray.from_arrays(cut(owner[lone]), pa.array(_signed(flat[lone]))),
-                    pa.ListArray.from_arrays(cut(owner[crowd]), pa.array(_signed(flat[crowd]))),
-                    pa.ListArray.from_arrays(cut(pair[0]), hubs),
+                    lists(lone), lists(crowd), lists(hub),
                 ],
                 ["id", "th", "n", "node", "sigs", "crowds", "hubs"],
             )
@@ -178,14 +164,14 @@ def pairs(together: int):
     """Arrow function over rows (sig, crowd, node) sorted by sig, crowds first, and node: (a, b, large).
 
     All pairs of a column that up to together sets keep; of larger columns, and of
-    crowds, each set with the first, and the first with itself. Holds a batch and a
-    group of up to four times together.
+    crowds, each set and the column itself. Holds a batch and a group of up to four
+    times together.
     """
     import pyarrow as pa
 
     def run(batches):
         sig, crowd, node = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
-        first = None  # (sig, node) of a large group that goes on
+        first = None  # the column of a large group that goes on
 
         def rows(a, b, large):
             return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.asarray(large, bool))], ["a", "b", "large"])
@@ -205,16 +191,16 @@ def pairs(together: int):
                 large.append(np.zeros(len(a[-1]), bool))
             inside = np.repeat(star, size)
             a.append(node[inside])
-            b.append(np.repeat(node[at], size)[inside])
+            b.append(sig[inside])
             large.append(np.ones(len(a[-1]), bool))
             return rows(*map(np.concatenate, (a, b, large)))
 
         for batch in batches:
             s, c, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             if first is not None:
-                mine = s == first[0]
+                mine = s == first
                 if mine.any():
-                    yield rows(v[mine], np.full(mine.sum(), first[1]), np.ones(mine.sum(), bool))
+                    yield rows(v[mine], s[mine], np.ones(mine.sum(), bool))
                 if not mine.all():
                     first = None
                 s, c, v = s[~mine], c[~mine], v[~mine]
@@ -226,7 +212,7 @@ def pairs(together: int):
             sig, crowd, node = sig[cut:], crowd[cut:], node[cut:]
             if len(sig) > 4 * together and (crowd[0] or len(np.unique(node)) > together):
                 yield close(sig, crowd, node)
-                first = (sig[0], node[0])
+                first = sig[0]
                 sig, crowd, node = sig[:0], crowd[:0], node[:0]
         if len(sig):
             yield close(sig, crowd, node)
@@ -360,20 +346,22 @@ def candidates(rows: DataFrame, num: int, den: int, scratch: Scratch) -> DataFra
     listed = rows.select(F.explode("sigs").alias("sig"), F.lit(False).alias("crowd"), "node").union(rows.select(F.explode("crowds").alias("sig"), F.lit(True), "node"))
     listed = listed.repartition("sig").sortWithinPartitions("sig", F.desc("crowd"), "node")
     met = listed.mapInArrow(pairs(TOGETHER), "a long, b long, large boolean").groupBy("a", "b", "large").agg(F.count("*").alias("c"))
-    named = rows.select(F.col("node").alias("a"), F.explode("hubs").alias("h")).select("a", "h.b", F.lit(True).alias("large"), F.col("h.c").alias("c"))
-    met = scratch.table(met.union(named))
+    met = scratch.table(met)
     sizes = maybe_broadcast(scratch.table(rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))), 500_000)
     need = lambda n: F.greatest(F.lit(1), F.floor(n * (den - num) / (2 * den)))
     small = met.where("not large").join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     small = scratch.table(small.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num)).select("a", "b", "c", need(F.least("na", "nb")).alias("need")))
     # a set's entries in large columns matter only if they could make up what its counted pairs lack
-    large = met.where("large").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    large = scratch.table(met.where("large").select("a", "b").union(rows.select("node", F.explode("hubs"))).distinct())
     most = small.select(F.col("a").alias("node"), "c").union(small.select("b", "c")).groupBy("node").agg(F.max("c").alias("most"))
-    wide = large.groupBy(F.col("a").alias("node")).agg(F.sum("c").alias("wide")).join(most, "node", "left").join(sizes, "node")
-    partner = F.ceil(F.col("n") * num / den)
-    wide = scratch.table(wide.where(F.col("wide") + F.coalesce("most", F.lit(0)) >= need(partner)).select(F.col("node").alias("a")))
-    near = small.where("c >= need").select("a", "b").union(large.where("a <> b").join(maybe_broadcast(wide, 500_000), "a", "left_semi").select("a", "b"))
-    return scratch.table(near)
+    wide = large.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("wide")).join(most, "node", "left").join(sizes, "node")
+    wide = scratch.table(wide.where(F.col("wide") + F.coalesce("most", F.lit(0)) >= need(F.ceil(F.col("n") * num / den))).select(F.col("node").alias("a"), "n"))
+    # partners are of the same or the next band of sizes (wider than need be, as logarithms are rounded), so they meet in a column's part for a band
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * float(np.log(den / num))))
+    columns = large.join(maybe_broadcast(wide, 500_000), "a").select("a", F.explode(F.array(band, band + 1)).alias("band"), "b")
+    columns = scratch.table(columns.select("a", F.xxhash64("b", "band").alias("k")))
+    first = scratch.table(columns.groupBy("k").agg(F.min("a").alias("b")))
+    return scratch.table(small.where("c >= need").select("a", "b").union(columns.join(first, "k").where("a <> b").select("a", "b").distinct()))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -395,7 +383,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     crowded = crowded_cells(docs, words)
-    rows = scratch.table(docs.mapInArrow(kept_rows(words, num, den, crowded, TOGETHER), f"id {kind}, th long, n long, node long, sigs array<long>, crowds array<long>, hubs array<struct<b:long,c:long>>"))
+    rows = scratch.table(docs.mapInArrow(kept_rows(words, num, den, crowded, TOGETHER), f"id {kind}, th long, n long, node long, sigs array<long>, crowds array<long>, hubs array<long>"))
     edges = candidates(rows, num, den, scratch)
     blocks = connected_components(edges, scratch)
     # one document stands for each set; large blocks are dealt out in parts

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -11,12 +12,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: whole texts are long, so the default of 10,000 rows may not fit a worker.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch: whole texts are long, so the default of 10,000 rows may not fit a worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 64 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Lowers the Arrow batch size of the session where it is larger than BATCH_ROWS, and lets Python workers import this package from where the driver has it."""
+    """Lowers the Arrow batch sizes of the session where they are larger than BATCH_ROWS and BATCH_BYTES, and lets Python workers import this package from where the driver has it."""
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
@@ -24,6 +25,9 @@ def tune(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub("[^0-9]", "", spark.conf.get(key))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -94,7 +98,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def doc_chunks(offs: np.ndarray, limit: int = 1 << 21):
+def doc_chunks(offs: np.ndarray, limit: int = 1 << 20):
     """Ranges (i, j) of whole documents with about limit bytes each; a longer document stands alone."""
     i, n = 0, len(offs) - 1
     while i < n:

@@ -136,5 +136,5 @@ def test_pairs_across_batches():
         want = []
         for s in {x[0] for x in rows}:
             v = [x[1] for x in rows if x[0] == s]
-            want += [(b, v[0], True) for b in v] if len(v) > 16 or s in crowds else [(b, a, False) for i, a in enumerate(v) for b in v[i + 1 :]]
+            want += [(b, s, True) for b in v] if len(v) > 16 or s in crowds else [(b, a, False) for i, a in enumerate(v) for b in v[i + 1 :]]
         assert got == sorted(want)
