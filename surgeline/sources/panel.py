@@ -75,25 +75,15 @@ def read_snapshots(spark: SparkSession, path: str, universe: str = "ALL") -> Dat
     return days.select(F.lit(universe).alias("universe"), F.to_date("key").alias("snapshot_date"), F.explode("value.tickers").alias("ticker"))
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(ticker, date, close, volume) from JSON {"tickers": {T: {"dates", "adjClose", "volume"}}}; a missing close drops the row, a missing volume is 0."""
+def read_cache(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(ticker, date, close, volume) from JSON {"tickers": {T: {"dates", "adjClose", "volume"}}}; a missing close drops the row, a missing volume is 0. lines: a document on each line, rather than one in each file."""
     series = T.StructType([T.StructField("dates", T.ArrayType(T.StringType())), T.StructField("adjClose", T.ArrayType(T.DoubleType())), T.StructField("volume", T.ArrayType(T.LongType()))])
     schema = T.StructType([T.StructField("tickers", T.MapType(T.StringType(), series)), T.StructField("last_updated", T.StringType())])
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("tickers").alias("ticker", "s"))
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path).select(F.explode("tickers").alias("ticker", "s"))
     rows = rows.select("ticker", F.inline(F.arrays_zip("s.dates", "s.adjClose", "s.volume")))
     return rows.where("adjClose is not null and not isnan(adjClose)").select("ticker", F.to_date("dates").alias("date"), F.round("adjClose", 4).alias("close"), F.coalesce("volume", F.lit(0)).cast("long").alias("volume"))
 
 
-def write_series(df: DataFrame, path: str, stamp: str) -> None:
-    """Full replacement of series (basis, symbol, date, close, volume), partitioned by basis, with their source's stamp as a column."""
-    df.withColumn("source_stamp", F.lit(stamp)).write.mode("overwrite").partitionBy("basis").parquet(path)
-
-
-def read_series(spark: SparkSession, path: str, basis: str) -> DataFrame:
-    """The series of one basis; only its partition is read."""
-    return spark.read.parquet(path).where(F.col("basis") == basis)
-
-
 def total_return_panel(series: DataFrame, close_basis: str = "TOTALRETURN", volume_basis: str = "NONE") -> DataFrame:
     """Close of one basis with the volume of another, on the close's dates; symbols need both."""
     close = series.where(F.col("basis") == close_basis).select("symbol", "date", "close")

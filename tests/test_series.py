@@ -7,6 +7,7 @@ from surgeline.functions import series as S
 from surgeline.operators import breadth as B
 from surgeline.params import ThrustParams
 from surgeline.sources import panel as D
+from surgeline.sources import store
 
 
 @pytest.fixture(scope="module")
@@ -89,8 +90,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"tickers": {"A": {"dates": ["2020-01-01", "2020-01-02"], "adjClose": [1.23456, null], "volume": [null, 5]}}, "last_updated": "x"}')
     assert [(r.ticker, r.close, r.volume) for r in D.read_cache(spark, str(tmp_path / "c.json")).collect()] == [("A", 1.2346, 0)]
     rows = spark.createDataFrame([("TOTALRETURN", "%X", "2020-01-01", 1.0, 10), ("NONE", "%X", "2020-01-01", 2.0, 20), ("TOTALRETURN", "Y", "2020-01-01", 3.0, 30)], "basis string, symbol string, date string, close double, volume long")
-    D.write_series(rows, str(tmp_path / "store"), "stamp-1")
-    D.write_series(rows, str(tmp_path / "store"), "stamp-2")
-    back = D.read_series(spark, str(tmp_path / "store"), "NONE")
+    store.write_series(rows, str(tmp_path / "store"), "stamp-1")
+    store.write_series(rows, str(tmp_path / "store"), "stamp-2")
+    back = store.read_series(spark, str(tmp_path / "store"), "NONE")
     assert [(r.symbol, r.volume, r.source_stamp) for r in back.collect()] == [("%X", 20, "stamp-2")]
     assert [(r.symbol, r.close, r.volume) for r in D.total_return_panel(spark.read.parquet(str(tmp_path / "store"))).collect()] == [("%X", 1.0, 20)]
