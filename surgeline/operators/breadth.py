@@ -51,17 +51,18 @@ def lines(daily: DataFrame, p: ThrustParams = ThrustParams()) -> DataFrame:
 
 
 def detectors(line_rows: DataFrame, p: ThrustParams = ThrustParams()) -> DataFrame:
-    """Adds the flags of the sub-conditions and of the four dimensions d1 to d4."""
+    """Adds the flags of the sub-conditions and of the four dimensions d1 to d4. The thresholds that are counts are scaled by the column scale where there is one, else by the parameter."""
     w = by("universe")
+    scale = F.col("scale") if "scale" in line_rows.columns else F.lit(p.scale)
     no = lambda c: F.coalesce(c, F.lit(False))
     df = line_rows.select(
         "*",
         crossed_up(F.col("zweig_line"), p.zweig_low, p.zweig_high, w, p.zweig_span).alias("zweig"),
         no(F.col("deemer_ratio") > p.deemer_ratio).alias("deemer"),
-        (no(F.col("mcc") > 0) & any_within(no(F.col("mcc") < p.mcc_floor * p.scale), w, p.mcc_window)).alias("mcclellan"),
+        (no(F.col("mcc") > 0) & any_within(no(F.col("mcc") < p.mcc_floor * scale), w, p.mcc_window)).alias("mcclellan"),
         crossed_up(F.col("pct_above"), p.pct_low, p.pct_high, w, p.pct_window).alias("d2"),
         crossed_up(F.col("high_ratio"), p.ratio_low, p.ratio_high, w, p.ratio_window).alias("nhnl_ratio"),
-        (no(F.col("net_highs") > p.net_highs * p.scale) & any_within(no(F.col("net_highs") < 0), w, p.net_window)).alias("nhnl_net"),
+        (no(F.col("net_highs") > p.net_highs * scale) & any_within(no(F.col("net_highs") < 0), w, p.net_window)).alias("nhnl_net"),
         any_within(no(F.col("up_volume_ratio") > p.up_volume), w, p.up_volume_window).alias("d4"),
     )
     return df.withColumn("d1", F.col("zweig") | F.col("deemer") | F.col("mcclellan")).withColumn("d3", F.col("nhnl_ratio") | F.col("nhnl_net"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surgeline.functions.series import edges
+from surgeline.functions.series import by, edges, ema, rolling_sum
+from surgeline.params import ThrustParams
 
 
 def pair_stats(a: DataFrame, b: DataFrame, least: int = 250) -> DataFrame:
@@ -97,3 +98,28 @@ def edge_summary(deployed: DataFrame, candidate: DataFrame, days: int = 10) -> D
     common = deployed.select("universe", "date").join(candidate.select("universe", "date"), ["universe", "date"]).groupBy("universe").agg(F.count("*").alias("n"))
     found = edge_compare(deployed, candidate, days).groupBy("universe").agg(F.count("*").alias("m"), F.count_distinct("date").alias("d"))
     return common.join(found, "universe", "left").select("universe", F.least("n", F.lit(days)).alias("days_compared"), (F.col("n") < days).alias("insufficient_overlap"), F.coalesce("m", F.lit(0)).alias("mismatches"), F.coalesce("d", F.lit(0)).alias("mismatch_days"))
+
+
+def joint(*series: DataFrame) -> DataFrame:
+    """Series (date, value) side by side, on dates on which all have a value."""
+    out = series[0]
+    for s in series[1:]:
+        out = out.join(s, "date")
+    return out.na.drop()
+
+
+def count_lines(counts: DataFrame, p: ThrustParams) -> DataFrame:
+    """The lines that raw counts (universe, session, date, advances, declines) give, from any source: zweig_line, deemer_ratio and the flag deemer."""
+    adv, dec = F.col("advances"), F.col("declines")
+    w = by("universe")
+    df = ema(counts.withColumn("ad_ratio", adv / F.nullif(adv + dec, F.lit(0))), ["universe"], {"zweig_line": ("ad_ratio", p.zweig_span)})
+    ratio = rolling_sum(adv, w, p.deemer_window) / F.nullif(rolling_sum(dec, w, p.deemer_window), F.lit(0))
+    return df.withColumn("deemer_ratio", ratio).withColumn("deemer", F.coalesce(F.col("deemer_ratio") > p.deemer_ratio, F.lit(False)))
+
+
+def apart(a: DataFrame, b: DataFrame, tolerance: float, n: int) -> DataFrame:
+    """a, b (key, date, value): dates among the last n on which both have a value, and the values lie more than tolerance apart: (key, date, diff)."""
+    j = a.select("key", "date", F.col("value").alias("x")).join(b.select("key", "date", F.col("value").alias("y")), ["key", "date"]).na.drop()
+    w = Window.partitionBy("key").orderBy(F.desc("date"))
+    diff = F.abs(F.col("x") - F.col("y"))
+    return j.withColumn("k", F.row_number().over(w)).where((F.col("k") <= n) & (diff > tolerance)).select("key", "date", diff.alias("diff"))

@@ -64,7 +64,7 @@ def roster_reason(source: DataFrame, current: DataFrame) -> DataFrame:
     """source, current (roster, snapshot_date, n_tickers): the first reason against a replacement, or ok. A null snapshot_date row stands for a roster without snapshots."""
     s = source.groupBy("roster").agg(F.count("snapshot_date").alias("n"), F.max("snapshot_date").alias("last"), F.count_if(F.coalesce("n_tickers", F.lit(0)) == 0).alias("empty"))
     c = current.groupBy("roster").agg(F.count("snapshot_date").alias("cn"), F.max("snapshot_date").alias("clast"))
-    reason = F.when(F.col("n") == 0, "source snapshots empty").when(F.col("n") < F.col("cn"), "source has fewer snapshots").when(F.col("last") < F.col("clast"), "source ends earlier").when(F.col("empty") > 0, "a source snapshot has no tickers").otherwise("ok")
+    reason = F.when(F.col("n") == 0, "the source is empty").when(F.col("n") < F.col("cn"), "the source is shorter").when(F.col("last") < F.col("clast"), "the source is older").when(F.col("empty") > 0, "the source has an empty snapshot").otherwise("ok")
     return s.join(c, "roster").select("roster", reason.alias("reason"))
 
 
@@ -107,3 +107,33 @@ def age_days(stamp: Column, now: Column, zone: str = "Asia/Singapore") -> Column
     has_zone = stamp.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$")
     at = F.when(has_zone, F.to_timestamp(stamp)).otherwise(F.to_utc_timestamp(F.to_timestamp(stamp), zone))
     return F.greatest(F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 86400), F.lit(0)).cast("int")
+
+
+def readiness(stores: DataFrame, required: list[str]) -> DataFrame:
+    """stores (store, running, databases, delisted): the first reason why a store isn't ready, or ok."""
+    reason = F.when(~F.coalesce("running", F.lit(False)), "service is down")
+    for name in required:
+        reason = reason.when(~F.coalesce(F.array_contains("databases", name), F.lit(False)), f"missing database: {name}")
+    return stores.select("store", reason.when(F.coalesce("delisted", F.lit(0)) == 0, "no delisted members").otherwise("ok").alias("reason"))
+
+
+def sync(source: DataFrame, current: DataFrame) -> DataFrame:
+    """source, current (roster, snapshot_date, n_tickers): what becomes of each roster, and its last snapshot in force: a source that fails roster_reason is rejected, a newer or longer one is taken, another leaves the current one."""
+    ends = lambda df, s: df.groupBy("roster").agg(F.count("snapshot_date").alias(f"{s}_n"), F.max("snapshot_date").alias(f"{s}_last"))
+    j = ends(current, "c").join(ends(source, "s"), "roster", "left").join(roster_reason(source, current), "roster", "left")
+    newer = (F.col("s_last") > F.col("c_last")) | (F.col("s_n") > F.col("c_n"))
+    outcome = F.when(~F.col("reason").eqNullSafe(F.lit("ok")), "rejected").when(newer, "synced").otherwise("current")
+    return j.select("roster", outcome.alias("outcome"), F.when(outcome == "synced", F.col("s_last")).otherwise(F.col("c_last")).alias("in_force"), "reason")
+
+
+def refuse_incomplete(panel: DataFrame, expected: DataFrame, most: float = 0.05) -> DataFrame:
+    """panel (universe, symbol, ...) as it is; an error where a universe lacks more than most of its expected names."""
+    rate = completeness(expected, panel, most)
+    checked = rate.select("universe", F.when(~F.col("ok"), F.raise_error(F.concat(F.lit("incomplete panel: "), F.col("universe")))).otherwise(F.lit(1)).cast("int").alias("checked_"))
+    return panel.join(checked, "universe", "left").where("checked_ is null or checked_ = 1").drop("checked_")
+
+
+def refuse_gaps(series: DataFrame, a: str, b: str) -> DataFrame:
+    """series as it is; an error where a symbol's two bases have different dates."""
+    gaps = basis_gaps(series, a, b).select("symbol", F.raise_error(F.concat(F.lit("dates of the bases differ: "), F.col("symbol"))).cast("int").alias("gap_"))
+    return series.join(gaps, "symbol", "left").where("gap_ is null").drop("gap_")

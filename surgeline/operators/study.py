@@ -145,3 +145,12 @@ def reconcile(old: DataFrame, new: DataFrame) -> DataFrame:
     dn, dw, dm = F.col("new_n") - F.col("n"), F.col("new_win_rate") - F.col("win_rate"), F.col("new_median_ret") - F.col("median_ret")
     due = F.coalesce(F.abs(dw) > 0.02, F.lit(False)) | F.coalesce(F.abs(dm) > 0.01, F.lit(False)) | (F.abs(dn) > 2)
     return out.select("universe", "threshold", "horizon", dn.alias("delta_n"), dw.alias("delta_win"), dm.alias("delta_median"), due.alias("erratum"))
+
+
+def study(bench: DataFrame, signal: DataFrame, fwd: DataFrame, draws: int = 2000, thresholds=THRESHOLDS, gap: int = 63) -> DataFrame:
+    """Every cell's lift over the baseline, with the clusters of its threshold's events (which need no known return)."""
+    lifted = lift(conditional(signal, fwd, bench, thresholds), baseline(fwd, draws))
+    rows = signal.where("event").join(bench.select("universe", "session", "date"), ["universe", "session"])
+    each = F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: F.col("score") >= t)
+    groups = clusters(rows.select("universe", "date", F.explode(each).alias("threshold")), ["universe", "threshold"], gap)
+    return lifted.join(groups, ["universe", "threshold"], "left").withColumn("clusters", F.coalesce("clusters", F.lit(0)))

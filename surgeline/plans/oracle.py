@@ -126,8 +126,10 @@ TABLES: dict[str, str] = {
 TABLES["etilts"] = """SELECT CASE WHEN year(b.date) < 1999 THEN 'early' ELSE 'late' END AS variant, t.delta, t.hold, t.session AS orig, t.tilt,
     row_number() OVER (PARTITION BY year(b.date) < 1999 ORDER BY t.session) AS session FROM tilts t JOIN bonds b ON b.session = t.session"""
 TABLES["turns"] = """SELECT draw, n, (((x * 48271 + draw * 16807 + 7) % 2147483647) * 48271) % 2147483647 * (n - 1) // 2147483647 + 1 AS k
-    FROM (SELECT (CAST(12345 AS BIGINT) * 48271 + 42 * 16807 + 7) % 2147483647 AS x, (SELECT count(*) FROM cal) AS n) CROSS JOIN (SELECT CAST(range AS BIGINT) AS draw FROM range(20))"""
+    FROM (SELECT (CAST(12345 AS BIGINT) * 48271 + 42 * 16807 + 7) % 2147483647 AS x, (SELECT count(*) FROM cal) AS n) CROSS JOIN (SELECT CAST(range AS BIGINT) AS draw FROM range(2000))"""
 TABLES["rtilts"] = "SELECT r.draw AS variant, t.delta, t.hold, (t.session - 1 + r.k) % r.n + 1 AS session, (t.session - 1 + r.k) % r.n + 1 AS orig, t.tilt FROM tilts t CROSS JOIN turns r"
+#: Rotations are too many for the recurrence: growth between trades by running products instead.
+TABLES["snapm"] = "SELECT CAST(date_trunc('month', date) AS DATE) AS m, count(DISTINCT ticker) AS k FROM memb GROUP BY 1"
 for x in "er":
     TABLES[f"{x}legs"] = TABLES["legs"].replace("b.session, least", "t.session, least").replace("WHEN b.session = 1", "WHEN t.session = 1").replace("FROM tilts t JOIN bonds b ON b.session = t.session", f"FROM {x}tilts t JOIN bonds b ON b.session = t.orig")
     TABLES[f"{x}legs2"] = TABLES["legs2"].replace("FROM legs", f"FROM {x}legs")
@@ -135,6 +137,14 @@ for x in "er":
     TABLES[f"{x}rets"] = TABLES["rets"].replace("FROM sim", f"FROM {x}sim")
     TABLES[f"{x}met0"] = TABLES["met0"].replace("FROM rets", f"FROM {x}rets")
     TABLES[f"{x}met"] = TABLES["met"].replace("FROM met0", f"FROM {x}met0")
+TABLES["wseg"] = """SELECT *, coalesce(sum(CAST(trade AS INTEGER)) OVER b, 0) AS seg, coalesce(last_value(CASE WHEN trade OR session = 1 THEN target END IGNORE NULLS) OVER b, target) AS w0
+    FROM rlegs2 WINDOW b AS (PARTITION BY variant ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+TABLES["wgrow"] = """SELECT *, w0 * exp(sum(ln(1 + eq)) OVER s) AS e, (1 - w0) * exp(sum(ln(1 + bd)) OVER s) AS f FROM wseg WINDOW s AS (PARTITION BY variant, seg ORDER BY session)"""
+TABLES["wday"] = f"""SELECT variant, session, CASE WHEN trade AND abs(target - e / (e + f)) > {T.min_trade} THEN abs(target - e / (e + f)) ELSE 0e0 END AS moved, (e + f) / coalesce(lag(e + f) OVER (PARTITION BY variant, seg ORDER BY session), 1e0) AS grown FROM wgrow"""
+TABLES["wcurve"] = f"SELECT variant, session, moved, exp(sum(ln(grown - moved * {T.cost_bps} / 10000e0)) OVER (PARTITION BY variant ORDER BY session)) AS equity FROM wday"
+TABLES["wrets"] = "SELECT *, equity / lag(equity) OVER w - 1 AS r, equity / max(equity) OVER w - 1 AS dd FROM wcurve WINDOW w AS (PARTITION BY variant ORDER BY session)"
+TABLES["wmet0"] = "SELECT variant, count(r) / 252e0 AS years, max_by(equity, session) AS final, stddev_samp(r) * sqrt(252) AS vol FROM wrets GROUP BY 1"
+TABLES["wmet"] = "SELECT variant, pow(final, 1 / years) - 1 AS cagr, (pow(final, 1 / years) - 1) / vol AS sharpe FROM wmet0"
 TABLES["mwide"] = TABLES["wide"].replace("{panel}", "mpanel")
 TABLES["wide"] = TABLES["wide"].replace("{panel}", "panel")
 TABLES["mdaily"] = TABLES["daily"].replace("JOIN wide w", "JOIN mwide w")
@@ -153,7 +163,7 @@ def sql(final: str, **params) -> str:
                 need.add(name)
                 todo.append(TABLES[name])
     fill = {"draws": 50, "block": 21, "variants": "('V1', 2e-1, 21)"} | params
-    body = ",\n".join(f"{k} AS {'' if k in ('ema', 'sim', 'esim', 'rsim') else 'MATERIALIZED '}({TABLES[k]})" for k in order if k in need)
+    body = ",\n".join(f"{k} AS {'' if k.endswith(('ema', 'sim')) else 'MATERIALIZED '}({TABLES[k]})" for k in order if k in need)
     out = f"WITH RECURSIVE {body}\n{final}" if need else final
     for k, v in fill.items():
         out = out.replace("{" + k + "}", str(v))

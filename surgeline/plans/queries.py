@@ -14,7 +14,7 @@ from surgeline.operators import guards as G
 from surgeline.operators import portfolio as PF
 from surgeline.operators import stress as ST
 from surgeline.operators import study as E
-from surgeline.params import HORIZONS, RELAXED, THRESHOLDS
+from surgeline.params import HORIZONS, RELAXED, THRESHOLDS, TiltParams
 from surgeline.plans.oracle import any_in, r, sql
 from surgeline.sources import panel as D
 
@@ -227,7 +227,7 @@ def forward_returns_grid(spark, d):
     return rounded(_study(spark, d)[3], "session", "horizon", "fwd")
 
 
-@query(f"SELECT CAST(session AS BIGINT) AS session, horizon, {r('mdd')} FROM fwd WHERE horizon IN ('1w', '1m', '3m')")
+@query(f"SELECT CAST(session AS BIGINT) AS session, horizon, {r('mdd')} FROM fwd")
 def forward_max_drawdown(spark, d):
     _, bench, _, fwd = _study(spark, d)
     return rounded(fwd.join(E.drawdowns(fwd, bench), ["universe", "session", "horizon"], "left"), "session", "horizon", "mdd")
@@ -274,10 +274,10 @@ def cluster_count(spark, d):
     return rounded(_cluster_rows(spark, d), "threshold", "clusters")
 
 
-@query("SELECT CASE WHEN win_beyond_noise AND ret_beyond_noise THEN 'PASS' ELSE 'FAIL' END AS verdict FROM lifted WHERE threshold = 3 AND horizon = '6m'", draws=DRAWS)
+@query("SELECT CASE WHEN win_beyond_noise AND ret_beyond_noise THEN 'PASS' ELSE 'FAIL' END AS verdict, (win_beyond_noise OR ret_beyond_noise) AND (SELECT coalesce(CAST(sum(fresh) AS BIGINT), 0) FROM (SELECT CASE WHEN date_diff('day', lag(b.date) OVER (ORDER BY b.date), b.date) <= 21 THEN 0 ELSE 1 END AS fresh FROM sig s JOIN bw b ON b.session = s.session WHERE s.event AND s.score >= 3)) < 10 AS caveat FROM lifted WHERE threshold = 3 AND horizon = '6m'", draws=DRAWS)
 def decision_rule(spark, d):
     _, bench, signal, fwd = _study(spark, d)
-    return E.decision(E.lift(E.conditional(signal, fwd, bench), E.baseline(fwd, DRAWS)), _cluster_rows(spark, d)).select("verdict")
+    return E.decision(E.lift(E.conditional(signal, fwd, bench), E.baseline(fwd, DRAWS)), _cluster_rows(spark, d)).select("verdict", "caveat")
 
 
 @query("SELECT count(*) AS n, round(CASE WHEN count(*) >= 3 THEN corr(a, b) END, 6) AS rho FROM (SELECT rank() OVER (ORDER BY threshold) + 0e0 AS a, rank() OVER (ORDER BY win_lift) + (count(*) OVER (PARTITION BY win_lift) - 1) / 2e0 AS b FROM lifted WHERE horizon = '6m' AND n > 0)", draws=DRAWS)
@@ -286,7 +286,7 @@ def spearman_monotonicity(spark, d):
     return rounded(E.monotonic(E.lift(E.conditional(signal, fwd, bench), E.baseline(fwd, DRAWS))), "n", "rho")
 
 
-@query("SELECT e.date AS event_date, CAST(e.n_dimensions AS BIGINT) AS n_dimensions, CAST(e.session + 1 AS BIGINT) AS anchor, " + ", ".join(f"round((SELECT px FROM bench WHERE session = e.session + 1 + {h}) / b.px - 1, 6) AS ret_{k}" for k, h in HORIZONS.items()) + ", round((SELECT max_by(px, session) FROM bench) / b.px - 1, 6) AS ret_to_date FROM (SELECT * FROM comp WHERE event AND n_dimensions >= 1 AND session <= 2400 ORDER BY session DESC LIMIT 1) e JOIN bench b ON b.session = e.session + 1")
+@query("SELECT e.date AS event_date, CAST(e.n_dimensions AS BIGINT) AS n_dimensions, CAST(e.session + 1 AS BIGINT) AS anchor, " + ", ".join(f"round((SELECT px FROM bench WHERE session = e.session + 1 + {h}) / b.px - 1, 6) AS ret_{k}" for k, h in HORIZONS.items()) + ", round((SELECT max_by(px, session) FROM bench) / b.px - 1, 6) AS ret_to_date FROM (SELECT * FROM comp WHERE event AND n_dimensions >= 1 ORDER BY session DESC LIMIT 1) e JOIN bench b ON b.session = e.session + 1")
 def last_signal(spark, d):
     return rounded(E.last_signal(_comp(spark, d), _bench(spark, d)), "event_date", "n_dimensions", "anchor", *[f"ret_{k}" for k in HORIZONS], "ret_to_date")
 
@@ -302,10 +302,10 @@ def timeline(spark, d):
     return rounded(comp, "date", "n_dimensions", "d1_on", "d2_on", "d3_on", "d4_on", "event", "px")
 
 
-@query("SELECT CAST(a.threshold AS BIGINT) AS threshold, a.horizon, CAST(b.n - a.n AS BIGINT) AS delta_n, round(b.win_rate - a.win_rate, 6) AS delta_win, (coalesce(abs(b.win_rate - a.win_rate) > 0.02, false) OR coalesce(abs(b.median_ret - a.median_ret) > 0.01, false) OR abs(b.n - a.n) > 2) AS erratum FROM cond a JOIN (SELECT t.threshold, z.horizon, count(f.fwd) AS n, avg(CASE WHEN f.fwd > 0 THEN 1e0 WHEN f.fwd IS NOT NULL THEN 0e0 END) AS win_rate, quantile_cont(f.fwd, 0.5) AS median_ret FROM th t CROSS JOIN hz z LEFT JOIN (SELECT s.score, f.horizon, f.fwd FROM sig s JOIN fw f ON f.session = s.session WHERE s.event AND f.fwd IS NOT NULL AND s.session > 1000) f ON f.horizon = z.horizon AND f.score >= t.threshold GROUP BY 1, 2) b ON b.threshold = a.threshold AND b.horizon = a.horizon")
+@query("SELECT CAST(a.threshold AS BIGINT) AS threshold, a.horizon, CAST(b.n - a.n AS BIGINT) AS delta_n, round(b.win_rate - a.win_rate, 6) AS delta_win, round(b.median_ret - a.median_ret, 6) AS delta_median, (coalesce(abs(b.win_rate - a.win_rate) > 0.02, false) OR coalesce(abs(b.median_ret - a.median_ret) > 0.01, false) OR abs(b.n - a.n) > 2) AS erratum FROM cond a JOIN (SELECT t.threshold, z.horizon, count(f.fwd) AS n, avg(CASE WHEN f.fwd > 0 THEN 1e0 WHEN f.fwd IS NOT NULL THEN 0e0 END) AS win_rate, quantile_cont(f.fwd, 0.5) AS median_ret FROM th t CROSS JOIN hz z LEFT JOIN (SELECT s.score, f.horizon, f.fwd FROM sig s JOIN fw f ON f.session = s.session WHERE s.event AND f.fwd IS NOT NULL AND s.session > 1000) f ON f.horizon = z.horizon AND f.score >= t.threshold GROUP BY 1, 2) b ON b.threshold = a.threshold AND b.horizon = a.horizon")
 def reconcile_windows(spark, d):
     _, bench, signal, fwd = _study(spark, d)
-    return rounded(E.reconcile(E.conditional(signal, fwd, bench), E.conditional(signal.where("session > 1000"), fwd, bench)), "threshold", "horizon", "delta_n", "delta_win", "erratum")
+    return rounded(E.reconcile(E.conditional(signal, fwd, bench), E.conditional(signal.where("session > 1000"), fwd, bench)), "threshold", "horizon", "delta_n", "delta_win", "delta_median", "erratum")
 
 
 # stress
@@ -329,7 +329,7 @@ def level_change_regression(spark, d):
 
 
 @query(
-    """SELECT round(quantile_cont(slope, 0.5), 6) AS slope_med, round(quantile_cont(slope, 0.05), 6) AS slope_lo5, round(quantile_cont(slope, 0.95), 6) AS slope_hi95 FROM (
+    """SELECT round(quantile_cont(slope, 0.5), 6) AS slope_med, round(quantile_cont(slope, 0.05), 6) AS slope_lo5, round(quantile_cont(slope, 0.95), 6) AS slope_hi95, quantile_cont(slope, 0.05) > 0 OR quantile_cont(slope, 0.95) < 0 AS excludes_zero FROM (
     SELECT s.draw, covar_pop(p.x, p.y) / stddev_pop(p.x) AS slope FROM (
       SELECT draw, (u * greatest(n - {block}, 1)) // 2147483647 AS start FROM (
         SELECT draw, n, (((z * 48271 + b * 16807 + 7) % 2147483647) * 48271) % 2147483647 AS u FROM (
@@ -341,7 +341,7 @@ def bootstrap_slope(spark, d):
     fwd = _study(spark, d, {"1m": 21})[3].where("fwd is not null")
     rows = _level(spark, d).where("level is not null").join(fwd, ["universe", "session"])
     rows = rows.select(F.col("universe").alias("key"), (F.row_number().over(S.by("universe")) - 1).cast("long").alias("i"), F.col("level").alias("x"), F.col("fwd").alias("y"))
-    return rounded(ST.bootstrap_slopes(rows, DRAWS, 21), "slope_med", "slope_lo5", "slope_hi95")
+    return rounded(ST.bootstrap_slopes(rows, DRAWS, 21), "slope_med", "slope_lo5", "slope_hi95", "excludes_zero")
 
 
 _q = "(SELECT quantile_cont(pct_above, {q}) FROM cw)"
@@ -416,7 +416,7 @@ def _tilts(spark, d, variants):
 
 
 _KEYS = ["universe", "variant", "delta", "hold"]
-_GRID = [(v, x, h) for v in ("V1", "V2") for x in (0.1, 0.3) for h in (10, 42)]
+_GRID = [(v, x, h) for v in TiltParams().variants for x in TiltParams().deltas for h in TiltParams().holds]
 _values = lambda vs: ", ".join(f"('{v}', {int(x * 10)}e-1, {h})" for v, x, h in vs)
 _METRICS = ["cagr", "vol", "sharpe", "max_dd", "years", "turnover_per_year"]
 
@@ -458,9 +458,9 @@ def era_split(spark, d):
     return rounded(PF.metrics(PF.backtest(rows, [*_KEYS, "era"]), [*_KEYS, "era"]), "era", *_METRICS)
 
 
-@query("SELECT " + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {c}_p{n}" for c, q, n in (("sharpe", 0.05, "05"), ("sharpe", 0.5, "50"), ("sharpe", 0.95, "95"), ("cagr", 0.5, "50"), ("cagr", 0.95, "95"))) + " FROM rmet", variants=_values([("V1", 0.2, 21)]))
+@query("SELECT " + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {c}_p{n}" for c, q, n in (("sharpe", 0.05, "05"), ("sharpe", 0.5, "50"), ("sharpe", 0.95, "95"), ("cagr", 0.5, "50"), ("cagr", 0.95, "95"))) + " FROM wmet", variants=_values([("V1", 0.2, 21)]))
 def rotation_null(spark, d):
-    """Metrics of 2,000 rotations of the tilt; their distribution is the null. The SQL takes 20 of them."""
+    """Metrics of 2,000 rotations of the tilt; their distribution is the null."""
     rows = _tilts(spark, d, [("V1", 0.2, 21)]).select("session", "date", "px", "bond_ret", "tilt").persist()
     return rounded(PF.null_points(PF.metrics(PF.backtest(PF.rotations(rows, ROTATIONS), ["draw"]), ["draw"])), "sharpe_p05", "sharpe_p50", "sharpe_p95", "cagr_p50", "cagr_p95")
 
@@ -480,19 +480,40 @@ def episode_starts(spark, d):
 
 
 def event_match_5(spark, d):
-    """Greedy matches within 5 hours (sequential, so without SQL)."""
+    """Greedy matches within 5 hours."""
     _, a, b = _sides(spark, d, 4)
-    return C.match_events(a, b).select("key", "n_a", "n_b", F.size("pairs").alias("matched"), F.to_json("pairs").alias("pairs"), F.array_join("unmatched_a", ",").alias("unmatched_a"), F.array_join("unmatched_b", ",").alias("unmatched_b"))
+    return C.match_events(a, b).select("key", F.size("pairs").cast("long").alias("matched"), F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"), F.array_join(F.transform("pairs", lambda p: F.concat_ws(":", p["a"], p["b"])), ",").alias("pairs"), F.array_join("unmatched_a", ",").alias("unmatched_a"), F.array_join("unmatched_b", ",").alias("unmatched_b"))
 
 
 def one_sided_events(spark, d):
     flags, a, b = _sides(spark, d, 7)
-    return C.one_sided(a, b, flags.groupBy("key").agg(F.max("session").alias("last")))
+    return rounded(C.one_sided(a, b, flags.groupBy("key").agg(F.max("session").alias("last"))), "key", "side", "session", "pending")
 
 
 QUERIES |= {"event_match_5": event_match_5, "one_sided_events": one_sided_events}
 
 
+def _matching(shift: int, rest: str) -> str:
+    """Lists of both sides' events, the greedy matches of a with b (m), and those of what is left of b with all of a (m2): each step takes the next event, and the nearest within 5 that isn't taken, the earlier of equals."""
+
+    def steps(name: str, xs: str, ys: str) -> str:
+        best = f"list_sort(list_transform(list_filter({ys}, lambda y: NOT list_contains(used, y)), lambda y: {{'d': abs(y - {xs}[i + 1]), 'y': y}}))[1]"
+        return f"{name} AS (SELECT key, 0 AS i, CAST([] AS INTEGER[]) AS used, CAST([] AS VARCHAR[]) AS pairs, CAST([] AS INTEGER[]) AS hit FROM {name}0 UNION ALL SELECT key, i + 1, CASE WHEN near.d <= 5 THEN list_append(used, near.y) ELSE used END, CASE WHEN near.d <= 5 THEN list_append(pairs, x || ':' || near.y) ELSE pairs END, CASE WHEN near.d <= 5 THEN list_append(hit, x) ELSE hit END FROM (SELECT s.key, i, used, pairs, hit, {xs}[i + 1] AS x, {best} AS near FROM {name} s JOIN {name}0 l ON l.key = s.key WHERE i < len({xs})))"
+
+    starts = sql("SELECT key, CAST(session AS INTEGER) AS session FROM starts2")
+    done = lambda name, xs: f"{name}d AS (SELECT s.*, l.a, l.b FROM {name} s JOIN {name}0 l ON l.key = s.key WHERE i = len({xs}))"
+    return f"""WITH RECURSIVE e AS MATERIALIZED ({starts}), f AS MATERIALIZED (SELECT DISTINCT key, CASE WHEN session % 3 = 0 THEN session + {shift} ELSE session - 1 END AS session FROM e),
+    m0 AS MATERIALIZED (SELECT x.key, x.a, y.b FROM (SELECT key, list(session ORDER BY session) AS a FROM e GROUP BY 1) x JOIN (SELECT key, list(session ORDER BY session) AS b FROM f GROUP BY 1) y ON y.key = x.key),
+    {steps("m", "a", "b")}, {done("m", "a")},
+    left_ AS MATERIALIZED (SELECT key, pairs, a, b, list_filter(a, lambda x: NOT list_contains(hit, x)) AS ua, list_filter(b, lambda y: NOT list_contains(used, y)) AS ub FROM md),
+    n0 AS MATERIALIZED (SELECT key, ub AS a, a AS b FROM left_), {steps("n", "a", "b")}, {done("n", "a")} {rest}"""
+
+
+ORACLE_SQL["event_match_5"] = _matching(4, "SELECT key, CAST(len(pairs) AS BIGINT) AS matched, CAST(len(a) AS BIGINT) AS n_a, CAST(len(b) AS BIGINT) AS n_b, array_to_string(pairs, ',') AS pairs, array_to_string(ua, ',') AS unmatched_a, array_to_string(ub, ',') AS unmatched_b FROM left_")
+_ends = sql("SELECT key, max(session) AS last FROM hours GROUP BY 1")
+ORACLE_SQL["one_sided_events"] = _matching(7, f"SELECT o.key, o.side, CAST(o.session AS BIGINT) AS session, z.last - o.session <= 5 AS pending FROM (SELECT key, 'self' AS side, unnest(ua) AS session FROM left_ UNION ALL SELECT n.key, 'vendor', unnest(list_filter(n.a, lambda x: NOT list_contains(n.hit, x))) FROM nd n) o JOIN ({_ends}) z ON z.key = o.key")
+
+
 @query("SELECT date FROM (SELECT date, pct_above > 0.5 AS x, high_ratio > 0.5 AS y, row_number() OVER (ORDER BY date DESC) AS k FROM ln WHERE pct_above IS NOT NULL AND high_ratio IS NOT NULL) WHERE k <= 90 AND x <> y")
 def flag_mismatch_tail(spark, d):
     df = _lines(spark, d).where("pct_above is not null and high_ratio is not null")
@@ -517,7 +538,10 @@ def edge_compare(spark, d):
     return rounded(C.edge_compare(*_edge(spark, d)), "date", "field", "deployed", "candidate")
 
 
-@query("SELECT CAST(10 AS BIGINT) AS days_compared, false AS insufficient_overlap, count(*) AS mismatches, count(*) AS mismatch_days FROM comp WHERE session > 2387 AND session <= 2397 AND session % 3 = 0")
+_sides_sql = "(SELECT a.date, a.session, a.d2_on AS x, CASE WHEN a.session % 3 = 0 THEN NOT a.d2_on ELSE a.d2_on END AS y, row_number() OVER (ORDER BY a.date DESC) AS k, count(*) OVER () AS n FROM comp a WHERE a.session <= 2400 AND a.session <= 2397)"
+
+
+@query(f"SELECT max(least(n, 10)) AS days_compared, bool_or(n < 10) AS insufficient_overlap, count(*) FILTER (k <= 10 AND n >= 10 AND x <> y) AS mismatches, count(DISTINCT CASE WHEN k <= 10 AND n >= 10 AND x <> y THEN date END) AS mismatch_days FROM {_sides_sql}")
 def edge_summary(spark, d):
     return rounded(C.edge_summary(*_edge(spark, d)), "days_compared", "insufficient_overlap", "mismatches", "mismatch_days")
 
@@ -531,11 +555,15 @@ def unit_detection(spark, d):
 # guards
 
 
-@query("SELECT CAST(ticker AS VARCHAR) AS symbol, CAST(count(*) FILTER (ticker % 3 = 0 AND date >= DATE '2001-01-01') AS BIGINT) AS only_a FROM cells GROUP BY ticker HAVING count(*) FILTER (ticker % 3 = 0 AND date >= DATE '2001-01-01') > 0")
+_late, _early = "ticker % 3 = 0 AND date >= DATE '2001-01-01'", "ticker % 4 = 1 AND date < DATE '1995-03-01'"
+
+
+@query(f"SELECT CAST(ticker AS VARCHAR) AS symbol, count(*) FILTER ({_late}) AS only_a, count(*) FILTER ({_early}) AS only_b FROM cells WHERE NOT ({_late} AND {_early}) GROUP BY ticker HAVING count(*) FILTER ({_late}) + count(*) FILTER ({_early}) > 0")
 def basis_integrity(spark, d):
     c = D.cells(spark, d).select(F.col("ticker").cast("string").alias("symbol"), "date", "ticker")
-    both = c.withColumn("basis", F.lit("TOTALRETURN")).union(c.where("not (ticker % 3 = 0 and date >= date'2001-01-01')").withColumn("basis", F.lit("NONE")))
-    return rounded(G.basis_gaps(both, "TOTALRETURN", "NONE"), "symbol", "only_a")
+    late, early = (F.expr(x.replace("DATE ", "date")) for x in (_late, _early))
+    both = c.where(~early).withColumn("basis", F.lit("TOTALRETURN")).union(c.where(~late).withColumn("basis", F.lit("NONE")))
+    return rounded(G.basis_gaps(both, "TOTALRETURN", "NONE"), "symbol", "only_a", "only_b")
 
 
 @query("SELECT CAST(ticker AS VARCHAR) AS symbol, date, px, volume FROM cells WHERE ticker % 4 > 0")
@@ -558,7 +586,15 @@ def base_ticker_collisions(spark, d):
     return rounded(out.select(F.col("p_brand").alias("base"), "uses"), "base", "uses")
 
 
-@query("SELECT 'same' AS roster, 'ok' AS reason UNION ALL SELECT 'fewer', 'source has fewer snapshots' UNION ALL SELECT 'earlier', 'source ends earlier' UNION ALL SELECT 'hollow', 'a source snapshot has no tickers' UNION ALL SELECT 'none', 'source snapshots empty'")
+_rosters = """SELECT CASE WHEN s.n = 0 THEN 'the source is empty' WHEN s.n < c.n THEN 'the source is shorter' WHEN s.last < c.last THEN 'the source is older' WHEN s.hollow > 0 THEN 'the source has an empty snapshot' ELSE 'ok' END AS reason, s.roster FROM (
+    SELECT roster, count(m) AS n, max(m) AS last, count(*) FILTER (k = 0) AS hollow FROM (
+      SELECT 'same' AS roster, m, k FROM snapm UNION ALL SELECT 'fewer', m, k FROM snapm WHERE m > (SELECT min(m) FROM snapm)
+      UNION ALL SELECT 'earlier', CASE WHEN m = (SELECT max(m) FROM snapm) THEN m - 3 ELSE m END, k FROM snapm
+      UNION ALL SELECT 'hollow', m, CASE WHEN m = (SELECT max(m) FROM snapm) THEN 0 ELSE k END FROM snapm UNION ALL SELECT 'none', NULL, NULL) GROUP BY 1) s
+    CROSS JOIN (SELECT count(*) AS n, max(m) AS last FROM snapm) c"""
+
+
+@query(_rosters)
 def roster_validation(spark, d):
     snaps = _members(spark, d).groupBy(F.trunc("date", "MM").cast("date").alias("snapshot_date")).agg(F.count_distinct("ticker").cast("int").alias("n_tickers"))
     last, first = snaps.agg(F.max("snapshot_date").alias("last")), snaps.agg(F.min("snapshot_date").alias("first"))
