@@ -384,17 +384,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     kind = docs.schema["id"].dataType.simpleString()
     crowded = crowded_cells(docs, words)
     rows = scratch.table(docs.mapInArrow(kept_rows(words, num, den, crowded, TOGETHER), f"id {kind}, th long, n long, node long, sigs array<long>, crowds array<long>, hubs array<long>"))
-    edges = candidates(rows, num, den, scratch)
-    blocks = connected_components(edges, scratch)
+    inner = Scratch(spark, "jaccard-blocks")  # of tables that the result doesn't read
+    edges = candidates(rows, num, den, inner)
+    blocks = connected_components(edges, inner)
     # one document stands for each set; large blocks are dealt out in parts
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep")
-    owners = scratch.table(rows.where("n > 0").groupBy("node").agg(rep, F.first("n").alias("n")).join(blocks, "node"))
+    owners = inner.table(rows.where("n > 0").groupBy("node").agg(rep, F.first("n").alias("n")).join(blocks, "node"))
     parts = owners.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
     members = owners.join(parts, "root").select("node", "root", "n", "parts", F.pmod(F.hash("node"), F.col("parts")).alias("part"))
-    members = scratch.table(members)
+    members = inner.table(members)
     who = maybe_broadcast(owners.select("node", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth")), 500_000)
     texts = docs.join(who, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("node", "text")
-    texts = scratch.table(texts.mapInArrow(once, "node long, text string"))
+    texts = inner.table(texts.mapInArrow(once, "node long, text string"))
 
     def within(df: DataFrame) -> DataFrame:
         df = df.join(texts, "node").repartition("block", "part").sortWithinPartitions("block", "part")
@@ -402,8 +403,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
     # part 0 meets every part
     meets = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))).otherwise(F.array("part"))
-    links = scratch.table(within(members.select("node", F.col("root").alias("block"), F.explode(meets).alias("part"))))
-    roots = connected_components(links, scratch)
+    links = inner.table(within(members.select("node", F.col("root").alias("block"), F.explode(meets).alias("part"))))
+    roots = connected_components(links, inner)
     large = members.where("parts > 1")
     if large.limit(1).count():
         # any link that is still missing has an end outside the largest component of its block; such ends meet every part
@@ -416,11 +417,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         cells = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda x: x * F.col("parts") + F.col("part"))
         own = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda y: F.pmod(F.hash("node", F.lit(1)), F.col("minors")) * F.col("parts") + y)
         group = group.withColumn("cells", F.when(F.col("minor"), F.array_distinct(F.concat(cells, own))).otherwise(cells))
-        roots = connected_components(links.union(within(group.select("node", "block", F.explode("cells").alias("part")))), scratch)
+        roots = connected_components(links.union(within(group.select("node", "block", F.explode("cells").alias("part")))), inner)
     # the least id of each component goes to its sets, and from there to the rows; sets of one row and no link need none
     least = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("many")).join(roots, "node", "left").where("many > 1 or root is not null")
-    least = scratch.table(least.select("node", F.coalesce("root", "node").alias("root"), "least"))
-    lowest = scratch.table(least.groupBy("root").agg(F.min("least").alias("lowest")))
+    least = inner.table(least.select("node", F.coalesce("root", "node").alias("root"), "least"))
+    lowest = inner.table(least.groupBy("root").agg(F.min("least").alias("lowest")))
     least = scratch.table(least.select("node", "root").join(lowest, "root").select(F.col("node").alias("of"), "lowest"))
+    inner.clear()
     out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(maybe_broadcast(least, 500_000), F.col("node") == F.col("of"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("lowest", "id").alias("component_id"))

@@ -41,10 +41,28 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, which cut lineage: lost executors lose none of them."""
+    """Tables written to the shared folder, which cut lineage: lost executors lose none of them.
+
+    What an operator returns may still read its tables, so it clears only those that
+    nothing reads; a caller that has written the result clears the rest with clear_since.
+    """
+
+    made: list["Scratch"] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", 0
+        Scratch.made.append(self)
+
+    @classmethod
+    def clear_since(cls, mark: int) -> None:
+        """Deletes the tables of all that were made after the first mark ones."""
+        for s in cls.made[mark:]:
+            s.clear()
+        del cls.made[mark:]
+
+    def clear(self) -> None:
+        """Deletes all its tables."""
+        self._delete(self.root)
 
     def table(self, df: DataFrame) -> DataFrame:
         """Writes df as Parquet and reads it again."""
@@ -57,10 +75,12 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            self._delete(t.scratch_path)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def small(df: DataFrame, rows: int) -> bool:
