@@ -19,13 +19,23 @@ from surgeline.llm.shared import Scratch, maybe_broadcast
 
 
 def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; labels name the trusted ones."""
+    """Documents that the quality rules reject go; labels name the trusted ones.
+
+    Null and empty texts have too few words, so they go. Repeated rows have equal
+    results, all of them stay or go. A null id is never trusted. An empty table gives
+    none. Long texts are judged whole; other columns go along, whatever their names.
+    """
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("id"))
     return kept_rows(quality_rules(docs, trusted))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles with a similarity of 0.8 or more, the document with the smallest id stays; of rows with one id, or none, one. Documents without words stay."""
+    """Of each group linked by five-word shingles with a similarity of 0.8 or more, the document with the smallest id stays.
+
+    A null id comes last; of rows with one id and text, or of ids that tie, one stays.
+    Null and empty texts are like nothing, so all of them stay, repeated rows included.
+    An empty table gives none. Long texts are compared whole; other columns go along.
+    """
     scratch = Scratch(spark, "near-duplicates")
     columns = docs.columns
     key = "key_"
@@ -43,12 +53,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go.
+
+    Null and empty texts stay. Repeated rows have equal results. Empty tables give
+    none, or all of docs. Long texts are searched whole; other columns go along.
+    """
     return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select("doc.*")
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts gives way to its kind, and n_chars follows."""
+    """Personal data in the texts gives way to its kind, and n_chars follows.
+
+    Every row stays. A null text stays null, with a null n_chars; an empty one stays
+    empty. Repeated rows have equal results. An empty table gives none. Long texts are
+    searched whole; other columns go along.
+    """
     out = redact(docs)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType))
@@ -56,7 +75,12 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in sequences of at most 2048."""
+    """The documents' tokens in sequences of at most 2048.
+
+    Every row is packed once, repeated rows and null ids too; null and empty texts are
+    one token. An empty table gives none. Long texts are cut into pieces; other columns
+    aren't read.
+    """
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -78,6 +102,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, one after another."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        mark = len(Scratch.made)
+        done = scratch.table(stage(spark, docs, sf_dir))
+        Scratch.clear_since(mark)
+        if k:
+            scratch.drop(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
