@@ -24,7 +24,7 @@ def pair_stats(a: DataFrame, b: DataFrame, least: int = 250) -> DataFrame:
 def in_units(series: DataFrame) -> DataFrame:
     """Percentages become shares: where a series' largest value is over 1.5, all go by 100."""
     top = series.groupBy("key").agg(F.max("value").alias("top"))
-    return series.join(F.broadcast(top), "key").withColumn("value", F.when(F.col("top") > 1.5, F.col("value") / 100.0).otherwise(F.col("value"))).drop("top")
+    return series.join(top, "key").withColumn("value", F.when(F.col("top") > 1.5, F.col("value") / 100.0).otherwise(F.col("value"))).drop("top")
 
 
 def flag_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -53,9 +53,19 @@ def _matches(a: F.Column, b: F.Column, reach: int) -> F.Column:
     return F.aggregate(a, first, take)["pairs"]
 
 
+#: Events of a key that are matched one by one.
+MOST = 20_000
+
+
+def _listed(events: DataFrame, name: str) -> DataFrame:
+    few = F.when(F.count("*") > MOST, F.raise_error(F.lit("too many events of a key to match"))).otherwise(F.lit(1)).cast("int")
+    out = events.groupBy("key").agg(F.sort_array(F.collect_list("session")).alias(name), few.alias("few_"))
+    return out.where("few_ = 1").drop("few_")
+
+
 def match_events(a: DataFrame, b: DataFrame, reach: int = 5) -> DataFrame:
-    """a, b (key, session): (key, n_a, n_b, pairs, unmatched_a, unmatched_b). Events of a key are episodes, so few."""
-    la, lb = a.groupBy("key").agg(F.sort_array(F.collect_list("session")).alias("a")), b.groupBy("key").agg(F.sort_array(F.collect_list("session")).alias("b"))
+    """a, b (key, session): (key, n_a, n_b, pairs, unmatched_a, unmatched_b). Events of a key are episodes, so few; a key with more than MOST is an error, as matching takes them one by one."""
+    la, lb = (_listed(x, s) for x, s in ((a, "a"), (b, "b")))
     none = F.array().cast("array<int>")
     j = la.join(lb, "key", "full_outer").select("key", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
     j = j.withColumn("pairs", _matches(F.col("a"), F.col("b"), reach))
@@ -70,7 +80,7 @@ def one_sided(a: DataFrame, b: DataFrame, ends: DataFrame, reach: int = 5) -> Da
     m = match_events(a, b, reach)
     again = m.withColumn("second", _matches(F.col("unmatched_b"), F.col("a"), reach)).select("key", "unmatched_a", F.array_except("unmatched_b", F.transform("second", lambda p: p["a"])).alias("unmatched_b"))
     rows = again.select("key", F.lit("self").alias("side"), F.explode("unmatched_a").alias("session")).union(again.select("key", F.lit("vendor"), F.explode("unmatched_b")))
-    return rows.join(F.broadcast(ends), "key").select("key", "side", "session", (F.col("last") - F.col("session") <= reach).alias("pending"))
+    return rows.join(ends, "key").select("key", "side", "session", (F.col("last") - F.col("session") <= reach).alias("pending"))
 
 
 def tail_mismatches(a: DataFrame, b: DataFrame, n: int) -> DataFrame:

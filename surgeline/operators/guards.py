@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -94,12 +94,10 @@ def payload_failures(payloads: DataFrame, max_lag: int = 3, max_age: int = 45, w
 
 
 def session_lag(as_of: DataFrame, sessions: DataFrame) -> DataFrame:
-    """as_of (name, date, now): completed sessions after the date, up to now."""
-    w = Window.orderBy("date").partitionBy("universe").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = sessions.select("universe", "date", F.count("*").over(w).alias("k")).select("date", "k")
-    upto = lambda c: F.max(F.when(F.col("s.date") <= F.col(c), F.col("s.k")))
-    j = as_of.alias("a").join(F.broadcast(numbered.alias("s")), F.col("s.date") <= F.col("a.now"), "left")
-    return j.groupBy("a.name").agg((F.coalesce(upto("a.now"), F.lit(0)) - F.coalesce(upto("a.date"), F.lit(0))).alias("lag"))
+    """as_of (name, date, now): completed sessions (any universe's) after the date, up to now. The days between are laid out, so the join is an equal one."""
+    after = F.when(F.col("now") > F.col("date"), F.sequence(F.date_add("date", 1), F.col("now"))).otherwise(F.array().cast("array<date>"))
+    days = as_of.select("name", F.explode(after).alias("date")).join(sessions.select("date").distinct(), "date")
+    return as_of.select("name").join(days.groupBy("name").agg(F.count("*").alias("n")), "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("lag"))
 
 
 def age_days(stamp: Column, now: Column, zone: str = "Asia/Singapore") -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from surgeline.functions.joins import measured
 from surgeline.functions.series import by
 
 
@@ -32,23 +33,24 @@ def bootstrap_slopes(rows: DataFrame, draws: int, block: int, seed: int = 42) ->
     drawn = sizes.select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.expr(f"n div {block}"), F.lit(1)) - 1)).alias("b"))
     drawn = drawn.withColumn("start", start_of(F.greatest(F.col("n") - block, F.lit(1)), F.lit(seed), F.col("draw"), F.col("b")))
     picked = drawn.select("key", "draw", F.explode(F.sequence("start", F.least(F.col("start") + block, F.col("n")) - 1)).alias("i"))
-    each = picked.join(F.broadcast(rows), ["key", "i"]).groupBy("key", "draw").agg((F.covar_pop("x", "y") / F.nullif(F.stddev_pop("x"), F.lit(0.0))).alias("slope"))
+    each = picked.join(measured(rows), ["key", "i"]).groupBy("key", "draw").agg((F.covar_pop("x", "y") / F.nullif(F.stddev_pop("x"), F.lit(0.0))).alias("slope"))
     q = lambda p: F.percentile("slope", F.lit(p))
     out = each.groupBy("key").agg(q(0.5).alias("slope_med"), q(0.05).alias("slope_lo5"), q(0.95).alias("slope_hi95"))
     return out.withColumn("excludes_zero", (F.col("slope_lo5") > 0) | (F.col("slope_hi95") < 0))
 
 
 def declustered(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """Greedy: an event stays if it is more than gap sessions after the last that stayed. rows (keys, i); events of a key are few."""
+    """Greedy: an event stays if it is more than gap sessions after the last that stayed. rows (keys, i); events of a key are few: more than 100,000 are an error, as they are thinned one by one."""
     kept = F.aggregate(F.sort_array(F.collect_list("i")), F.array().cast("array<int>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) > gap), F.concat(a, F.array(x))).otherwise(a))
-    return rows.groupBy(*keys).agg(kept.alias("kept")).select(*keys, F.explode("kept").alias("i"))
+    few = F.when(F.count("*") > 100_000, F.raise_error(F.lit("too many events of a key to thin"))).otherwise(F.lit(1)).cast("int")
+    return rows.groupBy(*keys).agg(kept.alias("kept"), few.alias("few_")).where("few_ = 1").select(*keys, F.explode("kept").alias("i"))
 
 
 def quartile_events(frame: DataFrame, gap: int = 21) -> DataFrame:
     """(universe, kind, session): falls under the first quartile and rises over the third of the whole sample, greedily thinned."""
     w = by("universe")
     q = frame.groupBy("universe").agg(F.percentile("level", F.lit(0.25)).alias("lo"), F.percentile("level", F.lit(0.75)).alias("hi"))
-    rows = frame.select("universe", "session", "level", F.lag("level").over(w).alias("before")).join(F.broadcast(q), "universe")
+    rows = frame.select("universe", "session", "level", F.lag("level").over(w).alias("before")).join(q, "universe")
     down, up = (F.col("level") < F.col("lo")) & (F.col("lo") <= F.col("before")), (F.col("level") > F.col("hi")) & (F.col("hi") >= F.col("before"))
     events = rows.select("universe", F.explode(F.filter(F.array(F.when(down, "washout_entry"), F.when(up, "strength_entry")), lambda k: k.isNotNull())).alias("kind"), F.col("session").alias("i"))
     return declustered(events, ["universe", "kind"], gap).withColumnRenamed("i", "session")

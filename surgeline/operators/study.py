@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from surgeline.functions.joins import measured
 from surgeline.functions.series import by
 from surgeline.params import HORIZONS, THRESHOLDS
 
@@ -30,7 +31,7 @@ def drawdowns(rows: DataFrame, bench: DataFrame) -> DataFrame:
 
 def in_window(comp: DataFrame) -> DataFrame:
     """Sessions from the first to the last with data_ok; days between stay, whatever they are."""
-    return comp.join(F.broadcast(comp.where("data_ok").groupBy("universe").agg(F.min("session").alias("lo"), F.max("session").alias("hi"))), "universe").where("session between lo and hi").drop("lo", "hi")
+    return comp.join(comp.where("data_ok").groupBy("universe").agg(F.min("session").alias("lo"), F.max("session").alias("hi")), "universe").where("session between lo and hi").drop("lo", "hi")
 
 
 def lagged(comp: DataFrame, bench: DataFrame) -> DataFrame:
@@ -79,8 +80,8 @@ def bootstrap_rows(fwd: DataFrame, draws: int, block: int, seed: int = 42) -> Da
     drawn = drawn.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("b"))
     drawn = drawn.withColumn("start", start_of(F.col("starts"), F.lit(seed), F.col("h"), F.col("draw"), F.col("b")))
     picked = drawn.select("universe", "horizon", "draw", F.explode(F.sequence("start", F.least(F.col("start") + block, F.col("n")) - 1)).alias("i"))
-    # the series is small beside its draws: one row for each session
-    return picked.join(F.broadcast(rows.select("universe", "horizon", "i", "fwd")), ["universe", "horizon", "i"]).select("universe", "horizon", "draw", "fwd")
+    # the series is small beside its draws: one row for each session and horizon
+    return picked.join(measured(rows.select("universe", "horizon", "i", "fwd")), ["universe", "horizon", "i"]).select("universe", "horizon", "draw", "fwd")
 
 
 def baseline(fwd: DataFrame, draws: int = 2000, block: int = 21, seed: int = 42) -> DataFrame:
@@ -95,7 +96,7 @@ def baseline(fwd: DataFrame, draws: int = 2000, block: int = 21, seed: int = 42)
 
 
 def lift(cond: DataFrame, base: DataFrame) -> DataFrame:
-    out = cond.join(F.broadcast(base), ["universe", "horizon"], "left")
+    out = cond.join(base, ["universe", "horizon"], "left")
     return out.select(
         "universe", "threshold", "horizon", "n", (F.col("win_rate") - F.col("base_win_rate")).alias("win_lift"), (F.col("median_ret") - F.col("base_median_ret")).alias("ret_lift"),
         F.coalesce(F.col("win_rate") > F.col("base_win_hi"), F.lit(False)).alias("win_beyond_noise"), F.coalesce(F.col("median_ret") > F.col("base_ret_hi"), F.lit(False)).alias("ret_beyond_noise"),
@@ -132,7 +133,7 @@ def last_signal(comp: DataFrame, bench: DataFrame, horizons: dict[str, int] = HO
     """The last event with a dimension on, its anchor (the next session), and the returns since then that are known."""
     at = comp.where("event and n_dimensions >= 1").groupBy("universe").agg(F.max_by(F.struct("session", "date", "n_dimensions"), "session").alias("e"))
     at = at.select("universe", F.col("e.date").alias("event_date"), F.col("e.n_dimensions").alias("n_dimensions"), (F.col("e.session") + 1).alias("anchor"))
-    rows = bench.join(F.broadcast(at), "universe").where("session >= anchor")
+    rows = bench.join(at, "universe").where("session >= anchor")
     first = F.max(F.when(F.col("session") == F.col("anchor"), F.col("px")))
     then = [(F.max(F.when(F.col("session") == F.col("anchor") + h, F.col("px"))) / first - 1.0).alias(f"ret_{k}") for k, h in horizons.items()]
     return rows.groupBy("universe", "event_date", "n_dimensions", "anchor").agg((F.max_by("px", "session") / first - 1.0).alias("ret_to_date"), F.count("*").alias("sessions"), *then)

@@ -138,8 +138,8 @@ _H2 = ["win_rate", "median_ret", "base_win_rate", "base_median_ret", "win_lift"]
 
 @query("SELECT 1")
 def h2_level_contrast(spark, d):
-    fwd = _study(spark, d)[3]
-    return rounded(RP.level_contrast(ST.quartile_events(_level(spark, d)), fwd, E.baseline(fwd, DRAWS)), "kind", "horizon", "n", *_H2, "win_beyond_noise")
+    comp, _, _, fwd = _study(spark, d)
+    return rounded(RP.level_contrast(ST.quartile_events(_level(spark, d, comp)), fwd, E.baseline(fwd, DRAWS)), "kind", "horizon", "n", *_H2, "win_beyond_noise")
 
 
 ORACLE_SQL["h2_level_contrast"] = _greedy(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surgeline.functions import series as S
+from surgeline.functions.joins import measured
 from surgeline.operators import breadth as B
 from surgeline.operators import compare as C
 from surgeline.operators import guards as G
@@ -263,21 +264,21 @@ def lift_table(spark, d):
     return rounded(E.lift(E.conditional(signal, fwd, bench), E.baseline(fwd, DRAWS)), "threshold", "horizon", "n", "win_lift", "ret_lift", "win_beyond_noise", "ret_beyond_noise")
 
 
-def _cluster_rows(spark, d):
-    _, bench, signal, _ = _study(spark, d, {"1w": 5})
+def _cluster_rows(bench, signal):
     rows = signal.where("event").join(bench.select("universe", "session", "date"), ["universe", "session"])
     return E.clusters(rows.select("universe", "date", F.explode(F.filter(F.array(*[F.lit(t) for t in THRESHOLDS]), lambda t: F.col("score") >= t)).alias("threshold")), ["universe", "threshold"], 21)
 
 
 @query("SELECT CAST(threshold AS BIGINT) AS threshold, CAST(sum(fresh) AS BIGINT) AS clusters FROM (SELECT t.threshold, CASE WHEN date_diff('day', lag(b.date) OVER (PARTITION BY t.threshold ORDER BY b.date), b.date) <= 21 THEN 0 ELSE 1 END AS fresh FROM sig s JOIN bw b ON b.session = s.session JOIN th t ON s.score >= t.threshold WHERE s.event) GROUP BY 1")
 def cluster_count(spark, d):
-    return rounded(_cluster_rows(spark, d), "threshold", "clusters")
+    _, bench, signal, _ = _study(spark, d, {"1w": 5})
+    return rounded(_cluster_rows(bench, signal), "threshold", "clusters")
 
 
 @query("SELECT CASE WHEN win_beyond_noise AND ret_beyond_noise THEN 'PASS' ELSE 'FAIL' END AS verdict, (win_beyond_noise OR ret_beyond_noise) AND (SELECT coalesce(CAST(sum(fresh) AS BIGINT), 0) FROM (SELECT CASE WHEN date_diff('day', lag(b.date) OVER (ORDER BY b.date), b.date) <= 21 THEN 0 ELSE 1 END AS fresh FROM sig s JOIN bw b ON b.session = s.session WHERE s.event AND s.score >= 3)) < 10 AS caveat FROM lifted WHERE threshold = 3 AND horizon = '6m'", draws=DRAWS)
 def decision_rule(spark, d):
     _, bench, signal, fwd = _study(spark, d)
-    return E.decision(E.lift(E.conditional(signal, fwd, bench), E.baseline(fwd, DRAWS)), _cluster_rows(spark, d)).select("verdict", "caveat")
+    return E.decision(E.lift(E.conditional(signal, fwd, bench), E.baseline(fwd, DRAWS)), _cluster_rows(bench, signal)).select("verdict", "caveat")
 
 
 @query("SELECT count(*) AS n, round(CASE WHEN count(*) >= 3 THEN corr(a, b) END, 6) AS rho FROM (SELECT rank() OVER (ORDER BY threshold) + 0e0 AS a, rank() OVER (ORDER BY win_lift) + (count(*) OVER (PARTITION BY win_lift) - 1) / 2e0 AS b FROM lifted WHERE horizon = '6m' AND n > 0)", draws=DRAWS)
@@ -311,8 +312,8 @@ def reconcile_windows(spark, d):
 # stress
 
 
-def _level(spark, d):
-    comp = E.in_window(_comp(spark, d))
+def _level(spark, d, comp=None):
+    comp = E.in_window(_comp(spark, d)) if comp is None else comp
     return comp.select("universe", "session", "date", F.col("pct_above").alias("level"))
 
 
@@ -325,7 +326,8 @@ def _level(spark, d):
       JOIN fw f ON f.session = p.session WHERE p.x IS NOT NULL AND f.fwd IS NOT NULL AND f.horizon <> '1w')) GROUP BY 1, 2"""
 )
 def level_change_regression(spark, d):
-    return rounded(ST.regressions(_level(spark, d).select("universe", "session", "level"), _study(spark, d)[3]), "horizon", "predictor", "n", "slope_std", "r2", "n_nonoverlap", "slope_nonoverlap")
+    comp, _, _, fwd = _study(spark, d)
+    return rounded(ST.regressions(_level(spark, d, comp).select("universe", "session", "level"), fwd), "horizon", "predictor", "n", "slope_std", "r2", "n_nonoverlap", "slope_nonoverlap")
 
 
 @query(
@@ -338,8 +340,9 @@ def level_change_regression(spark, d):
     draws=DRAWS,
 )
 def bootstrap_slope(spark, d):
-    fwd = _study(spark, d, {"1m": 21})[3].where("fwd is not null")
-    rows = _level(spark, d).where("level is not null").join(fwd, ["universe", "session"])
+    comp, _, _, fwd = _study(spark, d, {"1m": 21})
+    fwd = fwd.where("fwd is not null")
+    rows = _level(spark, d, comp).where("level is not null").join(fwd, ["universe", "session"])
     rows = rows.select(F.col("universe").alias("key"), (F.row_number().over(S.by("universe")) - 1).cast("long").alias("i"), F.col("level").alias("x"), F.col("fwd").alias("y"))
     return rounded(ST.bootstrap_slopes(rows, DRAWS, 21), "slope_med", "slope_lo5", "slope_hi95", "excludes_zero")
 
@@ -412,7 +415,7 @@ def _tilts(spark, d, variants):
     w = S.by("universe")
     signal = _comp(spark, d).select("universe", "session", F.lag("event").over(w).alias("event"), F.lag("n_dimensions").over(w).alias("score"))
     rows = PF.tilts(signal, variants, ["universe"]).select("universe", "variant", "delta", "hold", "session", "tilt")
-    return rows.join(F.broadcast(_bonds(spark, d).select("universe", "session", "date", "px", "bond_ret")), ["universe", "session"])
+    return rows.join(measured(_bonds(spark, d).select("universe", "session", "date", "px", "bond_ret")), ["universe", "session"])
 
 
 _KEYS = ["universe", "variant", "delta", "hold"]
@@ -596,12 +599,12 @@ _rosters = """SELECT CASE WHEN s.n = 0 THEN 'the source is empty' WHEN s.n < c.n
 
 @query(_rosters)
 def roster_validation(spark, d):
-    snaps = _members(spark, d).groupBy(F.trunc("date", "MM").cast("date").alias("snapshot_date")).agg(F.count_distinct("ticker").cast("int").alias("n_tickers"))
+    snaps = _members(spark, d).groupBy(F.trunc("date", "MM").cast("date").alias("snapshot_date")).agg(F.count_distinct("ticker").cast("int").alias("n_tickers")).persist()  # a row for each month
     last, first = snaps.agg(F.max("snapshot_date").alias("last")), snaps.agg(F.min("snapshot_date").alias("first"))
     named = lambda df, name: df.select(F.lit(name).alias("roster"), "snapshot_date", "n_tickers")
-    fewer = snaps.join(F.broadcast(first), F.col("snapshot_date") == F.col("first"), "left_anti")
-    earlier = snaps.join(F.broadcast(last), F.col("snapshot_date") == F.col("last"), "left").select(F.when(F.col("last").isNotNull(), F.date_sub("snapshot_date", 3)).otherwise(F.col("snapshot_date")).alias("snapshot_date"), "n_tickers")
-    hollow = snaps.join(F.broadcast(last), F.col("snapshot_date") == F.col("last"), "left").select("snapshot_date", F.when(F.col("last").isNotNull(), 0).otherwise(F.col("n_tickers")).alias("n_tickers"))
+    fewer = snaps.join(first, F.col("snapshot_date") == F.col("first"), "left_anti")
+    earlier = snaps.join(last, F.col("snapshot_date") == F.col("last"), "left").select(F.when(F.col("last").isNotNull(), F.date_sub("snapshot_date", 3)).otherwise(F.col("snapshot_date")).alias("snapshot_date"), "n_tickers")
+    hollow = snaps.join(last, F.col("snapshot_date") == F.col("last"), "left").select("snapshot_date", F.when(F.col("last").isNotNull(), 0).otherwise(F.col("n_tickers")).alias("n_tickers"))
     none = first.select(F.lit(None).cast("date").alias("snapshot_date"), F.lit(None).cast("int").alias("n_tickers"))
     names = ["same", "fewer", "earlier", "hollow", "none"]
     source = named(snaps, "same").union(named(fewer, "fewer")).union(named(earlier, "earlier")).union(named(hollow, "hollow")).union(named(none, "none"))

@@ -31,7 +31,7 @@ def dense(cell_rows: DataFrame, sessions: DataFrame) -> DataFrame:
     """
     last = sessions.groupBy("universe").agg(F.max("session").alias("last"))
     w = Window.partitionBy("universe", "ticker").orderBy("session")
-    spans = cell_rows.join(sessions, ["universe", "date"]).drop("date").join(F.broadcast(last), "universe")
+    spans = cell_rows.join(sessions, ["universe", "date"]).drop("date").join(last, "universe")
     spans = spans.withColumn("next", F.coalesce(F.lead("session").over(w), F.col("last") + 1)).select("universe", "ticker", "px", "volume", F.col("session").alias("first"), F.explode(F.sequence("session", F.col("next") - 1)).alias("session"))
     out = spans.select("universe", "session", "ticker", "px", F.when(F.col("session") == F.col("first"), F.col("volume")).otherwise(0).cast("long").alias("volume"))
     return out.join(sessions, ["universe", "session"]).select("universe", "session", "date", "ticker", "px", "volume")
