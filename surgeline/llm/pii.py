@@ -1,11 +1,14 @@
 """Personal data by bootstrapped contextual extraction.
 
-Four kinds of entity with a fixed form are the seeds. The words around a seed are
-lexical patterns; so are the words around any other token that looks like an
-identifier. Over the graph of patterns and instances, Spark scores a pattern by
-the share of its distinct instances that are trusted, and an instance by the
-patterns that have it, in turns. Instances that confident patterns bring in are
-new identifiers, wherever they stand.
+Four kinds of entity with a fixed form are the seeds. What stands before a seed, or
+before any other token that looks like an identifier, is a lexical pattern: the last
+two words, or the last word and the symbols after it, as in ``token = "``. Whatever
+fills a pattern's place anywhere, ordinary words included, is an instance of it. Over
+the graph of patterns and instances, Spark scores in turns: a pattern by the mean
+score of its distinct instances, an instance by its best pattern and by the share of
+seeds among values with as many digits. Plain words score nothing, so a pattern is
+confident only where identifiers alone follow it. Instances of confident patterns are
+new identifiers.
 """
 
 from __future__ import annotations
@@ -18,12 +21,16 @@ from pyspark.sql import functions as F
 from surgeline.llm.shared import Scratch, maybe_broadcast, tune, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
-#: Turns of scoring; distinct trusted instances that a pattern needs; share of them; least score of an instance.
-ROUNDS, SUPPORT, PURE, CONFIDENT = 3, 4, 0.6, 0.8
-#: Digits of a token that looks like an identifier.
+#: Turns of scoring; distinct identifier-like instances that a pattern needs; least score of an instance.
+ROUNDS, SUPPORT, CONFIDENT = 6, 4, 0.8
+#: A pattern counts for its instances from this score on; one with a smaller share of identifier-like instances can't get there.
+PURE = 0.3
+#: Digits from which a token looks like an identifier, and is found wherever it stands once a pattern gives it away.
 DIGITS = 4
-#: Characters around an entity in which its context words are looked for.
-REACH = 80
+#: Characters before an entity in which its pattern must lie.
+REACH = 60
+#: Patterns that are looked for in one scan; more of them take more scans.
+CHUNK = 200_000
 
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
@@ -33,6 +40,7 @@ _ip = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+").finditer
 _card = re.compile(r"[0-9](?:[ -]?[0-9]){13,}").finditer
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
 _digits = re.compile(r"[0-9]+")
+_last = re.compile(r"(?<!\w)([^\W\d]+)(\W+)\Z").search
 _edge = ".,;:!?()[]{}<>\"'`*#$%&|=…«»“”"
 
 
@@ -77,20 +85,44 @@ def base_entities(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def context(text: str, start: int, end: int) -> list[str]:
-    """The patterns around a place: two words before, and a word on each side; none where a side has no words."""
-    line = text.rfind("\n", max(0, start - REACH), start) + 1 or max(0, start - REACH)
-    before = [w for w in (x.strip(_edge).lower() for x in text[line:start].split()) if w and not any(c.isdigit() for c in w)][-2:]
-    stop = text.find("\n", end, end + REACH)
-    after = [w for w in (x.strip(_edge).lower() for x in text[end : stop if stop >= 0 else end + REACH].split()[:2]) if w and not any(c.isdigit() for c in w)][:1]
+def lower(text: str) -> str:
+    """Lower case, character by character, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def frames(low: str, start: int) -> list[str]:
+    """The patterns of a place in a lower-cased text, with all that stands between their words and it: of two words, and of one with symbols after it. Words have no digits."""
+    at = max(low.rfind("\n", 0, start) + 1, start - REACH)
+    whole = at == 0 or not (low[at - 1].isalnum() or low[at - 1] == "_")
+    left = low[at:start]
     out = []
-    if len(before) == 2:
-        out.append(f"{before[0]} {before[1]} _")
-    if before and after:
-        out.append(f"{before[-1]} _ {after[0]}")
+    m = _last(left)
+    if m and (m.start() or whole):
+        if not m[2].isspace():
+            out.append(left[m.start() :])
+        m = _last(left, 0, m.start())
+        if m and (m.start() or whole):
+            out.append(left[m.start() :])
     return out
 
 
+def fill(text: str, at: int) -> int:
+    """End of the token that starts at a place; the place itself where none does."""
+    if at >= len(text) or text[at].isspace() or text[at] in _edge:
+        return at
+    end = at
+    while end < len(text) and not text[end].isspace():
+        end += 1
+    while text[end - 1] in _edge:
+        end -= 1
+    return end
+
+
+def digits_of(value: str) -> int:
+    return sum(c in "0123456789" for c in value)
+
+
 def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Tokens with DIGITS digits or more that overlap no known entity."""
     out, done = [], 0
@@ -112,41 +144,174 @@ def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
     return [(a, b) for a, b in out if not any(s < b and a < e for s, _, e in known)] if known else out
 
 
+def distinct(batch):
+    """(th, text) of an Arrow batch's different texts."""
+    seen = set()
+    for th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        if text and th not in seen:
+            seen.add(th)
+            yield th, text
+
+
 def read(batches):
-    """Arrow function: (id, text) to (id, row, base, seen): entities, and every instance with its patterns; row numbers the rows."""
+    """Arrow function: (th, text) to (th, start, end, value, seed, patterns), a row for each entity and each token that looks like an identifier."""
     import pyarrow as pa
-    from pyspark import TaskContext
 
-    entity = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    instance = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
-    row = TaskContext.get().partitionId() << 40
+    names = ["th", "start", "end", "value", "seed", "patterns"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.string())]
     for batch in batches:
-        base, seen, rows = [], [], []
-        for text in batch.column(1).to_pylist():
-            text = text or ""
-            found = base_entities(text)
-            here = [(a, b, True) for a, _, b in found] + [(a, b, False) for a, b in (candidates(text, found) if _digits.search(text) else ())]
-            base.append([{"start": a, "kind": k, "end": b} for a, k, b in found])
-            seen.append([{"start": a, "end": b, "value": text[a:b].lower(), "seed": s, "patterns": context(text, a, b)} for a, b, s in here])
-            rows.append(row)
-            row += 1
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.int64()), pa.array(base, entity), pa.array(seen, instance)], ["id", "row", "base", "seen"])
-
-
-def trusted_values(seen: DataFrame, scratch: Scratch) -> DataFrame:
-    """(value) of the instances outside the seeds that confident patterns bring in. seen: (value, seed, patterns)."""
-    # each pair of pattern and value counts once, so that copies of a text lend a pattern no weight
-    edges = seen.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    edges = scratch.table(edges)
-    score = edges.select("pattern", "value", F.col("seed").cast("double").alias("score"))
+        cols = [[] for _ in names]
+        for th, text in distinct(batch):
+            known = base_entities(text)
+            here = [(a, b, True) for a, _, b in known] + ([(a, b, False) for a, b in candidates(text, known)] if _digits.search(text) else [])
+            low = lower(text) if here else ""
+            for a, b, seed in here:
+                for c, x in zip(cols, (th, a, b, low[a:b], seed, frames(low, a))):
+                    c.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+
+def places(text: str, automaton):
+    """(pattern, start, end, value, seed) of whatever fills the place of an automaton's patterns."""
+    low = lower(text)
+    known = None
+    for last, pattern in automaton.iter(low):
+        at = last + 1 - len(pattern)
+        if at and (low[at - 1].isalnum() or low[at - 1] == "_"):
+            continue
+        a, b = last + 1, fill(text, last + 1)
+        if a == b:
+            continue
+        if known is None:
+            known = base_entities(text)
+        seed = next(((s, e) for s, _, e in known if s < b and a < e), None)
+        yield (pattern, *(seed or (a, b)), low[slice(*seed)] if seed else low[a:b], seed is not None)
+
+
+def automaton_of(patterns: list[str]):
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for p in patterns:
+        out.add_word(p, p)
+    out.make_automaton()
+    return out
+
+
+def shares(patterns: list[str]):
+    """Arrow function: (th, text) to (pattern, n, ids): a task's instances of patterns, and those that may be identifiers. Equal values of a batch count once."""
+    import pyarrow as pa
+
+    def run(batches):
+        automaton, n, ids = automaton_of(patterns), dict.fromkeys(patterns, 0), dict.fromkeys(patterns, 0)
+        for batch in batches:
+            seen = set()
+            for _, text in distinct(batch):
+                for pattern, _, _, value, seed in places(text, automaton):
+                    if (pattern, value) not in seen:
+                        seen.add((pattern, value))
+                        n[pattern] += 1
+                        ids[pattern] += seed or not value.isalpha()
+        found = [p for p in patterns if n[p]]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([n[p] for p in found], pa.int64()), pa.array([ids[p] for p in found], pa.int64())], ["pattern", "n", "ids"])
+
+    return run
+
+
+def instances(patterns: list[str]):
+    """Arrow function: (th, text) to (th, start, end, value, seed, pattern) of whatever fills the patterns' places."""
+    import pyarrow as pa
+
+    names = ["th", "start", "end", "value", "seed", "pattern"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string()]
+
+    def run(batches):
+        automaton = automaton_of(patterns)
+        for batch in batches:
+            cols = [[] for _ in names]
+            for th, text in distinct(batch):
+                for pattern, a, b, value, seed in places(text, automaton):
+                    for c, x in zip(cols, (th, a, b, value, seed, pattern)):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    return run
+
+
+def bucket(value: Column) -> Column:
+    """Values with as many digits, by powers of two."""
+    return F.length(F.bin(F.length(F.regexp_replace(value, "[^0-9]", "")).cast("long")))
+
+
+def scores(edges: DataFrame, priors: DataFrame, scratch: Scratch) -> DataFrame:
+    """(value, score) over the graph of edges (pattern, value, seed), each pair once. priors (bucket, prior): the share of seeds among values of a bucket.
+
+    A seed scores 1 and a plain word 0, always. In each turn a pattern's score is the
+    sum of its instances' scores by their number and one, if SUPPORT of them aren't
+    plain; another instance's is 1 - (1 - prior) * (1 - the best of its patterns' scores
+    from PURE on).
+    """
+    plain = F.col("value").rlike(r"^\p{L}+$")
+    edges = edges.withColumn("bucket", bucket(F.col("value"))).join(F.broadcast(priors), "bucket", "left")  # as many rows as there are powers of two
+    edges = scratch.table(edges.select("pattern", "value", "seed", plain.alias("plain"), F.coalesce("prior", F.lit(0.0)).alias("prior")))
+    start = F.when(F.col("seed"), 1.0).when(F.col("plain"), 0.0).otherwise(F.col("prior"))
+    score = edges.select("pattern", "value", "plain", start.alias("score"))
     for turn in range(ROUNDS):
-        totals = score.groupBy("pattern").agg(F.sum("score").alias("good"), F.count("*").alias("n")).where((F.col("good") >= SUPPORT) & (F.col("good") >= PURE * F.col("n")))
-        patterns = totals.select("pattern", (F.col("good") / (F.col("n") + 1)).alias("sure"))
-        values = edges.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("sure"))))).alias("score"))
-        values = scratch.table(values)
+        totals = score.groupBy("pattern").agg(F.sum("score").alias("good"), F.count("*").alias("n"), F.count_if(~F.col("plain")).alias("ids"))
+        patterns = scratch.table(totals.where(F.col("ids") >= SUPPORT).select("pattern", (F.col("good") / (F.col("n") + 1)).alias("sure")).where(F.col("sure") >= PURE))
+        best = edges.where("not seed and not plain").join(maybe_broadcast(patterns, 200_000), "pattern").groupBy("value").agg(F.max("sure").alias("sure"), F.max("prior").alias("prior"))
+        values = scratch.table(best.select("value", (1 - (1 - F.col("prior")) * (1 - F.col("sure"))).alias("score")))
         if turn + 1 < ROUNDS:
-            score = edges.join(values.withColumnRenamed("score", "now"), "value", "left").select("pattern", "value", F.when(F.col("seed"), 1.0).when(F.col("now") >= CONFIDENT, F.col("now")).otherwise(0.0).alias("score"))
-    return values.where(F.col("score") >= CONFIDENT).select("value")
+            score = edges.join(maybe_broadcast(values.withColumnRenamed("score", "now"), 200_000), "value", "left").select("pattern", "value", "plain", F.when(F.col("seed") | F.col("plain"), start).otherwise(F.coalesce("now", "prior")).alias("score"))
+    return values
+
+
+def discover(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(th, new): of each text with any, the places (start, end) of identifiers that only their context gives away. docs (th, text)."""
+    spark = docs.sparkSession
+    seen = scratch.table(docs.mapInArrow(read, "th long, start int, end int, value string, seed boolean, patterns array<string>"))
+    # each pair of pattern and value counts once, so that copies of a text lend a pattern no weight
+    values = seen.groupBy("value").agg(F.max("seed").alias("seed")).withColumn("bucket", bucket(F.col("value")))
+    priors = scratch.table(values.groupBy("bucket").agg((F.count_if("seed") / (F.count("*") + 1)).alias("prior")))
+    known = seen.select("value", F.explode("patterns").alias("pattern")).distinct().groupBy("pattern").count().where(F.col("count") >= SUPPORT).select("pattern")
+    known = scratch.table(known.withColumn("salt", F.xxhash64("pattern")))
+    found = None
+    parts = -(-known.count() // CHUNK)
+    for part in range(parts):  # one, unless there are very many patterns
+        patterns = sorted(r[0] for r in known.where(F.pmod("salt", F.lit(parts)) == part).select("pattern").collect())
+        counts = docs.mapInArrow(shares(patterns), "pattern string, n long, ids long").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
+        patterns = sorted(r[0] for r in counts.where((F.col("ids") >= SUPPORT) & (F.col("ids") >= PURE * F.col("n"))).select("pattern").collect())
+        if patterns:
+            here = scratch.table(docs.mapInArrow(instances(patterns), "th long, start int, end int, value string, seed boolean, pattern string"))
+            found = here if found is None else found.union(here)
+    if found is None:
+        return spark.createDataFrame([], "th long, new array<struct<start:int,end:int>>")
+    edges = found.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    sure = scratch.table(scores(edges, priors, scratch).where(F.col("score") >= CONFIDENT).select("value"))
+    new = found.where("not seed").select("th", "start", "end", "value").union(seen.where("not seed").select("th", "start", "end", "value"))
+    new = new.join(maybe_broadcast(sure, 200_000), "value", "left_semi")
+    return scratch.table(new.groupBy("th").agg(F.collect_set(F.struct("start", "end")).alias("new")))
+
+
+def entities_of(text: str, new: list) -> list[tuple[int, int, int, bool]]:
+    """(start, kind, end, base) of a text, sorted; of new places that overlap each other the first, and the longest of those, counts."""
+    out = [(a, k, b, True) for a, k, b in base_entities(text)]
+    known = list(out)
+    done = 0
+    for x in sorted(new, key=lambda x: (x["start"], -x["end"])):
+        if x["start"] >= done and not any(a < x["end"] and x["start"] < b for a, _, b, _ in known):
+            out.append((x["start"], len(KINDS), x["end"], False))
+            done = x["end"]
+    return sorted(out)
+
+
+def with_context(docs: DataFrame, id_col, text_col: str) -> DataFrame:
+    """docs as (id, text, new)."""
+    scratch = Scratch(docs.sparkSession, "pii")
+    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    new = discover(docs.select(th.alias("th"), F.col(text_col).alias("text")), scratch)
+    rows = docs.select(id_col.alias("id"), F.col(text_col).alias("text"), th.alias("th"))
+    return rows.join(maybe_broadcast(new, 300_000), "th", "left").select("id", "text", "new")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,25 +320,30 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     entities: array of (start, kind, end, base), sorted by start, then kind;
     places in code points, end exclusive. kind numbers email, ip, card, phone and
     (4) context, an identifier that only its context gives away; those overlap no
-    entity of the other kinds. row is unique. Null and empty texts have none.
+    entity of the other kinds. A token of DIGITS digits or more is found wherever it
+    stands once it is known; another only in a confident pattern's place, and never a
+    plain word. row is unique. Null and empty texts have none.
     Repeated rows have equal results; copies lend no weight to a pattern. Ties in
     score don't matter, as scores meet thresholds alone. An empty table gives no
-    rows. Other columns are not read.
+    rows. Other columns are not read. Texts are searched whole, however long.
     """
+    import pyarrow as pa
+
     tune(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "pii")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        read, f"id {kind}, row long, base array<struct<start:int,kind:int,end:int>>, seen array<struct<start:int,end:int,value:string,seed:boolean,patterns:array<string>>>"
-    )
-    rows = scratch.table(rows)
-    seen = rows.select("row", F.explode("seen").alias("s")).select("row", "s.*")
-    values = trusted_values(seen.select("value", "seed", "patterns"), scratch)
-    new = seen.where("not seed").select("row", "start", "end", "value").join(values, "value").groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", F.lit(False).alias("base"))).alias("new"))
-    base = F.transform("base", lambda e: F.struct(e["start"].alias("start"), e["kind"].alias("kind"), e["end"].alias("end"), F.lit(True).alias("base")))
-    out = rows.join(maybe_broadcast(scratch.table(new), 100_000), "row", "left")
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean>>")
-    return out.select(F.col("id").alias(id_col), "row", F.sort_array(F.concat(base, F.coalesce("new", empty))).alias("entities"))
+    entity = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            found = [[dict(zip(("start", "kind", "end", "base"), e)) for e in entities_of(text or "", new or ())] for text, new in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(row, row + len(batch)), pa.int64()), pa.array(found, entity)], ["id", "row", "entities"])
+            row += len(batch)
+
+    out = with_context(docs, F.col(id_col), text_col).mapInArrow(run, f"id {kind}, row long, entities array<struct<start:int,kind:int,end:int,base:boolean>>")
+    return out.withColumnRenamed("id", id_col)
 
 
 def joined(entities: Column) -> Column:
@@ -183,12 +353,11 @@ def joined(entities: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each entity's place in the text taken by its kind in brackets; all columns, and every row, stay. Overlapping entities are one place, named by the first."""
+    """docs with each entity's place in the text taken by its kind in brackets; all columns, and every row, stay. Overlapping entities are one place, named by the first. Null texts stay null."""
     import pyarrow as pa
 
+    tune(docs.sparkSession)
     columns, schema = docs.columns, docs.schema
-    # the whole row goes along as the id, so that equal ids don't matter
-    found = find(docs.select(F.col(text_col).alias("text"), whole_row(docs).alias("id")), "id", "text")
     at = columns.index(text_col)
     names = (*KINDS, "context")
 
@@ -196,14 +365,15 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for batch in batches:
             rows = pa.Table.from_batches([batch]).column("id").combine_chunks().flatten()
             texts = []
-            for text, entities in zip(rows[at].to_pylist(), batch.column(1).to_pylist()):
+            for text, new in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 out, done = [], 0
-                for e in entities if text else ():
-                    if e["start"] >= done:
-                        out.append(text[done : e["start"]] + f"[{names[e['kind']].upper()}]")
-                    done = max(done, e["end"])
+                for start, kind, end, _ in entities_of(text, new or ()) if text else ():
+                    if start >= done:
+                        out.append(text[done:start] + f"[{names[kind].upper()}]")
+                    done = max(done, end)
                 texts.append(None if text is None else "".join(out) + text[done:])
             rows[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(rows, columns)
 
-    return found.select("id", "entities").mapInArrow(run, schema)
+    # the whole row goes along as the id, so that equal ids don't matter
+    return with_context(docs, whole_row(docs), text_col).mapInArrow(run, schema)

@@ -4,6 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from surgeline.llm import pii
+from surgeline.llm.shared import Scratch
 
 
 def brute(text):
@@ -48,6 +49,70 @@ def test_context_finds_unseen_identifiers(spark):
     assert pii.redact(df).columns == df.columns and pii.redact(df).count() == len(rows)
 
 
+def test_frames_of_symbols_reach_other_forms(spark):
+    """Seeds are of one form, what a pattern brings in of another; the same numbers elsewhere stay, as their contexts don't recur."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    hexa = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    rows, keys = [], {}
+    for i in range(60):
+        card = "".join(r.choice("0123456789") for _ in range(15))
+        card += next(d for d in "0123456789" if pii.luhn(card + d))
+        rows.append((i, f"{word()} {word()} {card} {word()} {word()}"))
+    for i in range(60, 90):
+        rows.append((i, f"{word()} {word()} {str(4 * 10**15 + i)[:-1]}{'1' if not pii.luhn(str(4 * 10**15 + i)[:-1] + '1') else '2'} {word()}"))
+    for i in range(90, 120):
+        keys[i] = hexa()
+        rows.append((i, f'{word()} {word()}. Token = "{keys[i]}" {word()}'))
+    rows += [(120, f"again {keys[95]} stands here"), (121, 'a token = "" or token = "word" says little'), (121, 'a token = "" or token = "word" says little')]
+    got = {}
+    for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(x.doc_id, []).append([(e.kind, rows[x.doc_id][1][e.start : e.end]) for e in x.entities])
+    assert all(got[i] == [[(4, keys[i])]] for i in keys) and got[120] == [[(4, keys[95])]]
+    assert all([k for k, _ in got[i][0]] == [2] for i in range(60))
+    assert all(got[i] == [[]] for i in range(60, 90)) and got[121] == [[], []]
+
+
+def test_scores_match_plain_rounds(spark):
+    r = random.Random(8)
+    edges = {}
+    for _ in range(400):
+        kind = r.choice(["seed", "plain", "id", "id"])
+        v = {"seed": f"s{r.randrange(20)}@x", "plain": r.choice("abcdefg") * 3, "id": f"{r.randrange(10 ** r.choice([2, 5, 9])):03d}-x"}[kind]
+        edges[(f"p{r.randrange(12)} ", v)] = kind
+    prior = {k: p for k, p in zip(range(1, 6), (0.0, 0.5, 0.8, 0.2, 0.6))}
+    of = lambda v: sum(c.isdigit() for c in v).bit_length() or 1
+    score = {(p, v): 1.0 if k == "seed" else 0.0 if k == "plain" else prior.get(of(v), 0.0) for (p, v), k in edges.items()}
+    for _ in range(pii.ROUNDS):
+        sure = {}
+        for p in {p for p, _ in edges}:
+            mine = [score[e] for e in edges if e[0] == p]
+            if sum(edges[e] != "plain" for e in edges if e[0] == p) >= pii.SUPPORT and (s := sum(mine) / (len(mine) + 1)) >= pii.PURE:
+                sure[p] = s
+        now = {}
+        for (p, v), k in edges.items():
+            if k == "id" and p in sure:
+                now[v] = max(now.get(v, 0), sure[p])
+        now = {v: 1 - (1 - prior.get(of(v), 0.0)) * (1 - s) for v, s in now.items()}
+        score = {(p, v): now.get(v, score[p, v]) if k == "id" else score[p, v] for (p, v), k in edges.items()}
+    rows = spark.createDataFrame([(p, v, k == "seed") for (p, v), k in edges.items()], "pattern string, value string, seed boolean")
+    priors = spark.createDataFrame(list(prior.items()), "bucket int, prior double")
+    got = {x.value: x.score for x in pii.scores(rows, priors, Scratch(spark, "test")).collect()}
+    assert got.keys() == now.keys() and all(abs(got[v] - now[v]) < 1e-9 for v in now) and len(now) > 20
+
+
+def test_places():
+    low = 'x token = "ab-1" token = "" e-token = "9". mytoken = "8" token = "a@b.c," İ token = "7"'
+    assert [(low[a:b], seed) for _, a, b, _, seed in pii.places(low, pii.automaton_of(['token = "']))] == [("ab-1", False), ("9", False), ("a@b.c", True), ("7", False)]
+    assert pii.frames('say: key = "', 12) == ['key = "', 'say: key = "'] and pii.frames("key1 is ", 8) == [] and pii.frames("a\nkey is ", 9) == ["key is "]
+
+
+def test_long_texts(spark):
+    rows = [(1, "call 12345 " * 50_000), (2, "é" * 300_000 + " a@b.c"), (3, "1" * 200_000)]
+    got = {x.doc_id: len(x.entities) for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+
+
 def test_joined(spark):
     df = spark.createDataFrame([(1, "1.2.3.4 a@b.c")], "doc_id long, text string")
     assert pii.find(df).select(pii.joined(F.col("entities")).alias("x")).first().x == "ip:0:7,email:8:13"
