@@ -14,15 +14,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surgeline.llm import kernels as K
-from surgeline.llm.shared import maybe_broadcast, text_bytes, tune
+from surgeline.llm.shared import text_bytes, tune
 
 U = np.uint64
-#: Hashed features; documents of a language that are fitted to, and words taken from each.
-CELLS, SAMPLE, SAMPLE_WORDS = 1 << 17, 400, 200
+#: Hashed features; labelled rows of a language, and of all languages, that are fitted to, each as a whole.
+CELLS, SAMPLE, ROWS = 1 << 17, 200, 4000
 #: Parts in which a language's documents are ranked first.
 SALTS = 64
 #: Words of a training sequence, and turns of fitting.
-SEQUENCE, TURNS = 50, 60
+SEQUENCE, TURNS = 50, 40
 UNKNOWN = "und"
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -57,15 +57,15 @@ def emissions(features, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def posteriors(scores: np.ndarray, first: np.ndarray, between: np.ndarray) -> np.ndarray:
-    """Label probabilities of each word by forward-backward; chains are the rows first[i] up to first[i + 1]."""
+def forward_backward(scores: np.ndarray, first: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of chains, the rows first[i] up to first[i + 1]: each word's forward and backward sums, scaled to 1, the exponential of its scores, and that of the scores between labels."""
     e = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
     begin, size = first[:-1][order], size[order]
     longest = int(size[0]) if len(size) else 0
     active = np.searchsorted(-size, -np.arange(longest), "left")
-    step = np.exp(between - between.max()).astype(e.dtype)
+    step = np.exp(between - between.max()).astype(e.dtype) if between.size else between
     alpha = np.empty_like(e)
     for t in range(longest):
         rows = begin[: active[t]] + t
@@ -81,10 +81,33 @@ def posteriors(scores: np.ndarray, first: np.ndarray, between: np.ndarray) -> np
             nxt = rows[:more] + 1
             b[:more] = (beta[nxt] * e[nxt]) @ step.T
         beta[rows] = b / b.sum(axis=1, keepdims=True)
+    return alpha, beta, e, step
+
+
+def posteriors(scores: np.ndarray, first: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """Label probabilities of each word."""
+    alpha, beta, _, _ = forward_backward(scores, first, between)
     out = alpha * beta
     return out / out.sum(axis=1, keepdims=True) if len(out) else out
 
 
+def gradients(scores: np.ndarray, first: np.ndarray, between: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log-likelihood of the labels y: its gradient by the words' scores, and by those between labels."""
+    alpha, beta, e, step = forward_backward(scores, first, between)
+    by_word = alpha * beta
+    by_word /= -by_word.sum(axis=1, keepdims=True)
+    by_word[np.arange(len(y)), y] += 1
+    inside = np.ones(len(y), bool)
+    inside[first[:-1][np.diff(first) > 0]] = False
+    right = np.flatnonzero(inside)
+    # neighbours' joint distribution: what comes before the left word, the step, and the right word with all behind it
+    joint = alpha[right - 1][:, :, None] * step[None] * (e[right] * beta[right])[:, None, :]
+    joint /= joint.sum(axis=(1, 2), keepdims=True)
+    by_pair = -joint.sum(axis=0)
+    np.add.at(by_pair, (y[right - 1], y[right]), 1)
+    return by_word, by_pair
+
+
 def fit(texts: list[bytes], labels: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights (CELLS, n) and scores between labels (n, n), by full-batch adaptive gradients of the sequences' log-likelihood."""
     rng = np.random.default_rng(11)
@@ -115,27 +138,14 @@ def fit(texts: list[bytes], labels: np.ndarray, n: int) -> tuple[np.ndarray, np.
     of_gram = np.repeat(np.arange(len(words)), size)
     weights, between = np.zeros((CELLS, n), np.float32), np.zeros((n, n))
     seen_w, seen_b = np.full((CELLS, n), 1e-3, np.float32), np.full((n, n), 1e-3)
-    inside = np.ones(len(words), bool)
-    inside[chain[:-1]] = False
     for _ in range(TURNS if len(words) else 0):
         scores = emissions((fixed, (grams, starts), None), weights).astype(np.float64)
-        p = posteriors(scores, chain, between)
-        error = -p
-        error[np.arange(len(words)), y] += 1
+        error, gb = gradients(scores, chain, between, y)
         g = np.zeros((CELLS, n), np.float32)
         for k in range(n):
             g[:, k] = np.bincount(grams, error[of_gram, k], CELLS)
             for f in fixed:
                 g[:, k] += np.bincount(f, error[:, k], CELLS)
-        # pairs of neighbours: the observed ones less those expected under the neighbours' joint distribution
-        e = np.exp(scores - scores.max(axis=1, keepdims=True))
-        step = np.exp(between - between.max())
-        right = np.flatnonzero(inside)
-        fwd = p[right - 1]
-        joint = fwd[:, :, None] * step[None] * (e[right] * p[right] / np.maximum(e[right], 1e-30))[:, None, :]
-        joint /= np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-30)
-        gb = -joint.sum(axis=0)
-        np.add.at(gb, (y[right - 1], y[right]), 1)
         g -= 0.05 * weights
         gb -= 0.05 * between
         seen_w += g * g
@@ -151,27 +161,35 @@ def train(batches):
 
     langs, texts = [], []
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = (text or "").split()
-            at = max(0, len(words) - SAMPLE_WORDS) // 2
-            langs.append(lang)
-            texts.append((" ".join(words[at : at + SAMPLE_WORDS]) + " ").encode())
+        langs += batch.column(0).to_pylist()
+        texts += [((text or "") + " ").encode() for text in batch.column(1).to_pylist()]
     names = sorted(set(langs))
     weights, between = fit(texts, np.array([names.index(x) for x in langs], np.int64), len(names))
     yield pa.RecordBatch.from_arrays([pa.array([names], pa.list_(pa.string())), pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([between.astype("<f8").tobytes()], pa.binary())], ["names", "weights", "between"])
 
 
-def fit_model(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Fits to at most sample documents of each language, the first by a hash of their ids. labelled (id, text, lang)."""
+def sample_of(labelled: DataFrame, sample: int, rows: int) -> DataFrame:
+    """(lang, text) of at most sample ids of each language, the first by a hash, and fewer of each where there are so many languages that all would be over rows; of an id's texts in a language one. labelled (id, text, lang)."""
+    key = F.xxhash64(F.col("id").cast("string"))
+
     def first(df: DataFrame, *keys: str) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.col("id").cast("string")), "id"))
-        return df.withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank")
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(key, "id"))
+        return df.withColumn("rank", rank).where(F.col("rank") <= sample)
 
     # a language may hold most rows: the first of each of SALTS parts, then the first of those
-    rows = labelled.where("lang is not null and id is not null").select("id", "lang", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(1)), F.lit(SALTS)).alias("salt"))
-    chosen = first(first(rows.groupBy("salt", "lang", "id").agg(F.lit(1).alias("one")).drop("one"), "lang", "salt"), "lang").select("id", "lang")
-    rows = labelled.join(maybe_broadcast(chosen, 1_000_000), ["id", "lang"]).select("lang", "text")
-    got = rows.repartition(1).sortWithinPartitions("lang", F.xxhash64("text")).mapInArrow(train, "names array<string>, weights binary, between binary").collect()
+    ids = labelled.where("lang is not null and id is not null").groupBy("id", "lang").agg(F.lit(1).alias("one")).select("id", "lang", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(1)), F.lit(SALTS)).alias("salt"))
+    chosen = first(first(ids, "lang", "salt"), "lang")
+    many = chosen.where("rank = 1").count()
+    if many > rows:
+        raise ValueError(f"{many} languages: more than the {rows} rows that a model is fitted to")
+    chosen = F.broadcast(chosen.where(F.col("rank") <= max(1, min(sample, rows // max(1, many)))).select("id", "lang"))  # at most rows
+    return labelled.join(chosen, ["id", "lang"]).groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text")
+
+
+def fit_model(labelled: DataFrame, sample: int = SAMPLE, rows: int = ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Fits to a sample of labelled rows (sample_of), whole texts of each."""
+    chosen = sample_of(labelled, sample, rows)
+    got = chosen.repartition(1).sortWithinPartitions("lang", F.xxhash64("text")).mapInArrow(train, "names array<string>, weights binary, between binary").collect()
     if not got or not got[0]["names"]:
         return [], np.zeros((CELLS, 0), np.float32), np.zeros((0, 0))
     names = list(got[0]["names"])
@@ -217,7 +235,8 @@ def identify(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, id_col:
     the languages' sorted order; score is the largest, and of equal ones the first
     is taken. A null text, or one without a letter, is und with score 0; so is
     every text where nothing was learned. Repeated rows have equal results. An
-    empty table gives no rows. Other columns are not read.
+    empty table gives no rows. Other columns are not read. Texts are taken whole, in
+    the fit as in the scores, however long.
     """
     tune(docs.sparkSession)
     model = fit_model(labelled, sample)
