@@ -1,25 +1,28 @@
 """URL filter: rules on hosts and paths, and link-graph propagation for what no rule covers.
 
-Trust spreads from hosts that rules mostly allow along host edges (personalised
-PageRank), distrust from hosts that rules mostly block against them. DataFrame
-functions only.
+Trust spreads along host edges from hosts in proportion to their allowed pages
+(personalised PageRank), distrust against them from hosts in proportion to their
+blocked pages. Edges are absolute links, the domain above a host, and what relative
+links name: sites that link to the same places are neighbours by way of these.
+DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surgeline.llm.shared import Scratch, maybe_broadcast
+from surgeline.llm.shared import Scratch
 
-#: Share of a score that moves on; turns; share of a host's judged pages that makes it a seed.
-DAMPING, TURNS, SEED = 0.85, 8, 0.5
-#: A host whose distrust is at least this, and more than its trust, is blocked.
-THRESHOLD = 0.05
-BROADCAST_ROWS = 200_000
+#: Share of a score that moves on; most turns, and the change (of all of both scores) under which they end.
+DAMPING, TURNS, STILL = 0.85, 40, 0.03
+#: A host is blocked whose distrust is at least this share of its trust and distrust together.
+THRESHOLD = 0.55
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"(?i)\bhref\s*=\s*[\"']?[a-z][a-z0-9+.-]*://([^/?#\"'\s<>]+)"
+LINK = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s<>#][^\"'\s<>]*)"
 
 
 def split_url(df: DataFrame) -> DataFrame:
@@ -29,47 +32,54 @@ def split_url(df: DataFrame) -> DataFrame:
     return df.withColumn("host", F.translate(F.regexp_extract(url, parts, 1), UPPER, LOWER)).withColumn("path", F.regexp_extract(url, parts, 2))
 
 
-def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
-    """(verdict, rule) pairs such as ("block", "net/es/") to rows (rule_host, rule_path, rule, says)."""
-    rows = [(r.partition("/")[0], "/" + r.partition("/")[2] if "/" in r else "", r, v) for v, r in rules]
-    return spark.createDataFrame(rows, "rule_host string, rule_path string, rule string, says string")
-
-
-def matched(places: DataFrame, rules: DataFrame) -> DataFrame:
-    """(host, path) to (host, path, rule, says): the longest rule that fits a host, or a domain above it, and the start of the path."""
-    labels = F.split("host", r"\.")
-    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    rows = places.where("host <> ''").select("host", "path", F.explode(above).alias("rule_host"))
-    fits = rows.join(maybe_broadcast(rules, BROADCAST_ROWS), "rule_host").where(F.col("path").startswith(F.col("rule_path")))
-    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "says")).alias("best"))
-    return best.select("host", "path", "best.rule", "best.says")
+def fitting(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
+    """Of (verdict, rule) pairs such as ("block", "net/es/"), the longest that fits a host, or a domain above it, and the start of the path: a struct (n, rule, says), or null. The rules go along as one literal map."""
+    by_host: dict[str, list] = {}
+    for says, rule in rules:
+        name, slash, rest = rule.partition("/")
+        by_host.setdefault(name, []).append({"n": len(rule), "rule": rule, "says": says, "start": slash + rest})
+    table = F.from_json(F.lit(json.dumps(by_host)), "map<string,array<struct<n:int,rule:string,says:string,start:string>>>")
+    labels = F.split(host, r"\.")
+    hits = F.flatten(F.filter(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.try_element_at(table, F.array_join(F.slice(labels, i, F.size(labels)), "."))), lambda x: x.isNotNull()))
+    return F.when(host != "", F.array_max(F.filter(hits, lambda h: path.startswith(h["start"]))))
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, w): links between hosts by their number, and each host with the domain above it, both ways."""
-    links = pages.where("html is not null and host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("dst"))
-    links = links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
-    hosts = links.select(F.col("dst").alias("h")).union(pages.where("host <> ''").select("host")).distinct()
+    """(src, dst, w) between hosts, and between them and what their relative links name (nodes that begin with a slash); the latter, and each host with the domain above it, both ways. pages (host, path, html)."""
+    links = pages.where("html is not null and host <> ''").select("host", "path", F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("to"))
+    far = F.translate(F.regexp_extract("to", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]+)", 1), UPPER, LOWER)
+    near = F.regexp_extract("to", r"^([^?#]*)", 1)
+    near = F.when(near.startswith("/"), near).otherwise(F.concat(F.coalesce(F.nullif(F.regexp_extract("path", "^(.*/)", 1), F.lit("")), F.lit("/")), near))
+    scheme = F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    links = links.withColumn("dst", F.when(far != "", far).when(~scheme, near)).where("dst is not null").groupBy(F.col("host").alias("src"), "dst").agg(F.count("*").cast("double").alias("w"))
+    back = links.where("dst like '/%'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    hosts = links.where("dst not like '/%'").select(F.col("dst").alias("h")).union(pages.where("host <> ''").select("host")).distinct()
     above = hosts.where(F.size(F.split("h", r"\.")) > 2).select("h", F.regexp_replace("h", r"^[^.]*\.", "").alias("up"))
     both = above.select(F.col("h").alias("src"), F.col("up").alias("dst")).union(above.select("up", "h")).withColumn("w", F.lit(1.0))
-    return links.union(both).where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
-
-
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, turns: int = TURNS) -> DataFrame:
-    """seeds (host, good, bad) to (host, trust, distrust) over edges (src, dst, w)."""
-    out = edges.join(edges.groupBy("src").agg(F.sum("w").alias("total")), "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p"), F.lit(True).alias("ahead"))
-    back = edges.join(edges.groupBy("dst").agg(F.sum("w").alias("total")), "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("w") / F.col("total")).alias("p"), F.lit(False).alias("ahead"))
-    flow = scratch.table(out.union(back))
-    start = scratch.table(seeds.select("host", (F.col("good") * (1 - DAMPING)).alias("good"), (F.col("bad") * (1 - DAMPING)).alias("bad")))
+    return links.union(back).union(both).where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
+    """seeds (host, good, bad) to (host, trust, distrust) over edges (src, dst, w): seeds are scaled to sum to 1, and turns end when both scores stand still."""
+    flow = []
+    for ahead, src, dst in ((True, "src", "dst"), (False, "dst", "src")):
+        total = scratch.table(edges.groupBy(src).agg(F.sum("w").alias("total")))
+        flow.append(edges.join(total, src).select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("w") / F.col("total") * DAMPING).alias("p"), F.lit(ahead).alias("ahead")))
+    flow = scratch.table(flow[0].union(flow[1]))
+    good, bad = seeds.agg(F.sum("good"), F.sum("bad")).first()
+    start = scratch.table(seeds.select("host", (F.col("good") / (good or 1.0)).alias("good"), (F.col("bad") / (bad or 1.0)).alias("bad")))
+    restart = start.select("host", *[(F.col(c) * (1 - DAMPING)).alias(c) for c in ("good", "bad")])
     now = start
-    for _ in range(turns):
-        moved = flow.join(now, flow.src == now.host).select(
-            F.col("dst").alias("host"), F.when(F.col("ahead"), F.col("good") * F.col("p") * DAMPING).otherwise(0.0).alias("good"), F.when(F.col("ahead"), 0.0).otherwise(F.col("bad") * F.col("p") * DAMPING).alias("bad")
-        )
-        after = scratch.table(moved.union(start).groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+    for _ in range(TURNS):
+        moved = flow.join(now, flow.src == now.host).select(F.col("dst").alias("host"), F.when(F.col("ahead"), F.col("good") * F.col("p")).otherwise(0.0).alias("good"), F.when(F.col("ahead"), 0.0).otherwise(F.col("bad") * F.col("p")).alias("bad"))
+        after = scratch.table(moved.union(restart).groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+        both = after.select("host", "good", "bad").union(now.select("host", -F.col("good"), -F.col("bad"))).groupBy("host").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+        change = both.agg(F.sum(F.abs("g") + F.abs("b"))).first()[0] or 0.0
         if now is not start:
             scratch.drop(now)
         now = after
+        if change < STILL:
+            break
     return now.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
 
 
@@ -77,24 +87,21 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = THR
     """Judges every page's url: (page_id, host, path, rule, verdict, trust, distrust), a row for each row of pages.
 
     pages (page_id, url, html). verdict is allow or block: that of the longest
-    fitting rule, else block where the host's distrust is at least threshold and
-    above its trust, else allow. A null url, or one without ://, has an empty host
-    and path, no rule and the verdict allow. A null html has no links. Repeated
-    rows have equal results, and count as pages of their own where a host's judged
-    pages are counted; a host with as many allowed as blocked pages is no seed. Of
-    rules of one length the last by name wins. An empty table gives no rows, and
-    without rules every page is allowed. Other columns are not read.
+    fitting rule, else block where the host's distrust is at least the threshold's
+    share of its trust and distrust, else allow. A null url, or one without ://, has an
+    empty host and path, no rule and the verdict allow; so has a host that neither
+    score reaches. A null html has no links. Repeated rows have equal results, and
+    count as pages of their own where a host's judged pages are counted. Of rules of
+    one length the last by name wins. An empty table gives no rows, and without rules
+    every page is allowed. Other columns are not read; urls and html are read whole.
     """
-    spark = pages.sparkSession
-    scratch = Scratch(spark, "urls")
+    scratch = Scratch(pages.sparkSession, "urls")
     split = split_url(pages.select("page_id", "url", "html"))
-    places = scratch.table(split.groupBy("host", "path").agg(F.count("*").alias("n")))
-    found = scratch.table(matched(places, rule_table(spark, rules)))
-    judged = places.join(found, ["host", "path"]).groupBy("host").agg(F.sum(F.when(F.col("says") == "allow", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("says") == "block", F.col("n")).otherwise(0)).alias("b"))
-    judged = judged.join(places.groupBy("host").agg(F.sum("n").alias("n")), "host")
-    seeds = judged.select("host", F.when(F.col("a") > SEED * F.col("n"), 1.0).otherwise(0.0).alias("good"), F.when(F.col("b") > SEED * F.col("n"), 1.0).otherwise(0.0).alias("bad")).where("good + bad > 0")
+    fit = fitting(F.col("host"), F.col("path"), rules)
+    marks = split.where("host <> ''").select("host", fit["says"].alias("says"))
+    seeds = scratch.table(marks.groupBy("host").agg(F.count_if(F.col("says") == "allow").alias("good"), F.count_if(F.col("says") == "block").alias("bad")).where("good + bad > 0"))
     scores = propagate(scratch.table(host_edges(split)), seeds, scratch)
-    out = split.select("page_id", "host", "path").join(maybe_broadcast(found, BROADCAST_ROWS), ["host", "path"], "left").join(maybe_broadcast(scores, BROADCAST_ROWS), "host", "left")
+    out = split.select("page_id", "host", "path", fit.alias("fit")).join(scores, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    verdict = F.coalesce("says", F.when((distrust >= threshold) & (distrust > trust), "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    verdict = F.coalesce("fit.says", F.when((distrust > 0) & (distrust >= threshold * (trust + distrust)), "block").otherwise("allow"))
+    return out.select("page_id", "host", "path", "fit.rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
