@@ -221,52 +221,65 @@ def shared_anchors(batches):
 
 
 def cut_out(length: int):
-    """Arrow function: (text, list of (h, seg, start, size, many, wide)) to rows (block, seg, off, part, many); a stretch of a wide anchor goes window by window."""
+    """Arrow function: (text, list of (h, seg, start, size, many, wide)) to rows (block, seg, off, part, many, wide).
+
+    A stretch of a wide anchor goes window by window. Of a window that stands more
+    than once in a batch, one row stands for all in its block; the others are sure to
+    be repeated, so they go anywhere.
+    """
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            block, seg, off, part, many = [], [], [], [], []
+            cols = block, seg, off, part, many, wide = [], [], [], [], [], []
+            first: dict[int, int] = {}  # the row that stands for a window
             for text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = text.encode()
                 for c in cuts:
                     s = raw[c["start"] : c["start"] + c["size"]]
-                    if not c["wide"]:
-                        rows = [(c["h"], 0, s)]
-                    else:
+                    rows = [(c["h"], 0, s, c["many"])]
+                    if c["wide"]:
                         P = K.prefix_hash(np.frombuffer(s, np.uint8))
                         k = np.arange(len(s) - length + 1)
-                        rows = [(int(b), i, s[i : i + length]) for i, b in enumerate(K.span_hash(P, k, k + length).view(np.int64).tolist())]
-                    for b, i, x in rows:
-                        block.append(b)
-                        seg.append(c["seg"])
-                        off.append(i)
-                        part.append(x)
-                        many.append(c["many"])
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(seg, pa.int64()), pa.array(off, pa.int64()), pa.array(part, pa.binary()), pa.array(many, pa.bool_())], ["block", "seg", "off", "part", "many"])
+                        rows = ((b, i, s[i : i + length], c["many"]) for i, b in enumerate(K.span_hash(P, k, k + length).view(np.int64).tolist()))
+                    for b, i, x, sure in rows:
+                        if c["wide"]:
+                            at = first.setdefault(b, len(block))
+                            if at < len(block) and part[at] == x:
+                                many[at] = sure = True
+                                b = hash((c["seg"], i))
+                        for col, value in zip(cols, (b, c["seg"], i, x, sure, c["wide"])):
+                            col.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(seg, pa.int64()), pa.array(off, pa.int64()), pa.array(part, pa.binary()), pa.array(many, pa.bool_()), pa.array(wide, pa.bool_())], ["block", "seg", "off", "part", "many", "wide"])
 
     return run
 
 
-def transform_blocks(length: int):
-    """Arrow function over rows (block, seg, off, part, many) sorted by block, seg and off: (seg, runs). Whole blocks share a transform, up to BLOCK bytes."""
+def transform_blocks(length: int, limit: int):
+    """Arrow function over rows (block, seg, off, part, many, wide) sorted by block, seg and off: (seg, runs).
+
+    Whole blocks share a transform, up to limit bytes. A block of windows, which are all
+    alike, may go on in the next transform, where the one before its first row stands for what came before.
+    """
     import pyarrow as pa
 
     def run(batches):
-        segs, offs, parts, many, size, key = [], [], [], [], 0, None
+        segs, offs, parts, many, size, key, last = [], [], [], [], 0, None, False
 
         def close():
             runs = repeated(parts, many, length)
             return pa.RecordBatch.from_arrays([pa.array(segs, pa.int64()), pa.array([[x + o for x in r] for r, o in zip(runs, offs)], pa.list_(pa.int32()))], ["seg", "runs"])
 
         for batch in batches:
-            for b, s, o, p, m in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if size >= BLOCK and b != key:
+            for b, s, o, p, m, w in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if size >= limit and (b != key or (last and w)):
                     yield close()
-                    segs, offs, parts, many, size = [], [], [], [], 0
+                    kept = slice(-1 if b == key else len(segs), None)
+                    segs, offs, parts, many = segs[kept], offs[kept], parts[kept], many[kept]
+                    size = sum(map(len, parts))
                 if b == key and segs and segs[-1] == s and offs[-1] == o:
                     continue  # another copy of the text that it was cut from
-                key = b
+                key, last = b, w
                 segs.append(s)
                 offs.append(o)
                 parts.append(p)
@@ -334,9 +347,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     wide = leads.groupBy("h").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > 4 * BLOCK).select("h", F.lit(True).alias("wide"))
     leads = leads.join(wide, "h", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
     cuts = leads.groupBy("th").agg(F.collect_list(F.struct("h", "seg", "start", "size", "many", "wide")).alias("cuts"))
-    parts = long.select("th", "text").join(cuts, "th").select("text", "cuts").mapInArrow(cut_out(length), "block long, seg long, off long, part binary, many boolean")
+    parts = long.select("th", "text").join(cuts, "th").select("text", "cuts").mapInArrow(cut_out(length), "block long, seg long, off long, part binary, many boolean, wide boolean")
     parts = parts.repartition("block").sortWithinPartitions("block", "seg", "off")
-    runs = parts.mapInArrow(transform_blocks(length), "seg long, runs array<int>").where(F.size("runs") > 0)
+    runs = parts.mapInArrow(transform_blocks(length, BLOCK), "seg long, runs array<int>").where(F.size("runs") > 0)
     runs = scratch.table(runs)
     found = places.select("seg", "th", "start").join(runs, "seg").groupBy("th").agg(F.collect_set(F.struct("start", "runs")).alias("found"))
     out = docs.join(found, "th", "left").select("id", "text", "found").mapInArrow(strip(length), f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")

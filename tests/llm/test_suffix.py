@@ -75,3 +75,32 @@ def test_pieces_give_the_same_anchors(monkeypatch):
     whole = by_window()
     monkeypatch.setattr(suffix, "PIECE", 100)
     assert sorted(by_window()) == sorted(whole) and len(whole) == 900 - 39
+
+
+def test_one_window_in_many_contexts():
+    """Rows of one window are cut into transforms of a few, and all of them are found; a window that stands once isn't."""
+    import pyarrow as pa
+
+    rows = [(1, k, 7, b"w" * 40, False, True) for k in range(3000)] + [(2, 0, 0, b"x" * 20 + b"y" * 20, False, True), (3, 1, 0, b"z" * 41, True, False)]
+    names = ["block", "seg", "off", "part", "many", "wide"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[i : i + 700]], pa.schema([("block", pa.int64()), ("seg", pa.int64()), ("off", pa.int64()), ("part", pa.binary()), ("many", pa.bool_()), ("wide", pa.bool_())])) for i in range(0, len(rows), 700)]
+    out = [b.to_pylist() for b in suffix.transform_blocks(40, 400)(iter(batches))]
+    assert max(map(len, out)) <= 12
+    found = {}
+    for r in (r for b in out for r in b):
+        found.setdefault(r["seg"], set()).update(r["runs"])
+    assert all(found[k] >= {7, 8} for k in range(2, 3000)) and sum(r["seg"] == 0 and r["runs"] == [] for b in out for r in b) == 1
+
+
+def test_windows_of_a_batch_share_a_row():
+    import pyarrow as pa
+
+    cut = {"h": 5, "start": 0, "size": 50, "many": False, "wide": True}
+    text = "".join(random.Random(2).choice("abcdef") for _ in range(50))
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("seg", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("many", pa.bool_()), ("wide", pa.bool_())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 9), pa.array([[cut | {"seg": k}] for k in range(9)], kind)], ["text", "cuts"])
+    rows = next(suffix.cut_out(40)(iter([batch]))).to_pylist()
+    blocks = {}
+    for r in rows:
+        blocks.setdefault(r["block"], []).append(r)
+    assert len(rows) == 9 * 11 and len(blocks) == 9 * 11 and all(r["many"] for r in rows)
