@@ -48,8 +48,7 @@ def corpus(seed, n=160):
     return rows + [rows[20], rows[21], rows[21]]
 
 
-@pytest.mark.parametrize("together", [32, 2])
-@pytest.mark.parametrize("words,num,den,seed", [(3, 90, 100, 1), (5, 80, 100, 2), (3, 80, 100, 3), (1, 60, 100, 4)])
+@pytest.mark.parametrize("words,num,den,seed,together", [(3, 90, 100, 1, 32), (5, 80, 100, 2, 2), (3, 80, 100, 3, 2), (1, 60, 100, 4, 32)])
 def test_matches_all_pairs(spark, monkeypatch, words, num, den, seed, together):
     monkeypatch.setattr(jaccard, "TOGETHER", together)
     rows = corpus(seed)

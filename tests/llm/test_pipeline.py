@@ -67,10 +67,10 @@ def test_run_matches_plain_stages(spark, tmp_path):
     items = fixture(spark, folder)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     # 1: word measures, and the mean log ratio of hashed tokens and pairs of them
-    bucket = lambda col: [x[0] for x in spark.createDataFrame([(t or "",) for _, t in docs], "t string").select(col).collect()]
     from surgeline.llm import quality_rules as Q
 
-    cells = bucket(Q.buckets(Q.token_hashes("t")))
+    tokens = spark.createDataFrame([(t or "",) for _, t in docs], "t string").select(Q.token_hashes("t").alias("h"))
+    cells = [x[0] for x in tokens.select(Q.buckets(F.col("h"))).collect()]
     n, t = np.ones(Q.BUCKETS), np.ones(Q.BUCKETS)
     for (i, _), c in zip(docs, cells):
         np.add.at(n, c, 1)

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from surgeline.llm import quality_rules as Q
 
 
@@ -46,3 +48,30 @@ def test_junk_scores_lower(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert Q.quality_rules(df, df.selectExpr("doc_id as id")).count() == 0
+
+
+def test_scores_match_plain_counts(spark):
+    """Two multinomials over the cells, counted one gram at a time, and each document's mean log ratio; repeated rows count, null ids aren't trusted."""
+    import numpy as np
+
+    r = random.Random(7)
+    word = lambda a: "".join(r.choice(a) for _ in range(4))
+    rows = [(i, " ".join(word("abc" if i % 3 else "xyz#") for _ in range(r.randrange(1, 60)))) for i in range(60)] + [(7, "again a b"), (None, "no id here"), (61, ""), (62, None), (63, "word " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "0 as score", "1 as kept", "2 as id")
+    trusted = spark.createDataFrame([(i,) for i in [*range(0, 40, 3), 7, 7, 999]] + [(None,)], "id long")
+    cells = [x.c for x in spark.createDataFrame([(k, t or "") for k, (_, t) in enumerate(rows)], "k long, t string").select("k", Q.token_hashes("t").alias("h")).select("k", Q.buckets(F.col("h")).alias("c")).orderBy("k").collect()]
+    n, t = np.ones(Q.BUCKETS), np.ones(Q.BUCKETS)
+    for (i, _), c in zip(rows, cells):
+        for x in c:
+            n[x] += 1
+            t[x] += i is not None and (i in range(0, 40, 3) or i == 7)
+    ratio = np.log(t / t.sum()) - np.log(n / n.sum())
+    got = {}
+    for g in Q.quality_rules(df, trusted).collect():
+        got.setdefault((g.doc_id, g.text), []).append((g.score, g.base_failed, g.kept))
+    for (i, x), c in zip(rows, cells):
+        want = ratio[c].mean() if len(c) else 0.0
+        for score, failed, kept in got[i, x]:
+            assert abs(score - want) < 1e-5 and kept == (not failed and score >= Q.THRESHOLD)
+    # tokens are runs of letters and digits, or of anything else but spaces; cells are those of single ones and of neighbours
+    assert all(len(c) == max(0, 2 * len(re.findall(r"[\w]+|[^\s\w]+", x or "")) - 1) for (_, x), c in zip(rows, cells))
