@@ -341,3 +341,19 @@ def panel_refusal(spark, d):
     named = lambda df, n: df.select(F.lit(n).alias("universe"), "symbol")
     out = G.completeness(named(s, "few").union(named(s, "many")), named(s.where("symbol % 100 <> 7"), "few").union(named(s.where("symbol % 4 <> 1"), "many")))
     return rounded(out, "universe", "missing", "ok")
+
+
+_noise = "(((t.range * 48271 + s.range * 16807 + 7) * 48271) % 2147483647 * 69621) % 2147483647"
+
+
+@query(
+    f"SELECT session, count(*) FILTER (px > prev) AS advances, count(*) FILTER (px < prev) AS declines, CAST(sum(volume) AS BIGINT) AS volume, round(avg(px), 3) AS mean_px FROM (SELECT *, lag(px) OVER (PARTITION BY ticker ORDER BY session) AS prev FROM (SELECT session, ticker, volume, 100 * exp(sum(step) OVER (PARTITION BY ticker ORDER BY session)) AS px FROM ("
+    f"SELECT t.range AS ticker, s.range AS session, 1000 + {_noise} % 9000 AS volume, ({_noise} % 20001 - 10000) / 10000e0 * 0.017 + CASE WHEN s.range BETWEEN 300 AND 311 OR s.range BETWEEN 900 AND 911 THEN 0.02 WHEN s.range BETWEEN 260 AND 299 OR s.range BETWEEN 860 AND 899 THEN -0.01 ELSE 0 END AS step FROM range(480) t CROSS JOIN range(1, 1501) s))) GROUP BY 1"
+)
+def synthetic_run(spark, d):
+    """The generated panel of 1,500 sessions and 480 tickers, by session."""
+    panel = D.synthetic(spark)
+    sessions = panel.select("universe", "session", "date").distinct()
+    daily = B.breadth(panel, sessions, P).select("session", "advances", "declines")
+    means = panel.groupBy("session").agg(F.sum("volume").alias("volume"), F.round(F.avg("px"), 3).alias("mean_px"))
+    return rounded(daily.join(means, "session"), "session", "advances", "declines", "volume", "mean_px")

@@ -92,11 +92,13 @@ def total_return_panel(series: DataFrame, close_basis: str = "TOTALRETURN", volu
 
 
 def synthetic(spark: SparkSession, sessions: int = 1500, tickers: int = 480) -> DataFrame:
-    """A deterministic panel with two surges, after falls of 40 sessions, at a fifth and three fifths of it."""
+    """A deterministic panel with two surges, after falls of 40 sessions, at a fifth and three fifths of it. Its noise is arithmetic that SQL can repeat."""
     n = spark.range(tickers).select(F.col("id").alias("ticker")).select("ticker", F.explode(F.sequence(F.lit(1), F.lit(sessions))).alias("session"))
-    noise = (F.pmod(F.xxhash64("ticker", "session"), F.lit(20001)) - 10000) / 10000 * 0.017
+    m = F.lit(2147483647).cast("long")
+    draw = (((F.col("ticker") * 48271 + F.col("session").cast("long") * 16807 + 7) * 48271) % m * 69621) % m
+    noise = (draw % 20001 - 10000) / 10000 * 0.017
     at = [sessions // 5, sessions * 3 // 5]
     surge = sum((F.when(F.col("session").between(a, a + 11), 0.02).when(F.col("session").between(a - 40, a - 1), -0.01).otherwise(0.0) for a in at), F.lit(0.0))
     w = Window.partitionBy("ticker").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
-    out = n.withColumn("close", 100 * F.exp(F.sum(noise + surge).over(w)))
-    return out.select(F.lit("SYNTHETIC").alias("universe"), "session", F.expr("date_add(date'2015-01-02', session - 1)").alias("date"), "ticker", F.col("close").alias("px"), (1000 + F.pmod(F.xxhash64("session", "ticker"), F.lit(9000))).alias("volume"))
+    out = n.select("*", draw.alias("draw"), (100 * F.exp(F.sum(noise + surge).over(w))).alias("close"))
+    return out.select(F.lit("SYNTHETIC").alias("universe"), "session", F.expr("date_add(date'2015-01-02', session - 1)").alias("date"), "ticker", F.col("close").alias("px"), (1000 + F.col("draw") % 9000).alias("volume"))
