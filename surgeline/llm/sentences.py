@@ -194,17 +194,19 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns a row for each row of docs: id, n_sentences, n_removed (those that
     went as a whole), spans (start and end of the removed stretches in bytes, end
     exclusive), kept (text). Words are runs of anything but ASCII white space,
-    A-Z lower-cased; a stretch reaches up to the next word. Ids are whole numbers; a null id comes before all
-    others. Null and empty texts have no sentences; the kept text is then empty.
+    A-Z lower-cased; a stretch reaches up to the next word. A null id comes before all
+    others; ids that aren't whole numbers come in the order of a hash. Null and empty texts have no sentences; the kept text is then empty.
     Rows with one id and text are one document, so they don't remove each other.
     Of equal ids with different texts, the order is that of a hash. An empty table
-    gives no rows. Other columns are not read. Exact for 64-bit hashes.
+    gives no rows. Other columns are not read. Exact for 64-bit hashes. Texts are taken whole, however long.
     """
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "sentences")
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumn("th", F.xxhash64("text"))
+    whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    key = F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(key, F.lit(-(1 << 63))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.withColumn("th", F.xxhash64("text", F.col("id").isNull()))
     rows = docs.select("key", "th", "text").mapInArrow(run_rows, "h long, id long, th long, at int, n int, again boolean")
     rows = rows.repartition("h").sortWithinPartitions("again", "h", "id", "th", "at")
     gone = rows.mapInArrow(later, "id long, th long, at int, n int").groupBy("id", "th").agg(F.collect_set(F.struct("at", "n")).alias("found"))

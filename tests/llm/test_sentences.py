@@ -83,3 +83,17 @@ def test_long_sentences_of_one_word(spark):
     rows = [(0, "x " * 500), (1, "y " + "x " * 500)]
     got = {x.doc_id: x.kept.split() for x in S.remove_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got[0]) == {"x"} and got[1][0] == "y"
+
+
+def test_ids_of_any_kind_and_long_texts(spark):
+    passage = "One of these sentences is here. It goes on with words. And a third one ends the run of them all. "
+    docs = [("b", "First. " + passage), ("a", "Second. " + passage), (None, "Third. " + passage), (None, "Third. " + passage), ("long", "word " * 60_000 + ". " + passage), ("empty", "")]
+    got = S.remove_spans(spark.createDataFrame(docs, "doc_id string, text string").selectExpr("doc_id", "text", "1 as key", "2 as th")).collect()
+    assert len(got) == 6
+    left = [r for r in got if r.kept and "It goes on" in r.kept]
+    # of five places one document keeps the passage: the one without an id, which stands twice and comes first
+    assert [r.doc_id for r in left] == [None, None] and {r.doc_id for r in got if r.n_removed >= 3} == {"a", "b", "long"}
+    low = -(1 << 63)
+    rows = spark.createDataFrame([(low, "X. " + passage), (None, "X. " + passage), (3, "Y. " + passage)], "doc_id long, text string")
+    kept = {r.doc_id: r.kept for r in S.remove_spans(rows).collect()}
+    assert sum("It goes on" in k for k in kept.values()) == 1
