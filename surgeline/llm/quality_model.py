@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surgeline.llm import kernels as K
-from surgeline.llm.shared import doc_chunks, maybe_broadcast, text_bytes, tune
+from surgeline.llm.shared import doc_chunks, text_bytes, tune
 
-#: Hashed indicators; labelled rows that are fitted to, and their indicators in all.
-CELLS, SAMPLE, SAMPLE_CELLS = 1 << 18, 6000, 20_000_000
+#: Hashed indicators; labelled rows that are fitted to, each as a whole.
+CELLS, SAMPLE = 1 << 18, 5000
 SMOOTH, COST, PULL, EPOCHS = 1.0, 1.0, 0.25, 12
 
 
@@ -31,31 +31,41 @@ def indicators(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     return [np.unique(np.concatenate([one[a:b], two[a : max(a, b - 1)]])) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
-def fit(cells: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """Weights of the CELLS indicators and, last, of the constant; slope and offset of the score's logistic curve."""
-    y = np.where(labels > 0, 1.0, -1.0)
+def count_ratios(cells: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Log ratio of each indicator's smoothed share of its class's indicators, good (y over 0) to bad."""
     good, bad = np.full(CELLS, SMOOTH), np.full(CELLS, SMOOTH)
     for c, t in zip(cells, y):
         (good if t > 0 else bad)[c] += 1
-    ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
-    w, bias = np.zeros(CELLS), 0.0
-    x = []
-    for c in cells:
-        v = ratio[c]
-        x.append(v / max(np.sqrt(v @ v), 1e-12))
-    alpha = np.zeros(len(y))
-    share = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9))
+    return np.log(good / good.sum()) - np.log(bad / bad.sum())
+
+
+def descend(cells: list[np.ndarray], x: list[np.ndarray], y: np.ndarray, most: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float, np.ndarray]:
+    """Dual coordinate descent for hinge loss: weights, bias and duals, of which most bounds each. x: values at cells."""
+    w, bias, alpha = np.zeros(CELLS), 0.0, np.zeros(len(y))
     order = np.random.default_rng(7)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for i in order.permutation(len(y)).tolist():
             c, v, t = cells[i], x[i], y[i]
             gradient = t * (w[c] @ v + bias) - 1
-            now = min(max(alpha[i] - gradient / (v @ v + 1.0), 0.0), COST * share[i])
+            now = min(max(alpha[i] - gradient / (v @ v + 1.0), 0.0), most[i])
             if now != alpha[i]:
                 step = (now - alpha[i]) * t
                 w[c] += step * v
                 bias += step
                 alpha[i] = now
+    return w, bias, alpha
+
+
+def fit(cells: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Weights of the CELLS indicators and, last, of the constant; slope and offset of the score's logistic curve."""
+    y = np.where(labels > 0, 1.0, -1.0)
+    ratio = count_ratios(cells, y)
+    x = []
+    for c in cells:
+        v = ratio[c]
+        x.append(v / max(np.sqrt(v @ v), 1e-12))
+    share = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9))
+    w, _, _ = descend(cells, x, y, COST * share)
     mean = np.abs(w).mean()
     w = (1 - PULL) * mean * np.sign(w) + PULL * w if mean > 0 else w
     w = w * ratio
@@ -82,13 +92,10 @@ def train(batches):
     """Arrow function of one task over (label, cells): the model's numbers as bytes."""
     import pyarrow as pa
 
-    labels, cells, size = [], [], 0
+    labels, cells = [], []
     for batch in batches:
-        for y, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if size < SAMPLE_CELLS:
-                labels.append(y)
-                cells.append(c.values.to_numpy())
-                size += len(cells[-1])
+        labels += batch.column(0).to_pylist()
+        cells += [c.values.to_numpy() for c in batch.column(1)]
     if len(set(labels)) == 2:
         w, a, b = fit(cells, np.array(labels))
         out = np.concatenate([w.ravel(), [a, b]])
@@ -109,10 +116,11 @@ def cells_of(batches):
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Fits to at most sample labelled rows, the first by a hash of their ids. docs (id, text), labels (id, label)."""
+    """Fits to at most sample labelled ids, the first by a hash, and of an id's texts to one. docs (id, text), labels (id, label)."""
     chosen = labels.where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample)
-    rows = docs.join(maybe_broadcast(chosen, sample), "id").select("label", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = rows.select("label", F.coalesce("text", F.lit("")).alias("text"))
     got = rows.mapInArrow(cells_of, "label int, cells array<int>").repartition(1).sortWithinPartitions(F.xxhash64("cells"), "label").mapInArrow(train, "model binary").collect()
     return np.frombuffer(got[0]["model"], "<f8") if got else np.zeros(2 * CELLS + 2)
 
@@ -144,7 +152,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
     a document do nothing. Only texts go into a score. Null texts are empty; they
     get the score of no indicators. Without labels of both classes all scores are
     equal. Repeated rows have equal scores. An empty table gives no rows. Other
-    columns are not read.
+    columns are not read. Texts are taken whole, in the fit as in the scores, however
+    long; a text has at most CELLS indicators.
     """
     tune(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

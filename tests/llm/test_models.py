@@ -38,6 +38,63 @@ def test_dual_coordinate_descent_separates():
     assert (((a * margin + b) > 0) == (y > 0)).all() and a > 0
 
 
+def test_ratios_and_duals_match_plain_computation():
+    """Class shares counted one by one; duals against projected gradient steps on the dual problem in full."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    cells = [np.unique(r.integers(0, 9, r.integers(1, 7))).astype(np.int32) for _ in range(14)]
+    y = np.where(r.random(14) < 0.5, 1.0, -1.0)
+    ratio = quality_model.count_ratios(cells, y)
+    for c in range(12):
+        n = {t: quality_model.SMOOTH + sum(c in x for x, z in zip(cells, y) if z == t) for t in (1, -1)}
+        total = {t: quality_model.CELLS * quality_model.SMOOTH + sum(len(x) for x, z in zip(cells, y) if z == t) for t in (1, -1)}
+        assert abs(ratio[c] - np.log(n[1] / total[1] / (n[-1] / total[-1]))) < 1e-9
+    dense = np.zeros((14, 10))
+    dense[:, 9] = 1.0  # the constant
+    for i, c in enumerate(cells):
+        dense[i, c] = ratio[c]
+    most = r.uniform(0.3, 2.0, 14)
+    w, bias, alpha = quality_model.descend(cells, [ratio[c] for c in cells], y, most, epochs=4000)
+    q = (dense * y[:, None]) @ (dense * y[:, None]).T
+    plain, rate = np.zeros(14), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(200_000):
+        plain = np.clip(plain - rate * (q @ plain - 1), 0, most)
+    goal = lambda a: 0.5 * a @ q @ a - a.sum()
+    assert abs(goal(alpha) - goal(plain)) < 1e-6 and (alpha >= 0).all() and (alpha <= most).all()
+    assert np.allclose(np.r_[w[:9], bias], (dense * (alpha * y)[:, None]).sum(axis=0))
+
+
+def test_scores_match_plain_sums(spark):
+    """Each document's score from the model's numbers, its indicators found one token at a time."""
+    import numpy as np
+
+    from surgeline.llm import kernels as K
+
+    r = random.Random(5)
+    docs = [(i, " ".join(r.choice(["good", "fine", "text"] if i % 2 else ["bad", "%%%", "x1"]) for _ in range(r.randrange(1, 30)))) for i in range(60)] + [(60, None), (61, "word " * 40_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "text", "1 as score", "2 as label")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "id long, label int")
+    model = quality_model.fit_model(df.selectExpr("doc_id as id", "text"), labels)
+    n = quality_model.CELLS
+    w, ratio, (a, b) = model[:n], model[n : 2 * n], model[2 * n :]
+    got = {x.doc_id: x.score for x in quality_model.classify(df, labels).collect()}
+    for i, text in docs[:61]:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        tokens, _ = K.token_hashes(raw, np.array([0, len(raw)]))
+        cells = {int(t) % n for t in tokens}
+        for k in range(len(tokens) - 1):
+            pair = int(K.gram_hashes(tokens[k : k + 2], 2)[0])
+            for apart in (1, 2):
+                if k + 2 * apart < len(tokens) and tokens[k] == tokens[k + apart] == tokens[k + 2 * apart]:
+                    pair = apart
+            cells.add(pair % n)
+        c = sorted(cells)
+        z = a * w[c].sum() / max(np.sqrt((ratio[c] ** 2).sum()), 1e-12) + b
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-5
+    assert 0 <= got[61] <= 1
+
+
 def test_language_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language.identify(docs, docs.where(~held_out("doc_id")).select(F.col("doc_id").alias("id"), "text", "lang"))
@@ -77,3 +134,40 @@ def test_posteriors_match_enumeration():
             for i, k in enumerate(path):
                 want[i, k] += w
         assert np.allclose(p[a:b], want / want.sum(axis=1, keepdims=True))
+
+
+def test_gradients_match_enumeration():
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    scores, between, y = r.normal(size=(9, 3)), 2 * r.normal(size=(3, 3)), r.integers(0, 3, 9)
+    first = np.array([0, 5, 5, 6, 9])
+    by_word, by_pair = language.gradients(scores, first, between, y)
+    want_word, want_pair = np.zeros((9, 3)), np.zeros((3, 3))
+    for a, b in zip(first[:-1], first[1:]):
+        paths = list(itertools.product(range(3), repeat=b - a))
+        weight = np.array([np.exp(sum(scores[a + i, k] for i, k in enumerate(p)) + sum(between[x, z] for x, z in zip(p, p[1:]))) for p in paths])
+        weight /= weight.sum()
+        for p, w in [*zip(paths, -weight), (tuple(y[a:b]), 1.0)]:
+            for i, k in enumerate(p):
+                want_word[a + i, k] += w
+            for x, z in zip(p, p[1:]):
+                want_pair[x, z] += w
+    assert np.allclose(by_word, want_word) and np.allclose(by_pair, want_pair)
+
+
+def test_sample_bounds(spark):
+    rows = [(i % 50, f"text {i % 50} {i % 3}", "aa") for i in range(400)] + [(i, "other", f"l{i}") for i in range(5)] + [(7, None, "aa"), (None, "x", "aa"), (8, "x", None)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    count = lambda s, n: {r.lang: r["count"] for r in language.sample_of(df, s, n).groupBy("lang").count().collect()}
+    assert count(20, 1000) == {"aa": 20, **{f"l{i}": 1 for i in range(5)}}
+    assert count(20, 12) == {"aa": 2, **{f"l{i}": 1 for i in range(5)}} and count(100, 1000)["aa"] == 50
+
+
+def test_language_of_long_texts_and_clashing_columns(spark):
+    rows = [(1, "kaka momo " * 50_000, "aa"), (2, "füß ütü " * 50_000, "bb"), (3, "momo " * 3, None), (4, "ütü", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' as lang_pred", "1 as score", "2 as shares")
+    out = language.identify(docs, docs.where("lang is not null").selectExpr("doc_id as id", "text", "lang"))
+    assert {r.doc_id: r.lang_pred for r in out.collect()} == {1: "aa", 2: "bb", 3: "aa", 4: "bb"}
