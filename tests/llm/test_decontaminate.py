@@ -54,3 +54,18 @@ def test_no_items_and_no_documents(spark):
     assert run(spark, docs, []) == brute(docs, [])
     assert run(spark, docs, [(1, "  ")]) == brute(docs, [])
     assert run(spark, [], [(1, "a b")]) == []
+
+
+def test_letters_with_several_small_forms(spark):
+    """Texts that lower-casing changes in length or by context match as they are, and only as they are."""
+    item = "ΑΣ'Α İstanbul K1 word ΣΑΣ b c d e f g"
+    docs = [(1, "x. " + item + ". y"), (2, item.replace("ΑΣ'", "ας'")), (3, item.replace("word", "WORD")), (4, item.replace("İ", "i")), (5, item + "Σ")]
+    assert run(spark, docs, [(1, item)]) == brute(docs, [(1, item)])
+    assert {r[0] for r in run(spark, docs, [(1, item)]) if r[2] == 12} == {1, 3}
+
+
+def test_long_texts(spark):
+    r = random.Random(1)
+    item = " ".join(f"w{r.randrange(50)}" for _ in range(400))
+    docs = [(1, "a " * 40_000 + item + " b" * 40_000), (2, "c" * 200_000)]
+    assert run(spark, docs, [(1, item)]) == brute(docs, [(1, item)])
