@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surgeline.llm.oracle import CONTAMINATION, NEAR_DUPLICATES
+from surgeline.llm.oracle import CENTROIDS, CONTAMINATION, FILL_MIDDLE, NEAR_DUPLICATES
 from surgeline.llm.shared import held_out
 
 
@@ -89,6 +89,21 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surgeline.llm.fill_middle import rearrange, restored
+
+    out = rearrange(_read(spark, sf_dir, "documents"))
+    text = restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[F.sha2(c.cast("binary"), 256).alias(name) for c, name in ((F.col("output"), "output_sha256"), (text, "restored_sha256"))])
+
+
+def op13_elkan_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surgeline.llm.centroids import cluster
+
+    out = cluster(_read(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ",").cast("binary"), 256).alias("centroid_sha256"))
+
+
 QUERIES = {
     "op1_link_graph": op1_link_graph,
     "op2_winnowing": op2_winnowing,
@@ -100,6 +115,8 @@ QUERIES = {
     "op8_random_field": op8_random_field,
     "op9_bootstrapped_context": op9_bootstrapped_context,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_elkan_centroids": op13_elkan_centroids,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_winnowing": CONTAMINATION, "op10_ngram_jaccard": NEAR_DUPLICATES}
+ORACLE_SQL: dict[str, str] = {"op2_winnowing": CONTAMINATION, "op10_ngram_jaccard": NEAR_DUPLICATES, "op12_fill_middle": FILL_MIDDLE, "op13_elkan_centroids": CENTROIDS}
