@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surgeline.llm.oracle import CENTROIDS, CONTAMINATION, FILL_MIDDLE, NEAR_DUPLICATES
-from surgeline.llm.shared import held_out
+from surgeline.llm.oracle import ARCHIVES, CENTROIDS, CONTAMINATION, FILL_MIDDLE, NEAR_DUPLICATES
+from surgeline.llm.shared import Scratch, held_out
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -89,6 +89,14 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op11_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surgeline.llm.warc import payloads, read_archives, write_archives
+
+    path = Scratch(spark, "archives").place()
+    write_archives(_read(spark, sf_dir, "pages"), path)
+    return payloads(read_archives(spark, path)).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from surgeline.llm.fill_middle import rearrange, restored
 
@@ -115,8 +123,9 @@ QUERIES = {
     "op8_random_field": op8_random_field,
     "op9_bootstrapped_context": op9_bootstrapped_context,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_warc_chain": op11_warc_chain,
     "op12_fill_middle": op12_fill_middle,
     "op13_elkan_centroids": op13_elkan_centroids,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_winnowing": CONTAMINATION, "op10_ngram_jaccard": NEAR_DUPLICATES, "op12_fill_middle": FILL_MIDDLE, "op13_elkan_centroids": CENTROIDS}
+ORACLE_SQL: dict[str, str] = {"op2_winnowing": CONTAMINATION, "op10_ngram_jaccard": NEAR_DUPLICATES, "op11_warc_chain": ARCHIVES, "op12_fill_middle": FILL_MIDDLE, "op13_elkan_centroids": CENTROIDS}

@@ -66,10 +66,14 @@ class Scratch:
         """Deletes all its tables."""
         self._delete(self.root)
 
+    def place(self) -> str:
+        """A new path in the shared folder."""
+        self.n += 1
+        return f"{self.root}/{self.n}"
+
     def table(self, df: DataFrame) -> DataFrame:
         """Writes df as Parquet and reads it again."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
+        path = self.place()
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.scratch_path = path
