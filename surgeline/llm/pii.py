@@ -198,28 +198,8 @@ def automaton_of(patterns: list[str]):
     return out
 
 
-def shares(patterns: list[str]):
-    """Arrow function: (th, text) to (pattern, n, ids): a task's instances of patterns, and those that may be identifiers. Equal values of a batch count once."""
-    import pyarrow as pa
-
-    def run(batches):
-        automaton, n, ids = automaton_of(patterns), dict.fromkeys(patterns, 0), dict.fromkeys(patterns, 0)
-        for batch in batches:
-            seen = set()
-            for _, text in distinct(batch):
-                for pattern, _, _, value, seed in places(text, automaton):
-                    if (pattern, value) not in seen:
-                        seen.add((pattern, value))
-                        n[pattern] += 1
-                        ids[pattern] += seed or not value.isalpha()
-        found = [p for p in patterns if n[p]]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([n[p] for p in found], pa.int64()), pa.array([ids[p] for p in found], pa.int64())], ["pattern", "n", "ids"])
-
-    return run
-
-
 def instances(patterns: list[str]):
-    """Arrow function: (th, text) to (th, start, end, value, seed, pattern) of whatever fills the patterns' places."""
+    """Arrow function: (th, text) to (th, start, end, value, seed, pattern) of whatever fills the patterns' places. Plain words are never found, so of a pattern's equal ones a batch gives one row, without a place."""
     import pyarrow as pa
 
     names = ["th", "start", "end", "value", "seed", "pattern"]
@@ -228,10 +208,16 @@ def instances(patterns: list[str]):
     def run(batches):
         automaton = automaton_of(patterns)
         for batch in batches:
-            cols = [[] for _ in names]
+            cols, words = [[] for _ in names], set()
             for th, text in distinct(batch):
                 for pattern, a, b, value, seed in places(text, automaton):
-                    for c, x in zip(cols, (th, a, b, value, seed, pattern)):
+                    row = (th, a, b, value, seed, pattern)
+                    if not seed and value.isalpha():
+                        if (pattern, value) in words:
+                            continue
+                        words.add((pattern, value))
+                        row = (None, None, None, value, seed, pattern)
+                    for c, x in zip(cols, row):
                         c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
@@ -243,6 +229,17 @@ def bucket(value: Column) -> Column:
     return F.length(F.bin(F.length(F.regexp_replace(value, "[^0-9]", "")).cast("long")))
 
 
+def plain(value: Column) -> Column:
+    """Whether a value is a plain word."""
+    return value.rlike(r"^\p{L}+$")
+
+
+def pure_patterns(edges: DataFrame) -> DataFrame:
+    """Of edges (pattern, value, seed), each pair once: the patterns with SUPPORT values that aren't plain words, and a share of these of at least PURE."""
+    totals = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(F.col("seed") | ~plain(F.col("value"))).alias("ids"))
+    return totals.where((F.col("ids") >= SUPPORT) & (F.col("ids") >= PURE * F.col("n"))).select("pattern")
+
+
 def scores(edges: DataFrame, priors: DataFrame, scratch: Scratch) -> DataFrame:
     """(value, score) over the graph of edges (pattern, value, seed), each pair once. priors (bucket, prior): the share of seeds among values of a bucket.
 
@@ -251,9 +248,8 @@ def scores(edges: DataFrame, priors: DataFrame, scratch: Scratch) -> DataFrame:
     plain; another instance's is 1 - (1 - prior) * (1 - the best of its patterns' scores
     from PURE on).
     """
-    plain = F.col("value").rlike(r"^\p{L}+$")
     edges = edges.withColumn("bucket", bucket(F.col("value"))).join(F.broadcast(priors), "bucket", "left")  # as many rows as there are powers of two
-    edges = scratch.table(edges.select("pattern", "value", "seed", plain.alias("plain"), F.coalesce("prior", F.lit(0.0)).alias("prior")))
+    edges = scratch.table(edges.select("pattern", "value", "seed", plain(F.col("value")).alias("plain"), F.coalesce("prior", F.lit(0.0)).alias("prior")))
     start = F.when(F.col("seed"), 1.0).when(F.col("plain"), 0.0).otherwise(F.col("prior"))
     score = edges.select("pattern", "value", "plain", start.alias("score"))
     for turn in range(ROUNDS):
@@ -279,16 +275,15 @@ def discover(docs: DataFrame, scratch: Scratch) -> DataFrame:
     parts = -(-known.count() // CHUNK)
     for part in range(parts):  # one, unless there are very many patterns
         patterns = sorted(r[0] for r in known.where(F.pmod("salt", F.lit(parts)) == part).select("pattern").collect())
-        counts = docs.mapInArrow(shares(patterns), "pattern string, n long, ids long").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
-        patterns = sorted(r[0] for r in counts.where((F.col("ids") >= SUPPORT) & (F.col("ids") >= PURE * F.col("n"))).select("pattern").collect())
-        if patterns:
-            here = scratch.table(docs.mapInArrow(instances(patterns), "th long, start int, end int, value string, seed boolean, pattern string"))
-            found = here if found is None else found.union(here)
+        here = scratch.table(docs.mapInArrow(instances(patterns), "th long, start int, end int, value string, seed boolean, pattern string"))
+        found = here if found is None else found.union(here)
     if found is None:
         return spark.createDataFrame([], "th long, new array<struct<start:int,end:int>>")
-    edges = found.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    edges = scratch.table(found.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
+    pure = maybe_broadcast(pure_patterns(edges), 200_000)
+    edges, found = edges.join(pure, "pattern", "left_semi"), found.join(pure, "pattern", "left_semi")
     sure = scratch.table(scores(edges, priors, scratch).where(F.col("score") >= CONFIDENT).select("value"))
-    new = found.where("not seed").select("th", "start", "end", "value").union(seen.where("not seed").select("th", "start", "end", "value"))
+    new = found.where("not seed and th is not null").select("th", "start", "end", "value").union(seen.where("not seed").select("th", "start", "end", "value"))
     new = new.join(maybe_broadcast(sure, 200_000), "value", "left_semi")
     return scratch.table(new.groupBy("th").agg(F.collect_set(F.struct("start", "end")).alias("new")))
 
@@ -323,7 +318,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     entity of the other kinds. A token of DIGITS digits or more is found wherever it
     stands once it is known; another only in a confident pattern's place, and never a
     plain word. row is unique. Null and empty texts have none.
-    Repeated rows have equal results; copies lend no weight to a pattern. Ties in
+    Repeated rows have equal results. Copies, however they lie among tasks, lend a
+    pattern no weight and take none: it is judged by its different values alone. Ties in
     score don't matter, as scores meet thresholds alone. An empty table gives no
     rows. Other columns are not read. Texts are searched whole, however long.
     """

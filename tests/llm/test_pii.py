@@ -121,3 +121,30 @@ def test_joined(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(df).count() == 0 and pii.redact(df).count() == 0
+
+
+def test_copies_and_partitions_change_nothing(spark):
+    """Quoted e-mails and identifiers behind one pattern, and many copies of a text with a plain word there; a pattern is judged by plain counts of its different values."""
+    rows = [(i, f'set token = "u{i}@mail.example.com" here') for i in range(20)] + [(100 + i, f'set token = "AB-77{i}91-X" here') for i in range(4)]
+    copies = [(1000 + i, 'set token = "word" here') for i in range(200)]
+    found = []
+    for parts, given in ((1, rows + copies), (7, rows + copies), (200, rows + copies), (3, rows + copies[:1]), (5, rows + rows + copies)):
+        df = spark.createDataFrame(given, "doc_id long, text string").repartition(parts)
+        out = pii.find(df).select("doc_id", F.filter("entities", lambda e: ~e["base"]).alias("e")).where("size(e) > 0").distinct().collect()
+        found.append({(r.doc_id, *map(tuple, r.e)) for r in out})
+    assert all(f == found[0] for f in found) and {f[0] for f in found[0]} == {100, 101, 102, 103}
+
+
+def test_pure_patterns_match_plain_counts(spark):
+    r = random.Random(4)
+    edges = {(f"p{r.randrange(12)}", "".join(r.choice("ab1é٣") for _ in range(r.randrange(1, 4)))) for _ in range(300)}
+    rows = [(p, v, r.random() < 0.1) for p, v in sorted(edges)]
+    mine = {}
+    for p, v, seed in rows:
+        n = mine.setdefault(p, [0, 0])
+        n[0] += 1
+        n[1] += seed or not v.isalpha()
+    want = {p for p, (n, ids) in mine.items() if ids >= pii.SUPPORT and ids >= pii.PURE * n}
+    for parts in (1, 40):
+        df = spark.createDataFrame(rows, "pattern string, value string, seed boolean").repartition(parts)
+        assert {x[0] for x in pii.pure_patterns(df).collect()} == want
