@@ -171,13 +171,13 @@ def read(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
-def places(text: str, automaton):
-    """(pattern, start, end, value, seed) of whatever fills the place of an automaton's patterns."""
+def places(text: str, automaton, without=frozenset()):
+    """(pattern, start, end, value, seed) of whatever fills the place of an automaton's patterns, but for those without."""
     low = lower(text)
     known = None
     for last, pattern in automaton.iter(low):
         at = last + 1 - len(pattern)
-        if at and (low[at - 1].isalnum() or low[at - 1] == "_"):
+        if pattern in without or at and (low[at - 1].isalnum() or low[at - 1] == "_"):
             continue
         a, b = last + 1, fill(text, last + 1)
         if a == b:
@@ -199,7 +199,7 @@ def automaton_of(patterns: list[str]):
 
 
 def instances(patterns: list[str]):
-    """Arrow function: (th, text) to (th, start, end, value, seed, pattern) of whatever fills the patterns' places. Plain words are never found, so of a pattern's equal ones a batch gives one row, without a place."""
+    """Arrow function: (th, text) to (th, start, end, value, seed, pattern) of whatever fills the patterns' places but plain words."""
     import pyarrow as pa
 
     names = ["th", "start", "end", "value", "seed", "pattern"]
@@ -208,22 +208,38 @@ def instances(patterns: list[str]):
     def run(batches):
         automaton = automaton_of(patterns)
         for batch in batches:
-            cols, words = [[] for _ in names], set()
+            cols = [[] for _ in names]
             for th, text in distinct(batch):
                 for pattern, a, b, value, seed in places(text, automaton):
-                    row = (th, a, b, value, seed, pattern)
-                    if not seed and value.isalpha():
-                        if (pattern, value) in words:
-                            continue
-                        words.add((pattern, value))
-                        row = (None, None, None, value, seed, pattern)
-                    for c, x in zip(cols, row):
-                        c.append(x)
+                    if seed or not value.isalpha():
+                        for c, x in zip(cols, (th, a, b, value, seed, pattern)):
+                            c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     return run
 
 
+def plain_words(most: dict[str, int]):
+    """Arrow function: (th, text) to a task's different (pattern, value) of plain words in the patterns' places. A pattern of which the task alone sees more than most has one row, with a null; the task looks for it no longer."""
+    import pyarrow as pa
+
+    def run(batches):
+        automaton, words, over = automaton_of(list(most)), {}, set()
+        for batch in batches:
+            for _, text in distinct(batch):
+                for pattern, _, _, value, seed in places(text, automaton, over):
+                    if not seed and value.isalpha():
+                        mine = words.setdefault(pattern, set())
+                        mine.add(value)
+                        if len(mine) > most[pattern]:
+                            over.add(pattern)
+                            del words[pattern]
+        for pattern, values in [*words.items(), *((p, [None]) for p in over)]:
+            yield pa.RecordBatch.from_arrays([pa.array([pattern] * len(values), pa.string()), pa.array(list(values), pa.string())], ["pattern", "value"])
+
+    return run
+
+
 def bucket(value: Column) -> Column:
     """Values with as many digits, by powers of two."""
     return F.length(F.bin(F.length(F.regexp_replace(value, "[^0-9]", "")).cast("long")))
@@ -271,19 +287,24 @@ def discover(docs: DataFrame, scratch: Scratch) -> DataFrame:
     priors = scratch.table(values.groupBy("bucket").agg((F.count_if("seed") / (F.count("*") + 1)).alias("prior")))
     known = seen.select("value", F.explode("patterns").alias("pattern")).distinct().groupBy("pattern").count().where(F.col("count") >= SUPPORT).select("pattern")
     known = scratch.table(known.withColumn("salt", F.xxhash64("pattern")))
-    found = None
+    found = edges = None
     parts = -(-known.count() // CHUNK)
     for part in range(parts):  # one, unless there are very many patterns
         patterns = sorted(r[0] for r in known.where(F.pmod("salt", F.lit(parts)) == part).select("pattern").collect())
         here = scratch.table(docs.mapInArrow(instances(patterns), "th long, start int, end int, value string, seed boolean, pattern string"))
-        found = here if found is None else found.union(here)
+        pairs = scratch.table(here.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
+        # plain words that a pattern may have beside so many other values; where more are seen by one task, that settles it
+        most = {r.pattern: int(r.ids / PURE) - r.ids for r in pairs.groupBy("pattern").agg(F.count("*").alias("ids")).collect()}
+        words = scratch.table(docs.mapInArrow(plain_words(most), "pattern string, value string").distinct())
+        over = maybe_broadcast(words.where("value is null").select("pattern"), 200_000)
+        pairs = pairs.union(words.where("value is not null").withColumn("seed", F.lit(False))).join(over, "pattern", "left_anti")
+        found, edges = (here, pairs) if found is None else (found.union(here), edges.union(pairs))
     if found is None:
         return spark.createDataFrame([], "th long, new array<struct<start:int,end:int>>")
-    edges = scratch.table(found.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
-    pure = maybe_broadcast(pure_patterns(edges), 200_000)
+    pure = maybe_broadcast(scratch.table(pure_patterns(edges)), 200_000)
     edges, found = edges.join(pure, "pattern", "left_semi"), found.join(pure, "pattern", "left_semi")
     sure = scratch.table(scores(edges, priors, scratch).where(F.col("score") >= CONFIDENT).select("value"))
-    new = found.where("not seed and th is not null").select("th", "start", "end", "value").union(seen.where("not seed").select("th", "start", "end", "value"))
+    new = found.where("not seed").select("th", "start", "end", "value").union(seen.where("not seed").select("th", "start", "end", "value"))
     new = new.join(maybe_broadcast(sure, 200_000), "value", "left_semi")
     return scratch.table(new.groupBy("th").agg(F.collect_set(F.struct("start", "end")).alias("new")))
 

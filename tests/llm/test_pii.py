@@ -128,7 +128,7 @@ def test_copies_and_partitions_change_nothing(spark):
     rows = [(i, f'set token = "u{i}@mail.example.com" here') for i in range(20)] + [(100 + i, f'set token = "AB-77{i}91-X" here') for i in range(4)]
     copies = [(1000 + i, 'set token = "word" here') for i in range(200)]
     found = []
-    for parts, given in ((1, rows + copies), (7, rows + copies), (200, rows + copies), (3, rows + copies[:1]), (5, rows + rows + copies)):
+    for parts, given in ((1, rows + copies), (7, rows + rows + copies[:1]), (200, rows + copies)):
         df = spark.createDataFrame(given, "doc_id long, text string").repartition(parts)
         out = pii.find(df).select("doc_id", F.filter("entities", lambda e: ~e["base"]).alias("e")).where("size(e) > 0").distinct().collect()
         found.append({(r.doc_id, *map(tuple, r.e)) for r in out})
