@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from surgeline.functions.chains import islands
 from surgeline.functions.series import by, edges, ema, rolling_sum
 from surgeline.params import ThrustParams
 
@@ -37,39 +38,59 @@ def episode_starts(flags: DataFrame) -> DataFrame:
     return flags.withColumn("start", edges(F.col("flag"), w)).where("start").select("key", "session")
 
 
-#: Greedy matching of sorted positions: each of a takes the nearest of b not yet taken (the earlier of equals), within reach.
-def _matches(a: F.Column, b: F.Column, reach: int) -> F.Column:
-    first = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("pairs"), F.array().cast("array<int>").alias("used"))
-
-    def take(state, x):
-        free = F.filter(b, lambda y: ~F.array_contains(state["used"], y))
-        best = F.array_min(F.transform(free, lambda y: F.struct(F.abs(y - x).alias("d"), y.alias("y"))))
-        hit = F.coalesce(best["d"] <= reach, F.lit(False))
-        return F.struct(
-            F.when(hit, F.concat(state["pairs"], F.array(F.struct(x.alias("a"), best["y"].alias("b"))))).otherwise(state["pairs"]).alias("pairs"),
-            F.when(hit, F.concat(state["used"], F.array(best["y"]))).otherwise(state["used"]).alias("used"),
-        )
-
-    return F.aggregate(a, first, take)["pairs"]
-
-
-#: Events of a key that are matched one by one.
-MOST = 20_000
-
-
-def _listed(events: DataFrame, name: str) -> DataFrame:
-    few = F.when(F.count("*") > MOST, F.raise_error(F.lit("too many events of a key to match"))).otherwise(F.lit(1)).cast("int")
-    out = events.groupBy("key").agg(F.sort_array(F.collect_list("session")).alias(name), few.alias("few_"))
-    return out.where("few_ = 1").drop("few_")
+def _matched(reach: int):
+    """Arrow function: events (key, island, session, side), sorted, to (key, a, b): each of a takes the nearest of b that isn't taken (the earlier of equals), within reach. Holds events of the last 2 * reach sessions alone."""
+    import pyarrow as pa
+
+    def run(batches):
+        group, waiting, free, out = None, [], [], []
+
+        def settle(until):
+            """Decides those of a that no event from until on can change."""
+            while waiting and (until is None or waiting[0] + reach < until):
+                x = waiting.pop(0)
+                while free and free[0] < x - reach:
+                    out.append((group[0], None, free.pop(0)))
+                near = min((y for y in free if y <= x + reach), key=lambda y: (abs(y - x), y), default=None)
+                if near is not None:
+                    free.remove(near)
+                out.append((group[0], x, near))
+            least = waiting[0] if waiting else until
+            while free and (least is None or free[0] < least - reach):
+                out.append((group[0], None, free.pop(0)))
+
+        def taken(kind):
+            cols = list(zip(*out)) or [(), (), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.int64()))], ["key", "a", "b"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for key, island, session, side in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (key, island) != group:
+                    settle(None)
+                    group = (key, island)
+                settle(session)
+                (free if side else waiting).append(session)
+            yield taken(kind)
+        if group is not None:
+            settle(None)
+            yield taken(kind)
+
+    return run
 
 
 def match_events(a: DataFrame, b: DataFrame, reach: int = 5) -> DataFrame:
-    """a, b (key, session): (key, n_a, n_b, pairs, unmatched_a, unmatched_b). Events of a key are episodes, so few; a key with more than MOST is an error, as matching takes them one by one."""
-    la, lb = (_listed(x, s) for x, s in ((a, "a"), (b, "b")))
-    none = F.array().cast("array<int>")
-    j = la.join(lb, "key", "full_outer").select("key", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
-    j = j.withColumn("pairs", _matches(F.col("a"), F.col("b"), reach))
-    return j.select("key", F.size("a").alias("n_a"), F.size("b").alias("n_b"), "pairs", F.array_except("a", F.transform("pairs", lambda p: p["a"])).alias("unmatched_a"), F.array_except("b", F.transform("pairs", lambda p: p["b"])).alias("unmatched_b"), "a", "b")
+    """a, b (key, session): rows (key, a, b), the greedy matches in the order of a's events, and each event without one beside a null.
+
+    Events further apart than reach split a key's into chains that have no bearing on each
+    other, so these are matched in parallel, each in one pass that holds few events. Repeated
+    events count once; null keys and sessions have no part.
+    """
+    events = a.select("key", F.col("session").cast("long").alias("session"), F.lit(False).alias("side")).union(b.select("key", F.col("session").cast("long"), F.lit(True))).where("key is not null and session is not null").distinct()
+    chains = islands(events, ["key"], "session", reach).select("key", "island", "session", "side")
+    chains = chains.repartition("key", "island").sortWithinPartitions("key", "island", "session", "side")
+    return chains.mapInArrow(_matched(reach), f"key {events.schema['key'].dataType.simpleString()}, a long, b long")
 
 
 def one_sided(a: DataFrame, b: DataFrame, ends: DataFrame, reach: int = 5) -> DataFrame:
@@ -78,8 +99,9 @@ def one_sided(a: DataFrame, b: DataFrame, ends: DataFrame, reach: int = 5) -> Da
     What of b is left is matched anew against all of a, so an event of a may excuse two of b.
     """
     m = match_events(a, b, reach)
-    again = m.withColumn("second", _matches(F.col("unmatched_b"), F.col("a"), reach)).select("key", "unmatched_a", F.array_except("unmatched_b", F.transform("second", lambda p: p["a"])).alias("unmatched_b"))
-    rows = again.select("key", F.lit("self").alias("side"), F.explode("unmatched_a").alias("session")).union(again.select("key", F.lit("vendor"), F.explode("unmatched_b")))
+    left = m.where("a is null").select("key", F.col("b").alias("session"))
+    again = match_events(left, a, reach).where("a is not null and b is null").select("key", F.lit("vendor").alias("side"), F.col("a").alias("session"))
+    rows = m.where("b is null").select("key", F.lit("self").alias("side"), F.col("a").alias("session")).union(again)
     return rows.join(ends, "key").select("key", "side", "session", (F.col("last") - F.col("session") <= reach).alias("pending"))
 
 

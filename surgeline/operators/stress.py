@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from surgeline.functions.chains import cut, islands, reached, successors
 from surgeline.functions.joins import measured
 from surgeline.functions.series import by
 
@@ -40,10 +41,13 @@ def bootstrap_slopes(rows: DataFrame, draws: int, block: int, seed: int = 42) ->
 
 
 def declustered(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """Greedy: an event stays if it is more than gap sessions after the last that stayed. rows (keys, i); events of a key are few: more than 100,000 are an error, as they are thinned one by one."""
-    kept = F.aggregate(F.sort_array(F.collect_list("i")), F.array().cast("array<int>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) > gap), F.concat(a, F.array(x))).otherwise(a))
-    few = F.when(F.count("*") > 100_000, F.raise_error(F.lit("too many events of a key to thin"))).otherwise(F.lit(1)).cast("int")
-    return rows.groupBy(*keys).agg(kept.alias("kept"), few.alias("few_")).where("few_ = 1").select(*keys, F.explode("kept").alias("i"))
+    """Greedy: an event stays if it is more than gap sessions after the last that stayed. rows (keys, i); repeated events count once.
+
+    An event's successor, if it stays, is the first more than gap later. The first of each
+    stretch without such a gap stays in any case; what its successors lead to stays, by pointer jumping.
+    """
+    places = cut(islands(rows.select(*keys, "i").where("i is not null").distinct(), keys, "i", gap))
+    return reached(places.where("i = island"), successors(places, keys, "i", gap), keys, "i")
 
 
 def quartile_events(frame: DataFrame, gap: int = 21) -> DataFrame:

@@ -17,16 +17,45 @@ def forward(bench: DataFrame, horizons: dict[str, int] = HORIZONS) -> DataFrame:
     return bench.select("universe", "session", cells.alias("cells")).select("universe", "session", F.inline("cells"))
 
 
-def drawdowns(rows: DataFrame, bench: DataFrame) -> DataFrame:
-    """rows (universe, session, horizon, h) to (universe, session, horizon, mdd): the worst fall from a peak over the next h sessions; rows whose path the series cuts short have none.
+def worst_falls(bench: DataFrame, lengths: list[int]) -> DataFrame:
+    """bench (universe, session, px) with mdd_<n> for each length: the worst fall from a peak over that many sessions from this one on; null where the series ends first.
 
-    Only the paths that are asked for are laid out, by an equal join on sessions.
+    Stretches of 1, 2, 4, ... sessions have their largest and smallest price and their worst
+    fall; two that follow each other make one, where the fall may also be from the first's
+    peak to the second's low. A length is made of the powers of two in it, so a row costs about log2 of it.
     """
-    days = rows.select("universe", "session", "horizon", "h", F.explode(F.sequence(F.col("session"), F.col("session") + F.col("h"))).alias("day"))
-    path = days.join(bench.select("universe", F.col("session").alias("day"), "px"), ["universe", "day"])
-    w = Window.partitionBy("universe", "horizon", "session").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    falls = path.select("universe", "session", "horizon", "h", (F.col("px") / F.max("px").over(w) - 1.0).alias("fall"))
-    return falls.groupBy("universe", "session", "horizon", "h").agg(F.min("fall").alias("mdd"), F.count("*").alias("n")).where("n = h + 1").select("universe", "session", "horizon", "mdd")
+    w = by("universe")
+
+    def later(c: str, n: int):
+        x = F.col(c)
+        return F.lead(x, n).over(w) if n else x
+
+    def merged(first, second):
+        (top, low, fall), (top2, low2, fall2) = first, second
+        return F.greatest(top, top2), F.least(low, low2), F.least(fall, fall2, low2 / top - 1.0)
+
+    cols = ["universe", "session"]
+    rows = bench.select(*cols, F.col("px").alias("top0"), F.col("px").alias("low0"), F.lit(0.0).alias("fall0"))
+    step = lambda k, at: tuple(later(f"{c}{k}", at) for c in ("top", "low", "fall"))
+    for k in range(max(lengths).bit_length() - 1):
+        new = merged(step(k, 0), step(k, 1 << k))
+        rows = rows.select("*", *[x.alias(f"{c}{k + 1}") for c, x in zip(("top", "low", "fall"), new)])
+    for n in lengths:
+        state, at = None, 0
+        for k in range(n.bit_length()):
+            if n >> k & 1:
+                state = step(k, at) if state is None else merged(state, step(k, at))
+                at += 1 << k
+        rows = rows.withColumn(f"mdd_{n}", F.when(F.lead("session", n - 1).over(w).isNotNull(), state[2]))
+    return rows.select(*cols, *[f"mdd_{n}" for n in lengths])
+
+
+def drawdowns(rows: DataFrame, bench: DataFrame, horizons: dict[str, int] = HORIZONS) -> DataFrame:
+    """rows (universe, session, horizon, h) to (universe, session, horizon, mdd): the worst fall from a peak over the next h sessions; rows whose path the series cuts short have none. horizons names all that rows may have."""
+    falls = worst_falls(bench, sorted({h + 1 for h in horizons.values()}))
+    each = F.array(*[F.struct(F.lit(name).alias("horizon"), F.col(f"mdd_{h + 1}").alias("mdd")) for name, h in horizons.items()])
+    falls = falls.select("universe", "session", F.inline(each)).where("mdd is not null")
+    return rows.select("universe", "session", "horizon").join(falls, ["universe", "session", "horizon"])
 
 
 def in_window(comp: DataFrame) -> DataFrame:
@@ -48,11 +77,11 @@ def selections(signal: DataFrame, fwd: DataFrame, thresholds=THRESHOLDS, events_
     return rows.select("universe", "session", "horizon", "h", "fwd", F.explode(each).alias("threshold"))
 
 
-def conditional(signal: DataFrame, fwd: DataFrame, bench: DataFrame, thresholds=THRESHOLDS, events_only: bool = True) -> DataFrame:
+def conditional(signal: DataFrame, fwd: DataFrame, bench: DataFrame, thresholds=THRESHOLDS, events_only: bool = True, horizons: dict[str, int] = HORIZONS) -> DataFrame:
     """A row for every threshold and horizon, empty ones too: n, win_rate, mean, median, percentiles and the median worst fall."""
     q = lambda p: F.percentile("fwd", F.lit(p))
     chosen = selections(signal, fwd, thresholds, events_only)
-    falls = drawdowns(chosen.select("universe", "session", "horizon", "h").distinct(), bench)
+    falls = drawdowns(chosen.select("universe", "session", "horizon", "h").distinct(), bench, horizons)
     stats = chosen.join(falls, ["universe", "session", "horizon"], "left").groupBy("universe", "threshold", "horizon").agg(
         F.count("*").alias("n"), F.avg((F.col("fwd") > 0).cast("double")).alias("win_rate"), q(0.5).alias("median_ret"), F.avg("fwd").alias("mean_ret"),
         q(0.10).alias("p10"), q(0.25).alias("p25"), q(0.75).alias("p75"), q(0.90).alias("p90"), F.median("mdd").alias("median_max_dd"),

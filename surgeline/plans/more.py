@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surgeline.functions.chains import place
 from surgeline.operators import breadth as B
 from surgeline.operators import compare as C
 from surgeline.operators import guards as G
@@ -259,13 +260,12 @@ def symbol_sets(spark, d):
     return ST_.set_operations(s.where("symbol % 3 = 0"), s.where("symbol % 2 = 0"))
 
 
-@query("SELECT ticker, date, px AS close, volume FROM cells WHERE ticker < 8")
+@query("SELECT ticker, date, px AS close, volume FROM cells")
 def panel_cache(spark, d):
-    """A cache's JSON rows, as they are written and read back."""
-    rows = D.cells(spark, d).where("ticker < 8").groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("date", "px", "volume"))).alias("s"))
-    text = rows.select("ticker", F.to_json(F.struct(F.transform("s", lambda x: x["date"].cast("string")).alias("dates"), F.transform("s", lambda x: x["px"]).alias("adjClose"), F.transform("s", lambda x: x["volume"]).alias("volume"))).alias("j"))
-    back = text.select("ticker", F.from_json("j", "dates array<string>, adjClose array<bigint>, volume array<bigint>").alias("s")).select("ticker", F.inline(F.arrays_zip("s.dates", "s.adjClose", "s.volume")))
-    return back.select("ticker", F.to_date("dates").alias("date"), F.col("adjClose").alias("close"), "volume")
+    """A cache of every ticker, as it is saved and loaded."""
+    path = place(spark, "panel-cache")
+    ST_.save_cache(D.cells(spark, d).select("ticker", "date", F.col("px").alias("close"), "volume"), path, "2026-01-01")
+    return ST_.load_cache(spark, path).select(F.col("ticker").cast("long").alias("ticker"), "date", F.col("close").cast("long").alias("close"), "volume")
 
 
 # guards
@@ -313,10 +313,10 @@ def raw_count_lines(spark, d):
     return rounded(C.count_lines(_vendor(spark, d)[1], P), "session", "zweig_line", "deemer")
 
 
-@query("SELECT date, round(abs(own - other), 6) AS diff FROM (SELECT l.date, l.zweig_line AS own, e.z AS other, row_number() OVER (ORDER BY l.date DESC) AS k FROM ln l JOIN vema e ON e.session = l.session WHERE l.zweig_line IS NOT NULL AND e.z IS NOT NULL) WHERE k <= 40 AND abs(own - other) > 0.02")
+@query("SELECT date, round(abs(own - other), 6) AS diff FROM (SELECT l.date, l.zweig_line AS own, e.z AS other, row_number() OVER (ORDER BY l.date DESC) AS k FROM ln l JOIN vema e ON e.session = l.session WHERE l.zweig_line IS NOT NULL AND e.z IS NOT NULL) WHERE k <= 10 AND abs(own - other) > 0.02")
 def zweig_tolerance(spark, d):
     a, b = (C.count_lines(x, P).select(F.col("universe").alias("key"), "date", F.col("zweig_line").alias("value")) for x in _vendor(spark, d))
-    return rounded(C.apart(a, b, 0.02, 40), "date", "diff")
+    return rounded(C.apart(a, b, 0.02, 10), "date", "diff")
 
 
 @query("SELECT CAST(o_orderkey AS BIGINT) AS stamp, CAST(greatest(floor((date_diff('second', o_orderdate, o_orderdate + to_hours(CAST(o_orderkey % 100 AS BIGINT))) + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 8 * 3600 END) / 86400), 0) AS BIGINT) AS age FROM orders")

@@ -246,7 +246,7 @@ def conditional_table(spark, d):
 @query("SELECT s.score AS score, count(*) AS n, round(quantile_cont(f.mdd, 0.5), 6) AS median_max_dd FROM sig s JOIN fwd f ON f.session = s.session WHERE f.horizon = '1m' AND f.mdd IS NOT NULL AND s.score >= 1 GROUP BY 1")
 def drawdown_by_score(spark, d):
     _, bench, signal, fwd = _study(spark, d, {"1m": 21})
-    rows = signal.join(E.drawdowns(fwd, bench), ["universe", "session"]).where("score >= 1")
+    rows = signal.join(E.drawdowns(fwd, bench, {"1m": 21}), ["universe", "session"]).where("score >= 1")
     return rounded(rows.groupBy("score").agg(F.count("*").alias("n"), F.percentile("mdd", F.lit(0.5)).alias("median_max_dd")), "score", "n", "median_max_dd").withColumn("score", F.col("score").cast("int"))
 
 
@@ -266,16 +266,16 @@ def lift_table(spark, d):
 
 def _cluster_rows(bench, signal):
     rows = signal.where("event").join(bench.select("universe", "session", "date"), ["universe", "session"])
-    return E.clusters(rows.select("universe", "date", F.explode(F.filter(F.array(*[F.lit(t) for t in THRESHOLDS]), lambda t: F.col("score") >= t)).alias("threshold")), ["universe", "threshold"], 21)
+    return E.clusters(rows.select("universe", "date", F.explode(F.filter(F.array(*[F.lit(t) for t in THRESHOLDS]), lambda t: F.col("score") >= t)).alias("threshold")), ["universe", "threshold"])
 
 
-@query("SELECT CAST(threshold AS BIGINT) AS threshold, CAST(sum(fresh) AS BIGINT) AS clusters FROM (SELECT t.threshold, CASE WHEN date_diff('day', lag(b.date) OVER (PARTITION BY t.threshold ORDER BY b.date), b.date) <= 21 THEN 0 ELSE 1 END AS fresh FROM sig s JOIN bw b ON b.session = s.session JOIN th t ON s.score >= t.threshold WHERE s.event) GROUP BY 1")
+@query("SELECT CAST(threshold AS BIGINT) AS threshold, CAST(sum(fresh) AS BIGINT) AS clusters FROM (SELECT t.threshold, CASE WHEN date_diff('day', lag(b.date) OVER (PARTITION BY t.threshold ORDER BY b.date), b.date) <= 63 THEN 0 ELSE 1 END AS fresh FROM sig s JOIN bw b ON b.session = s.session JOIN th t ON s.score >= t.threshold WHERE s.event) GROUP BY 1")
 def cluster_count(spark, d):
     _, bench, signal, _ = _study(spark, d, {"1w": 5})
     return rounded(_cluster_rows(bench, signal), "threshold", "clusters")
 
 
-@query("SELECT CASE WHEN win_beyond_noise AND ret_beyond_noise THEN 'PASS' ELSE 'FAIL' END AS verdict, (win_beyond_noise OR ret_beyond_noise) AND (SELECT coalesce(CAST(sum(fresh) AS BIGINT), 0) FROM (SELECT CASE WHEN date_diff('day', lag(b.date) OVER (ORDER BY b.date), b.date) <= 21 THEN 0 ELSE 1 END AS fresh FROM sig s JOIN bw b ON b.session = s.session WHERE s.event AND s.score >= 3)) < 10 AS caveat FROM lifted WHERE threshold = 3 AND horizon = '6m'", draws=DRAWS)
+@query("SELECT CASE WHEN win_beyond_noise AND ret_beyond_noise THEN 'PASS' ELSE 'FAIL' END AS verdict, (win_beyond_noise OR ret_beyond_noise) AND (SELECT coalesce(CAST(sum(fresh) AS BIGINT), 0) FROM (SELECT CASE WHEN date_diff('day', lag(b.date) OVER (ORDER BY b.date), b.date) <= 63 THEN 0 ELSE 1 END AS fresh FROM sig s JOIN bw b ON b.session = s.session WHERE s.event AND s.score >= 3)) < 10 AS caveat FROM lifted WHERE threshold = 3 AND horizon = '6m'", draws=DRAWS)
 def decision_rule(spark, d):
     _, bench, signal, fwd = _study(spark, d)
     return E.decision(E.lift(E.conditional(signal, fwd, bench), E.baseline(fwd, DRAWS)), _cluster_rows(bench, signal)).select("verdict", "caveat")
@@ -483,9 +483,9 @@ def episode_starts(spark, d):
 
 
 def event_match_5(spark, d):
-    """Greedy matches within 5 hours."""
+    """Greedy matches within 5 hours, and what has none."""
     _, a, b = _sides(spark, d, 4)
-    return C.match_events(a, b).select("key", F.size("pairs").cast("long").alias("matched"), F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"), F.array_join(F.transform("pairs", lambda p: F.concat_ws(":", p["a"], p["b"])), ",").alias("pairs"), F.array_join("unmatched_a", ",").alias("unmatched_a"), F.array_join("unmatched_b", ",").alias("unmatched_b"))
+    return C.match_events(a, b)
 
 
 def one_sided_events(spark, d):
@@ -512,7 +512,7 @@ def _matching(shift: int, rest: str) -> str:
     n0 AS MATERIALIZED (SELECT key, ub AS a, a AS b FROM left_), {steps("n", "a", "b")}, {done("n", "a")} {rest}"""
 
 
-ORACLE_SQL["event_match_5"] = _matching(4, "SELECT key, CAST(len(pairs) AS BIGINT) AS matched, CAST(len(a) AS BIGINT) AS n_a, CAST(len(b) AS BIGINT) AS n_b, array_to_string(pairs, ',') AS pairs, array_to_string(ua, ',') AS unmatched_a, array_to_string(ub, ',') AS unmatched_b FROM left_")
+ORACLE_SQL["event_match_5"] = _matching(4, "SELECT key, CAST(split_part(p, ':', 1) AS BIGINT) AS a, CAST(split_part(p, ':', 2) AS BIGINT) AS b FROM (SELECT key, unnest(pairs) AS p FROM left_) UNION ALL SELECT key, CAST(unnest(ua) AS BIGINT), NULL FROM left_ UNION ALL SELECT key, NULL, CAST(unnest(ub) AS BIGINT) FROM left_")
 _ends = sql("SELECT key, max(session) AS last FROM hours GROUP BY 1")
 ORACLE_SQL["one_sided_events"] = _matching(7, f"SELECT o.key, o.side, CAST(o.session AS BIGINT) AS session, z.last - o.session <= 5 AS pending FROM (SELECT key, 'self' AS side, unnest(ua) AS session FROM left_ UNION ALL SELECT n.key, 'vendor', unnest(list_filter(n.a, lambda x: NOT list_contains(n.hit, x))) FROM nd n) o JOIN ({_ends}) z ON z.key = o.key")
 
@@ -532,19 +532,22 @@ def flag_agreement(spark, d):
 
 
 def _edge(spark, d):
+    """The composite as deployed, and a candidate that ends three sessions earlier and differs in every third."""
     a = _comp(spark, d).select("universe", "session", "date", *C.EDGE_FIELDS)
-    return a.where("session <= 2400"), a.withColumn("d2_on", F.when(F.col("session") % 3 == 0, ~F.col("d2_on")).otherwise(F.col("d2_on"))).where("session <= 2397")
+    end = a.groupBy("universe").agg(F.max("session").alias("end"))
+    other = a.withColumn("d2_on", F.when(F.col("session") % 3 == 0, ~F.col("d2_on")).otherwise(F.col("d2_on"))).join(end, "universe").where("session <= end - 3")
+    return a, other.drop("end")
 
 
-@query("SELECT date, 'd2_on' AS field, CAST(CASE WHEN d2_on THEN 1 ELSE 0 END AS BIGINT) AS deployed, CAST(CASE WHEN d2_on THEN 0 ELSE 1 END AS BIGINT) AS candidate FROM comp WHERE session > 2387 AND session <= 2397 AND session % 3 = 0")
-def edge_compare(spark, d):
-    return rounded(C.edge_compare(*_edge(spark, d)), "date", "field", "deployed", "candidate")
+_edge_sql = "(SELECT a.date, a.session, a.d2_on AS x, CASE WHEN a.session % 3 = 0 THEN NOT a.d2_on ELSE a.d2_on END AS y, row_number() OVER (ORDER BY a.date DESC) AS k, count(*) OVER () AS n FROM comp a WHERE a.session <= (SELECT max(session) - 3 FROM comp))"
 
 
-_sides_sql = "(SELECT a.date, a.session, a.d2_on AS x, CASE WHEN a.session % 3 = 0 THEN NOT a.d2_on ELSE a.d2_on END AS y, row_number() OVER (ORDER BY a.date DESC) AS k, count(*) OVER () AS n FROM comp a WHERE a.session <= 2400 AND a.session <= 2397)"
+@query(f"SELECT date, 'd2_on' AS field, CAST(CASE WHEN x THEN 1 ELSE 0 END AS BIGINT) AS deployed, CAST(CASE WHEN y THEN 1 ELSE 0 END AS BIGINT) AS candidate FROM {_edge_sql} WHERE k <= 10 AND n >= 10 AND x <> y")
+def edge_compare(spark, d):
+    return rounded(C.edge_compare(*_edge(spark, d)), "date", "field", "deployed", "candidate")
 
 
-@query(f"SELECT max(least(n, 10)) AS days_compared, bool_or(n < 10) AS insufficient_overlap, count(*) FILTER (k <= 10 AND n >= 10 AND x <> y) AS mismatches, count(DISTINCT CASE WHEN k <= 10 AND n >= 10 AND x <> y THEN date END) AS mismatch_days FROM {_sides_sql}")
+@query(f"SELECT max(least(n, 10)) AS days_compared, bool_or(n < 10) AS insufficient_overlap, count(*) FILTER (k <= 10 AND n >= 10 AND x <> y) AS mismatches, count(DISTINCT CASE WHEN k <= 10 AND n >= 10 AND x <> y THEN date END) AS mismatch_days FROM {_edge_sql}")
 def edge_summary(spark, d):
     return rounded(C.edge_summary(*_edge(spark, d)), "days_compared", "insufficient_overlap", "mismatches", "mismatch_days")
 
