@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surgeline.functions.chains import islands
+from surgeline.functions.chains import cut, islands
 from surgeline.functions.series import by, edges, ema, rolling_sum
 from surgeline.params import ThrustParams
 
@@ -87,7 +87,8 @@ def match_events(a: DataFrame, b: DataFrame, reach: int = 5) -> DataFrame:
     other, so these are matched in parallel, each in one pass that holds few events. Repeated
     events count once; null keys and sessions have no part.
     """
-    events = a.select("key", F.col("session").cast("long").alias("session"), F.lit(False).alias("side")).union(b.select("key", F.col("session").cast("long"), F.lit(True))).where("key is not null and session is not null").distinct()
+    events = a.select("key", F.col("session").cast("long").alias("session"), F.lit(False).alias("side")).union(b.select("key", F.col("session").cast("long"), F.lit(True)))
+    events = cut(events.where("key is not null and session is not null").distinct())
     chains = islands(events, ["key"], "session", reach).select("key", "island", "session", "side")
     chains = chains.repartition("key", "island").sortWithinPartitions("key", "island", "session", "side")
     return chains.mapInArrow(_matched(reach), f"key {events.schema['key'].dataType.simpleString()}, a long, b long")
@@ -98,7 +99,7 @@ def one_sided(a: DataFrame, b: DataFrame, ends: DataFrame, reach: int = 5) -> Da
 
     What of b is left is matched anew against all of a, so an event of a may excuse two of b.
     """
-    m = match_events(a, b, reach)
+    m = cut(match_events(a, b, reach))
     left = m.where("a is null").select("key", F.col("b").alias("session"))
     again = match_events(left, a, reach).where("a is not null and b is null").select("key", F.lit("vendor").alias("side"), F.col("a").alias("session"))
     rows = m.where("b is null").select("key", F.lit("self").alias("side"), F.col("a").alias("session")).union(again)

@@ -46,7 +46,7 @@ def declustered(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
     An event's successor, if it stays, is the first more than gap later. The first of each
     stretch without such a gap stays in any case; what its successors lead to stays, by pointer jumping.
     """
-    places = cut(islands(rows.select(*keys, "i").where("i is not null").distinct(), keys, "i", gap))
+    places = cut(islands(cut(rows.select(*keys, "i").where("i is not null").distinct()), keys, "i", gap))
     return reached(places.where("i = island"), successors(places, keys, "i", gap), keys, "i")
 
 
