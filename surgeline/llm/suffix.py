@@ -220,6 +220,19 @@ def shared_anchors(batches):
         yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in held["row"][:5]], pa.array([held["twice"]]), pa.array([held["lead"]])], names)
 
 
+def of_first_copies(cut):
+    """Arrow function: (th, text, cuts) to what cut makes of (text, cuts). All copies of a text have the same stretches to give, so a task takes those of the first."""
+    import pyarrow as pa
+
+    def rest(batches):
+        done = set()
+        for batch in batches:
+            new = [i for i, th in enumerate(batch.column(0).to_pylist()) if not (th in done or done.add(th))]
+            yield batch.take(pa.array(new, pa.int64())).select([1, 2])
+
+    return lambda batches: cut(rest(batches))
+
+
 def cut_out(length: int):
     """Arrow function: (text, list of (h, seg, start, size, many, wide)) to rows (block, seg, off, part, many, wide).
 
@@ -347,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     wide = leads.groupBy("h").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > 4 * BLOCK).select("h", F.lit(True).alias("wide"))
     leads = leads.join(wide, "h", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
     cuts = leads.groupBy("th").agg(F.collect_list(F.struct("h", "seg", "start", "size", "many", "wide")).alias("cuts"))
-    parts = long.select("th", "text").join(cuts, "th").select("text", "cuts").mapInArrow(cut_out(length), "block long, seg long, off long, part binary, many boolean, wide boolean")
+    parts = long.select("th", "text").join(cuts, "th").select("th", "text", "cuts").mapInArrow(of_first_copies(cut_out(length)), "block long, seg long, off long, part binary, many boolean, wide boolean")
     parts = parts.repartition("block").sortWithinPartitions("block", "seg", "off")
     runs = parts.mapInArrow(transform_blocks(length, BLOCK), "seg long, runs array<int>").where(F.size("runs") > 0)
     runs = scratch.table(runs)

@@ -104,3 +104,15 @@ def test_windows_of_a_batch_share_a_row():
     for r in rows:
         blocks.setdefault(r["block"], []).append(r)
     assert len(rows) == 9 * 11 and len(blocks) == 9 * 11 and all(r["many"] for r in rows)
+
+
+def test_copies_of_a_text_give_the_stretches_of_one(spark):
+    """400 copies in 40 batches of 2 tasks: a block gets a row of each task, not of each copy."""
+    import pyarrow as pa
+
+    text = "".join(random.Random(1).choice("abcdefgh") for _ in range(3000))
+    cuts = [{"h": k, "seg": 10 + k, "start": 100 * k, "size": 260, "many": False, "wide": k == 2} for k in range(3)]
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("seg", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("many", pa.bool_()), ("wide", pa.bool_())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 10, pa.int64()), pa.array([text] * 10), pa.array([cuts] * 10, kind)], ["th", "text", "cuts"])
+    rows = [r for b in suffix.of_first_copies(suffix.cut_out(200))(iter([batch] * 20)) for r in b.to_pylist()]
+    assert len(rows) == 2 + 61 and len({(r["seg"], r["off"]) for r in rows}) == len(rows)
