@@ -117,8 +117,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ]).distinct()
     hits = scratch.table(prints.join(maybe_broadcast(own_prints, BROADCAST_WINDOWS), ["len", "print"]).groupBy("id", "th").agg(F.collect_set(F.struct("len", "print")).alias("prints")))
     # each hit is extended to the windows that have it as their fingerprint
-    found = docs.select("id", "th", "text").distinct().join(hits, ["id", "th"]).select("id", "th", words_of("text").alias("words"), "prints")
-    found = found.union(docs.where("id is null").select("th", "text").distinct().join(hits.where("id is null").drop("id"), "th").select(F.lit(None).cast(docs.schema["id"].dataType).alias("id"), "th", words_of("text").alias("words"), "prints"))
+    # only texts with hits go further
+    same_row = [F.col("id").eqNullSafe(F.col("hid")), F.col("th") == F.col("hth")]
+    hits = hits.select(F.col("id").alias("hid"), F.col("th").alias("hth"), "prints")
+    found = docs.select("id", "th", "text").join(maybe_broadcast(hits.select("hid", "hth"), BROADCAST_WINDOWS), same_row, "left_semi").dropDuplicates(["id", "th"])
+    found = found.join(hits, same_row).select("id", "th", words_of("text").alias("words"), "prints")
     found = found.withColumn("folded", F.transform("words", loose))
     n_words = F.size("words")
     places = []
@@ -142,7 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     listed = same.select("id", "th", F.explode("classes").alias("class")).distinct().join(classes, "class").groupBy("id", "th").agg(F.sort_array(F.collect_set("item")).alias("items"), F.count_distinct(F.struct("item")).alias("n_items"))
     got = spans.join(listed, [spans.id.eqNullSafe(listed.id), spans.th == listed.th]).select(spans.id.alias("hid"), spans.th.alias("hth"), "spans", "items", "n_items")
     out = docs.select("doc", "id", "th", count_words("text").alias("n_words"))
-    out = out.join(maybe_broadcast(scratch.table(got), 20_000), [F.col("id").eqNullSafe(F.col("hid")), F.col("th") == F.col("hth")], "left")
+    out = out.join(maybe_broadcast(scratch.table(got), 20_000), same_row, "left")
     n_hit = F.aggregate(F.coalesce("spans", none), F.lit(0), lambda a, x: a + x["end"] - x["start"]).cast("long")
     return out.select(
         "doc", F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
