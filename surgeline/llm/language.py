@@ -23,6 +23,8 @@ CELLS, SAMPLE, ROWS = 1 << 17, 200, 4000
 SALTS = 64
 #: Words of a training sequence, and turns of fitting.
 SEQUENCE, TURNS = 50, 40
+#: Numbers in the largest array of a block of training sequences; training words whose features are kept between turns, rather than made anew in each.
+BLOCK, KEPT = 1 << 22, 1 << 20
 UNKNOWN = "und"
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -108,15 +110,17 @@ def gradients(scores: np.ndarray, first: np.ndarray, between: np.ndarray, y: np.
     return by_word, by_pair
 
 
-def fit(texts: list[bytes], labels: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (CELLS, n) and scores between labels (n, n), by full-batch adaptive gradients of the sequences' log-likelihood."""
+def fit(texts: list[bytes], labels: np.ndarray, n: int, block: int = BLOCK, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (CELLS, n) and scores between labels (n, n), by full-batch adaptive gradients of the sequences' log-likelihood.
+
+    The batch's gradient is summed over blocks of sequences. Beside the texts and the
+    places of their words, memory is that of a block, and of kept words' features.
+    """
     rng = np.random.default_rng(11)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    offs = np.r_[0, np.cumsum([len(t) for t in texts])]
-    fixed, (grams, at), first = word_features(data, offs)
-    many = len(at)
+    starts, ends, first = K.word_spans(data, np.r_[0, np.cumsum([len(t) for t in texts])], LETTER)
+    many = len(starts)
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
-    ends = np.r_[at[1:], len(grams)]
     # stretches of 3 to 25 words of one document, in random order, make the sequences
     cut = np.zeros(many, bool)
     cut[first[:-1][np.diff(first) > 0]] = True
@@ -130,24 +134,34 @@ def fit(texts: list[bytes], labels: np.ndarray, n: int) -> tuple[np.ndarray, np.
     words = words[: len(words) // SEQUENCE * SEQUENCE] if len(words) >= SEQUENCE else words
     y = labels[owner[words]]
     length = SEQUENCE if len(words) >= SEQUENCE else max(1, len(words))
-    chain = np.arange(0, len(words) + 1, length)
-    fixed = [f[words] for f in fixed]
-    size = (ends - at)[words]
-    starts = np.cumsum(size) - size
-    grams = grams[np.repeat(at[words] - starts, size) + np.arange(size.sum())] if len(words) else grams
-    of_gram = np.repeat(np.arange(len(words)), size)
-    weights, between = np.zeros((CELLS, n), np.float32), np.zeros((n, n))
-    seen_w, seen_b = np.full((CELLS, n), 1e-3, np.float32), np.full((n, n), 1e-3)
+
+    def features(a: int, b: int):
+        """Of words a to b, set side by side; and each n-gram's word."""
+        w = words[a:b]
+        size = ends[w] - starts[w]
+        to = np.cumsum(size + 1) - size - 1
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        beside = np.full(int(size.sum()) + len(w), 32, np.uint8)
+        beside[np.repeat(to, size) + inside] = data[np.repeat(starts[w], size) + inside]
+        found = word_features(beside, np.array([0, len(beside)]))
+        grams, at = found[1]
+        return found, np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(grams)]))
+
+    step = max(1, block // (length * n * max(n, 8))) * length if n else 1
+    ranges = [(a, min(a + step, len(words))) for a in range(0, len(words), step)]
+    held = [features(*r) for r in ranges] if len(words) <= kept else None
+    weights, between = np.zeros((CELLS, n)), np.zeros((n, n))
+    seen_w, seen_b = np.full((CELLS, n), 1e-3), np.full((n, n), 1e-3)
     for _ in range(TURNS if len(words) else 0):
-        scores = emissions((fixed, (grams, starts), None), weights).astype(np.float64)
-        error, gb = gradients(scores, chain, between, y)
-        g = np.zeros((CELLS, n), np.float32)
-        for k in range(n):
-            g[:, k] = np.bincount(grams, error[of_gram, k], CELLS)
-            for f in fixed:
-                g[:, k] += np.bincount(f, error[:, k], CELLS)
-        g -= 0.05 * weights
-        gb -= 0.05 * between
+        g, gb = -0.05 * weights, -0.05 * between
+        for i, (a, b) in enumerate(ranges):
+            found, of_gram = held[i] if held else features(a, b)
+            error, by_pair = gradients(emissions(found, weights), np.arange(0, b - a + 1, length), between, y[a:b])
+            gb += by_pair
+            for k in range(n):
+                g[:, k] += np.bincount(found[1][0], error[of_gram, k], CELLS)
+                for f in found[0]:
+                    g[:, k] += np.bincount(f, error[:, k], CELLS)
         seen_w += g * g
         seen_b += gb * gb
         weights += 0.3 * g / np.sqrt(seen_w)

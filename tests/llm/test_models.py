@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from surgeline.llm import language, quality_model
@@ -28,7 +29,6 @@ def test_quality_edges(spark):
 
 
 def test_dual_coordinate_descent_separates():
-    import numpy as np
 
     r = np.random.default_rng(1)
     cells = [np.unique(r.integers(0, 50, 8) + (1000 if i % 3 else 2000)).astype(np.int32) for i in range(300)]
@@ -40,7 +40,6 @@ def test_dual_coordinate_descent_separates():
 
 def test_ratios_and_duals_match_plain_computation():
     """Class shares counted one by one; duals against projected gradient steps on the dual problem in full."""
-    import numpy as np
 
     r = np.random.default_rng(4)
     cells = [np.unique(r.integers(0, 9, r.integers(1, 7))).astype(np.int32) for _ in range(14)]
@@ -67,7 +66,6 @@ def test_ratios_and_duals_match_plain_computation():
 
 def test_scores_match_plain_sums(spark):
     """Each document's score from the model's numbers, its indicators found one token at a time."""
-    import numpy as np
 
     from surgeline.llm import kernels as K
 
@@ -121,7 +119,6 @@ def test_language_edges(spark):
 def test_posteriors_match_enumeration():
     import itertools
 
-    import numpy as np
 
     r = np.random.default_rng(3)
     scores, between = r.normal(size=(9, 3)), r.normal(size=(3, 3))
@@ -139,7 +136,6 @@ def test_posteriors_match_enumeration():
 def test_gradients_match_enumeration():
     import itertools
 
-    import numpy as np
 
     r = np.random.default_rng(5)
     scores, between, y = r.normal(size=(9, 3)), 2 * r.normal(size=(3, 3)), r.integers(0, 3, 9)
@@ -171,3 +167,33 @@ def test_language_of_long_texts_and_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' as lang_pred", "1 as score", "2 as shares")
     out = language.identify(docs, docs.where("lang is not null").selectExpr("doc_id as id", "text", "lang"))
     assert {r.doc_id: r.lang_pred for r in out.collect()} == {1: "aa", 2: "bb", 3: "aa", 4: "bb"}
+
+
+def test_language_fits_alike_in_blocks_of_any_size():
+    r = np.random.default_rng(8)
+    texts = [" ".join("".join(r.choice(list("abcdefgh" if k % 3 else "opqrstuv"), 4)) for _ in range(120)).encode() + b" " for k in range(9)] + [b"", b"12 "]
+    labels = np.array([k % 3 for k in range(len(texts))])
+    whole = language.fit(texts, labels, 3)
+    for block, kept in ((1, 10**6), (1, 0), (5000, 0)):
+        parts = language.fit(texts, labels, 3, block, kept)
+        assert all(np.abs(a - b).max() < 1e-9 for a, b in zip(whole, parts))
+
+
+def test_language_fit_takes_the_memory_of_a_block():
+    import tracemalloc
+
+    r = np.random.default_rng(9)
+    turns, language.TURNS = language.TURNS, 1
+    peaks = []
+    try:
+        for many in (1, 4):
+            texts = [b" ".join(bytes(r.integers(97, 123, 6).tolist()) for _ in range(400)) + b" " for _ in range(40 * many)]
+            labels = np.arange(len(texts)) % 20
+            tracemalloc.start()
+            language.fit(texts, labels, 20, 1 << 18, 0)
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+    finally:
+        language.TURNS = turns
+    # 48,000 words more, whose pairs of labels alone would take 150 MB
+    assert peaks[1] < peaks[0] + 20e6
