@@ -1,10 +1,9 @@
-"""Time-series functions over gap-free sessions: expressions for a window, and the two that need more."""
+"""Time-series functions over gap-free sessions: expressions for a window, and the two that need several."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def by(*keys: str, order: str = "session"):
@@ -70,15 +69,26 @@ def block_extremes(df: DataFrame, keys: list[str], x: str, n: int, high: str, lo
 def ema(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, int]], order: str = "session") -> DataFrame:
     """Adds exponential means {name: (column, span)} that start at the first value; over missing values the mean stays and its weight decays.
 
-    The one sequential step: a group function, as a mean depends on the one before it. Series are of dates, so groups are small.
+    A value turns the mean before it into a * mean + b. Such maps are composed in doubling
+    steps, over 1, 2, 4, ... values, until what is left of older ones is under 1e-18 of
+    them; so the number of steps depends on the span alone, and all of them are windows of one order.
     """
-
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        for name, (column, span) in columns.items():
-            pdf[name] = pdf[column].astype("float64").ewm(span=span, adjust=False).mean()
-        return pdf
-
-    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name in columns]])
-    out = df.groupBy(*keys).applyInPandas(run, schema)
-    return out.select(*df.columns, *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in columns])
+    w = by(*keys, order=order)
+    out = df.withColumn("row_", F.row_number().over(w))
+    for column in dict.fromkeys(c for c, _ in columns.values()):
+        x = F.col(column).cast("double")
+        out = out.withColumn("x_", F.when(~F.isnan(x), x)).withColumn("has_", F.col("x_").isNotNull())
+        v = by(*keys, "has_", order=order)
+        out = out.withColumn("gap_", F.col("row_") - F.lag("row_").over(v))
+        for name, span in ((n, s) for n, (c, s) in columns.items() if c == column):
+            new = 2.0 / (span + 1)
+            old = F.pow(F.lit(1.0 - new), F.col("gap_"))
+            first = F.col("gap_").isNull()
+            out = out.withColumn("a_", F.when(first, 0.0).otherwise(old / (old + new))).withColumn("b_", F.when(first, F.col("x_")).otherwise(new * F.col("x_") / (old + new)))
+            values = 1
+            while new < 1 and (1.0 - new) ** values > 1e-18:
+                a, b = F.coalesce(F.lag("a_", values).over(v), F.lit(0.0)), F.coalesce(F.lag("b_", values).over(v), F.lit(0.0))
+                out = out.withColumns({"a_": F.col("a_") * a, "b_": F.col("a_") * b + F.col("b_")})
+                values *= 2
+            out = out.withColumn(name, filled(F.when(F.col("has_"), F.col("b_")), w))
+    return out.select(*df.columns, *columns)

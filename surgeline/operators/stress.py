@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surgeline.functions.chains import cut, islands, reached, successors
-from surgeline.functions.joins import measured
-from surgeline.functions.series import by
+from surgeline.functions.series import by, running
 
 
 def regressions(frame: DataFrame, fwd: DataFrame) -> DataFrame:
@@ -27,14 +26,29 @@ def regressions(frame: DataFrame, fwd: DataFrame) -> DataFrame:
 
 
 def bootstrap_slopes(rows: DataFrame, draws: int, block: int, seed: int = 42) -> DataFrame:
-    """rows (key, i, x, y), i from 0: the median and the 5 % and 95 % points of the standardised slope over paired block draws; significant where these exclude 0."""
-    from surgeline.operators.study import start_of
-
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
-    drawn = sizes.select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.expr(f"n div {block}"), F.lit(1)) - 1)).alias("b"))
-    drawn = drawn.withColumn("start", start_of(F.greatest(F.col("n") - block, F.lit(1)), F.lit(seed), F.col("draw"), F.col("b")))
-    picked = drawn.select("key", "draw", F.explode(F.sequence("start", F.least(F.col("start") + block, F.col("n")) - 1)).alias("i"))
-    each = picked.join(measured(rows), ["key", "i"]).groupBy("key", "draw").agg((F.covar_pop("x", "y") / F.nullif(F.stddev_pop("x"), F.lit(0.0))).alias("slope"))
+    """rows (key, i, x, y), i from 0: the median and the 5 % and 95 % points of the standardised slope over paired block draws; significant where these exclude 0.
+
+    A block's sums are differences of running ones, of values less their mean, so a draw looks two places of each block up.
+    """
+    from surgeline.operators.study import drawn_starts
+
+    mean = Window.partitionBy("key")
+    x, y = F.col("x") - F.avg("x").over(mean), F.col("y") - F.avg("y").over(mean)
+    cells = rows.select("key", "i", x.alias("x"), y.alias("y"))
+    w = running(by("key", order="i"))
+    names = {"sx": F.col("x"), "sy": F.col("y"), "sxx": F.col("x") * F.col("x"), "sxy": F.col("x") * F.col("y")}
+    sums = cells.select("key", "i", *[F.sum(v).over(w).alias(c) for c, v in names.items()])
+    series = sums.groupBy("key").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("i", *names))).alias("s"))  # sums for each session
+    series = series.select("key", "n", *[F.concat(F.array(F.lit(0.0)), F.col(f"s.{c}")).alias(c) for c in names])
+    each = drawn_starts(series, ["key"], draws, block, [F.lit(seed)])
+    end = lambda s: F.least(s + block, F.col("n")).cast("int")
+    added = lambda c: lambda a, s: a + F.get(c, end(s)) - F.get(c, s.cast("int"))
+    total = {c: F.aggregate("starts", F.lit(0.0), added(c)) for c in names}
+    size = F.aggregate("starts", F.lit(0).cast("long"), lambda a, s: a + end(s) - s)
+    each = each.select("key", size.alias("m"), *[t.alias(c) for c, t in total.items()])
+    m = F.col("m")
+    spread = F.sqrt(F.greatest(F.col("sxx") / m - F.pow(F.col("sx") / m, 2), F.lit(0.0)))
+    each = each.select("key", ((F.col("sxy") / m - F.col("sx") / m * F.col("sy") / m) / F.nullif(spread, F.lit(0.0))).alias("slope"))
     q = lambda p: F.percentile("slope", F.lit(p))
     out = each.groupBy("key").agg(q(0.5).alias("slope_med"), q(0.05).alias("slope_lo5"), q(0.95).alias("slope_hi95"))
     return out.withColumn("excludes_zero", (F.col("slope_lo5") > 0) | (F.col("slope_hi95") < 0))

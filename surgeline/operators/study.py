@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surgeline.functions.joins import measured
 from surgeline.functions.series import by
 from surgeline.params import HORIZONS, THRESHOLDS
 
@@ -100,22 +99,45 @@ def start_of(n_starts, *keys):
     return ((x * n_starts - (x * n_starts) % m) / m).cast("long")
 
 
-def bootstrap_rows(fwd: DataFrame, draws: int, block: int, seed: int = 42) -> DataFrame:
-    """(universe, horizon, draw, fwd): moving blocks of block consecutive values, as many as fit; the last start is never drawn."""
-    rows = fwd.where("fwd is not null").select("universe", "horizon", "h", "fwd", (F.row_number().over(by("universe", "horizon")) - 1).alias("i"))
-    sizes = rows.groupBy("universe", "horizon").agg(F.count("*").alias("n"), F.first("h").alias("h"))
-    blocks = sizes.withColumn("blocks", F.greatest(F.expr(f"n div {block}"), F.lit(1))).withColumn("starts", F.greatest(F.col("n") - block, F.lit(1)))
-    drawn = blocks.select("universe", "horizon", "h", "n", "starts", "blocks", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    drawn = drawn.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("b"))
-    drawn = drawn.withColumn("start", start_of(F.col("starts"), F.lit(seed), F.col("h"), F.col("draw"), F.col("b")))
-    picked = drawn.select("universe", "horizon", "draw", F.explode(F.sequence("start", F.least(F.col("start") + block, F.col("n")) - 1)).alias("i"))
-    # the series is small beside its draws: one row for each session and horizon
-    return picked.join(measured(rows.select("universe", "horizon", "i", "fwd")), ["universe", "horizon", "i"]).select("universe", "horizon", "draw", "fwd")
+def drawn_starts(series: DataFrame, keys: list[str], draws: int, block: int, seed: list) -> DataFrame:
+    """series (keys, n, ...), a row for each key, to a row for each draw, with starts, the first places (from 0) of its moving blocks: as many as fit into n values, at least one; the last start is never drawn.
+
+    Draws are dealt out in parts, each with the series once, so nothing is a row for each sampled value.
+    """
+    per = 32
+    parts = series.withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // per))))
+    parts = parts.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "part_")
+    each = parts.withColumn("draw", F.explode(F.sequence(F.col("part_") * per, F.least((F.col("part_") + 1) * per, F.lit(draws)) - 1))).drop("part_")
+    blocks = F.sequence(F.lit(0).cast("long"), F.greatest(F.expr(f"n div {block}"), F.lit(1)) - 1)
+    return each.withColumn("starts", F.transform(blocks, lambda b: start_of(F.greatest(F.col("n") - block, F.lit(1)), *seed, F.col("draw"), b)))
+
+
+def _middle(values):
+    """The median of an array."""
+    v, n = F.array_sort(values), F.size(values)
+    low, high = F.get(v, F.floor((n - 1) / 2).cast("int")), F.get(v, F.floor(n / 2).cast("int"))
+    return low + (high - low) * 0.5
+
+
+def bootstrap(fwd: DataFrame, draws: int, block: int, seed: int = 42) -> DataFrame:
+    """(universe, horizon, draw, win, med): share of gains and median over the values of each draw's blocks, a row for each draw.
+
+    A block's gains are the difference of two running counts; its values, a slice of the series.
+    """
+    rows = fwd.where("fwd is not null").select("universe", "horizon", "h", F.struct("session", "fwd").alias("v"))
+    series = rows.groupBy("universe", "horizon").agg(F.first("h").alias("h"), F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list("v")), lambda x: x["fwd"]).alias("series"))  # a value for each session
+    gains = F.aggregate("series", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + (x > 0).cast("int")))
+    each = drawn_starts(series.withColumn("gains", gains), ["universe", "horizon"], draws, block, [F.lit(seed), F.col("h")])
+    end = lambda s: F.least(s + block, F.col("n")).cast("int")
+    won = F.aggregate("starts", F.lit(0), lambda a, s: a + F.get("gains", end(s)) - F.get("gains", s.cast("int")))
+    values = F.flatten(F.transform("starts", lambda s: F.slice("series", s.cast("int") + 1, F.lit(block))))
+    each = each.select("universe", "horizon", "draw", won.alias("won"), values.alias("values"))
+    return each.select("universe", "horizon", "draw", (F.col("won") / F.size("values")).alias("win"), _middle(F.col("values")).alias("med"))
 
 
 def baseline(fwd: DataFrame, draws: int = 2000, block: int = 21, seed: int = 42) -> DataFrame:
     """What any session gives: medians and 5 % and 95 % points of win rate and median over draws."""
-    each = bootstrap_rows(fwd, draws, block, seed).groupBy("universe", "horizon", "draw").agg(F.avg((F.col("fwd") > 0).cast("double")).alias("win"), F.percentile("fwd", F.lit(0.5)).alias("med"))
+    each = bootstrap(fwd, draws, block, seed)
     q = lambda c, p: F.percentile(c, F.lit(p))
     out = each.groupBy("universe", "horizon").agg(
         q("win", 0.5).alias("base_win_rate"), q("win", 0.05).alias("base_win_lo"), q("win", 0.95).alias("base_win_hi"),
