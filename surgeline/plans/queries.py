@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surgeline.functions import series as S
+from surgeline.functions.chains import place
 from surgeline.functions.joins import measured
 from surgeline.operators import breadth as B
 from surgeline.operators import compare as C
@@ -18,6 +19,8 @@ from surgeline.operators import study as E
 from surgeline.params import HORIZONS, RELAXED, THRESHOLDS, TiltParams
 from surgeline.plans.oracle import any_in, r, sql
 from surgeline.sources import panel as D
+from surgeline.sources.pull import pull
+from surgeline.sources.versions import merge_parts, read_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -104,8 +107,33 @@ def panel_filled(spark, d):
 
 @query("SELECT ticker, date, px FROM (SELECT ticker, date, px, row_number() OVER (PARTITION BY ticker, date ORDER BY fresh DESC) AS k FROM (SELECT ticker, date, px, 0 AS fresh FROM cells WHERE date < DATE '2000-06-01' UNION ALL SELECT ticker, date, px + 1, 1 FROM cells WHERE date >= DATE '2000-01-01')) WHERE k = 1")
 def upsert_merge(spark, d):
-    c = D.cells(spark, d).select("ticker", "date", "px")
-    return D.upsert(c.where("date < date'2000-06-01'"), c.where("date >= date'2000-01-01'").withColumn("px", F.col("px") + 1), ["ticker", "date"])
+    """A store by month, and a later delivery that is merged into the months that it touches."""
+    c = D.cells(spark, d).select("ticker", "date", "px", F.date_format("date", "yyyy-MM").alias("month"))
+    path = place(spark, "by-month")
+    merge_parts(c.where("date < date'2000-06-01'"), path, "month", ["month", "ticker", "date"])
+    merge_parts(c.where("date >= date'2000-01-01'").withColumn("px", F.col("px") + 1), path, "month", ["month", "ticker", "date"])
+    return read_parts(spark, path).select("ticker", "date", "px")
+
+
+@query("SELECT CAST(l_suppkey AS VARCHAR) AS symbol, basis, CASE WHEN l_suppkey % 17 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS date, CASE WHEN l_suppkey % 17 <> 0 THEN CAST(sum(l_quantity) AS DOUBLE) * CASE WHEN basis = 'NONE' THEN 1 ELSE 2 END END AS close, CASE WHEN l_suppkey % 17 <> 0 THEN count(*) END AS volume, CASE WHEN l_suppkey % 17 = 0 THEN 'no answer for ' || l_suppkey END AS failure FROM lineitem CROSS JOIN (VALUES ('NONE'), ('TOTALRETURN')) AS v(basis) GROUP BY l_suppkey, basis, 3")
+def series_pull(spark, d):
+    """Series of every supplier's shipments, fetched from the table by tasks as from a vendor; some symbols fail."""
+    symbols = [str(r[0]) for r in D.table(spark, d, "lineitem").select("l_suppkey").distinct().collect()]
+
+    def source(wanted, basis):
+        import pyarrow.compute as pc
+        import pyarrow.dataset as ds
+
+        keys = [int(s) for s in wanted if int(s) % 17]
+        rows = ds.dataset(f"{d}/lineitem.parquet").to_table(["l_suppkey", "l_shipdate", "l_quantity"], filter=pc.field("l_suppkey").isin(keys)).to_pandas()
+        sums = rows.assign(day=rows.l_shipdate.map(lambda x: x.date() if hasattr(x, "date") else x)).groupby(["l_suppkey", "day"]).l_quantity.agg(["sum", "count"]).reset_index()
+        for key, part in sums.groupby("l_suppkey"):
+            yield str(key), [(day, float(total) * (1 if basis == "NONE" else 2), int(many)) for _, day, total, many in part.itertuples(index=False)]
+        for s in wanted:
+            if int(s) % 17 == 0:
+                yield s, OSError(f"no answer for {s}")
+
+    return pull(spark, symbols, ["NONE", "TOTALRETURN"], source).select("symbol", "basis", "date", "close", "volume", "failure")
 
 
 @query("SELECT ticker, max(date) AS last FROM cells GROUP BY ticker HAVING max(date) < DATE '2001-11-04'")

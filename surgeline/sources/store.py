@@ -8,22 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surgeline.functions.chains import place
 from surgeline.sources.panel import read_cache
-
-
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _path(spark, path)
-    return fs.exists(p)
+from surgeline.sources.pull import SCHEMA, one_by_one, pull
+from surgeline.sources.versions import change, file_system, latest, read_parts, replace_parts, write_text
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
     """A cache that save_cache wrote, a folder, or another one's file; no rows where there is none yet."""
-    fs, p = _path(spark, path)
+    fs, p = file_system(spark, path)
     if fs.exists(p):
         return read_cache(spark, path, lines=fs.getFileStatus(p).isDirectory())
     return spark.createDataFrame([], "ticker string, date date, close double, volume long")
@@ -38,15 +31,13 @@ def save_cache(df: DataFrame, path: str, stamp: str) -> None:
 
 
 def write_series(df: DataFrame, path: str, stamp: str) -> None:
-    """Replaces the bases that df (basis, symbol, date, close, volume) has, whole, and leaves others; the source's stamp goes along as a column."""
-    df.withColumn("source_stamp", F.lit(stamp)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("basis").parquet(path)
+    """Replaces the bases that df (basis, symbol, date, close, volume) has, whole and at once, and leaves others; the source's stamp goes along as a column."""
+    replace_parts(df.withColumn("source_stamp", F.lit(stamp)), path, "basis")
 
 
-def read_series(spark: SparkSession, path: str, basis: str) -> DataFrame:
-    """The series of one basis; only its partition is read. A basis that isn't there is an error, as other prices than those asked for are worse than none."""
-    if not exists(spark, f"{path}/basis={basis}"):
-        raise ValueError(f"no series of basis {basis!r} in {path}")
-    return spark.read.parquet(path).where(F.col("basis") == basis)
+def read_series(spark: SparkSession, path: str, basis: str | None = None) -> DataFrame:
+    """The series of one basis, or of all; only its files are read. A basis that isn't there is an error, as other prices than those asked for are worse than none."""
+    return read_parts(spark, path, None if basis is None else [basis])
 
 
 def series_of(series: DataFrame, symbol: str, basis: str = "NONE") -> DataFrame:
@@ -55,38 +46,36 @@ def series_of(series: DataFrame, symbol: str, basis: str = "NONE") -> DataFrame:
 
 
 def refresh(spark: SparkSession, path: str, symbols: list[str], bases: list[str], fetch: Callable[[str, str], list[tuple]], stamp: str) -> dict:
-    """Replaces every symbol on every basis by what fetch(symbol, basis) gives, rows (date, close, volume). Those that fail or are empty are listed, and left out."""
-    rows, failed, pulled = [], [], 0
-    for basis in bases:
-        for symbol in symbols:
-            try:
-                got = fetch(symbol, basis)
-            except Exception as e:  # noqa: BLE001  a source may fail in any way
-                failed.append((symbol, basis, str(e)))
-                continue
-            if not got:
-                failed.append((symbol, basis, "empty"))
-                continue
-            rows += [(basis, symbol, *r) for r in got]
-            pulled += 1
-    if rows:
-        write_series(spark.createDataFrame(rows, "basis string, symbol string, date date, close double, volume long"), path, stamp)
-    return {"pulled": pulled, "failed": failed}
+    """Replaces every symbol on every basis by what fetch(symbol, basis) gives, rows (date, close, volume). Those that fail or are empty are listed, and left out.
+
+    Tasks fetch and write batches of symbols; the driver has the failures alone. The
+    store changes at the end, at once: what stops before it leaves the old one.
+    """
+    scratch = place(spark, "pulled")
+    pull(spark, symbols, bases, one_by_one(fetch)).write.parquet(scratch)
+    pulled = spark.read.schema(SCHEMA).parquet(scratch)
+    failed = [(r.symbol, r.basis, r.failure) for r in pulled.where("failure is not null").collect()]
+    rows = pulled.where("failure is null").drop("failure")
+    if len(failed) < len(symbols) * len(bases):
+        write_series(rows, path, stamp)
+    fs, p = file_system(spark, scratch)
+    fs.delete(p, True)
+    return {"pulled": len(symbols) * len(bases) - len(failed), "failed": failed}
 
 
 def read_document(spark: SparkSession, path: str) -> dict:
-    """A document of JSON; empty where there is none."""
-    if not exists(spark, path):
+    """A document of JSON, or the last version of one that merge_document keeps; empty where there is none."""
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
         return {}
+    if fs.getFileStatus(p).isDirectory():
+        return latest(spark, path)[1]
     return json.loads("\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect()))
 
 
 def write_document(spark: SparkSession, path: str, document: dict) -> None:
     """A small document as JSON in one file, replacing what is there. NaN becomes null."""
-    fs, p = _path(spark, path)
-    out = fs.create(p, True)
-    out.write(bytearray(json.dumps(scrubbed(document), separators=(",", ":"), default=str).encode()))
-    out.close()
+    write_text(spark, path, json.dumps(scrubbed(document), separators=(",", ":"), default=str))
 
 
 def scrubbed(x):
@@ -99,10 +88,8 @@ def scrubbed(x):
 
 
 def merge_document(spark: SparkSession, path: str, key: str, part: dict) -> dict:
-    """Puts part under key in a document, and keeps its other keys."""
-    document = read_document(spark, path) | {key: part}
-    write_document(spark, path, document)
-    return document
+    """Puts part under key in a document that several may write, a folder of versions, and keeps its other keys. NaN becomes null."""
+    return change(spark, path, lambda d: d | {key: scrubbed(part)})
 
 
 def render(template: str, document: dict, token: str = "__DATA__") -> str:

@@ -21,7 +21,7 @@ def test_one_basis_is_replaced_without_the_other(spark, tmp_path):
     assert [(r.symbol, r.source_stamp) for r in store.read_series(spark, path, "TOTALRETURN").collect()] == [("A", "s1")]
     with pytest.raises(ValueError, match="CAPITAL"):
         store.read_series(spark, path, "CAPITAL")
-    assert [(str(r.date), r.close) for r in store.series_of(spark.read.parquet(path), "B").collect()] == [("2020-01-02", 3.0)]
+    assert [(str(r.date), r.close) for r in store.series_of(store.read_series(spark, path), "B").collect()] == [("2020-01-02", 3.0)]
 
 
 def test_refresh_lists_failures(spark, tmp_path):
