@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -42,25 +44,33 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_owner: ContextVar["list[Scratch] | None"] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned():
+    """Tables that this thread's operators write inside are deleted at the end, so what is made of them must be written by then. An owner inside another has its own; other threads' tables are theirs."""
+    made: list[Scratch] = []
+    token = _owner.set(made)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+        for s in made:
+            s.clear()
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage: lost executors lose none of them.
 
-    What an operator returns may still read its tables, so it clears only those that
-    nothing reads; a caller that has written the result clears the rest with clear_since.
+    What an operator returns may still read its tables, so it drops only those that
+    nothing reads; who writes the result does so inside owned(), which deletes the rest.
     """
 
-    made: list["Scratch"] = []
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", 0
-        Scratch.made.append(self)
-
-    @classmethod
-    def clear_since(cls, mark: int) -> None:
-        """Deletes the tables of all that were made after the first mark ones."""
-        for s in cls.made[mark:]:
-            s.clear()
-        del cls.made[mark:]
+        if (made := _owner.get()) is not None:
+            made.append(self)
 
     def clear(self) -> None:
         """Deletes all its tables."""
