@@ -15,7 +15,7 @@ from surgeline.llm.jaccard import jaccard_components
 from surgeline.llm.packing import pack
 from surgeline.llm.pii import redact
 from surgeline.llm.quality_rules import kept_rows, quality_rules
-from surgeline.llm.shared import Scratch, maybe_broadcast
+from surgeline.llm.shared import Scratch, maybe_broadcast, owned
 
 
 def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -103,9 +103,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        mark = len(Scratch.made)
-        done = scratch.table(stage(spark, docs, sf_dir))
-        Scratch.clear_since(mark)
+        with owned():
+            done = scratch.table(stage(spark, docs, sf_dir))
         if k:
             scratch.drop(docs)
         docs = done
