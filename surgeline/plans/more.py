@@ -18,7 +18,7 @@ from surgeline.operators import stress as ST
 from surgeline.operators import study as E
 from surgeline.params import HORIZONS, RELAXED, THRESHOLDS, TiltParams
 from surgeline.plans.oracle import TABLES, r, sql
-from surgeline.plans.queries import DRAWS, ORACLE_SQL, QUERIES, _bench, _bonds, _comp, _daily, _greedy, _level, _lines, _study, _tilts, query, rounded
+from surgeline.plans.queries import DRAWS, ORACLE_SQL, QUERIES, _bench, _bonds, _comp, _daily, _greedy, _level, _lines, _study, _tilts, kept, query, released, rounded
 from surgeline.sources import panel as D
 from surgeline.sources import store as ST_
 
@@ -73,9 +73,9 @@ def _modes(spark, d):
     """(comp, bench, bonds) of the days that count, for both modes of scale; universe names the mode."""
     lines = RP.scaled(_lines(spark, d), P).withColumn("universe", F.col("mode"))
     # date-level rows, read by every part of the study
-    days = RP.counted_days(B.composite(B.detectors(lines, P), P)).persist()
+    days = kept(RP.counted_days(B.composite(B.detectors(lines, P), P)))
     holes = _bench(spark, d).where("session % 7 <> 3").select("date", "px")
-    bench = RP.carried(days, holes.join(days.select("universe", "date"), "date")).persist()
+    bench = kept(RP.carried(days, holes.join(days.select("universe", "date"), "date")))
     yields = bench.withColumn("yield_pct", 3.0 + 2.0 * F.sin(F.col("session") / 90.0))
     return days, bench, PF.constant_maturity_return(yields, ["universe"])
 
@@ -357,3 +357,6 @@ def synthetic_run(spark, d):
     daily = B.breadth(panel, sessions, P).select("session", "advances", "declines")
     means = panel.groupBy("session").agg(F.sum("volume").alias("volume"), F.round(F.avg("px"), 3).alias("mean_px"))
     return rounded(daily.join(means, "session"), "session", "advances", "declines", "volume", "mean_px")
+
+
+QUERIES.update({name: released(f) for name, f in QUERIES.items()})

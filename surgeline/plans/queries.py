@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,27 @@ DRAWS = 2000
 ROTATIONS = 2000
 
 
+_kept: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, a few rows for each session, kept in memory until the next query is asked for."""
+    _kept.append(df.persist())
+    return _kept[-1]
+
+
+def released(f):
+    """f, after which nothing of earlier queries is kept. What they returned can still be read; it is made anew."""
+
+    @wraps(f)
+    def run(spark, d):
+        while _kept:
+            _kept.pop().unpersist()
+        return f(spark, d)
+
+    return run
+
+
 def query(oracle: str, **params):
     def add(f):
         QUERIES[f.__name__] = f
@@ -73,8 +95,8 @@ def _bench(spark, d):
 def _study(spark, d, horizons=HORIZONS):
     """Composite, benchmark, lagged signal and forward returns in the valid window."""
     # a row for each session: small, and read by every horizon
-    comp = E.in_window(_comp(spark, d).persist()).persist()
-    bench = _bench(spark, d).join(comp.select("universe", "session"), ["universe", "session"], "left_semi").persist()
+    comp = kept(E.in_window(kept(_comp(spark, d))))
+    bench = kept(_bench(spark, d).join(comp.select("universe", "session"), ["universe", "session"], "left_semi"))
     return comp, bench, E.lagged(comp, bench), E.forward(bench, horizons)
 
 
@@ -492,7 +514,7 @@ def era_split(spark, d):
 @query("SELECT " + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {c}_p{n}" for c, q, n in (("sharpe", 0.05, "05"), ("sharpe", 0.5, "50"), ("sharpe", 0.95, "95"), ("cagr", 0.5, "50"), ("cagr", 0.95, "95"))) + " FROM wmet", variants=_values([("V1", 0.2, 21)]))
 def rotation_null(spark, d):
     """Metrics of 2,000 rotations of the tilt; their distribution is the null."""
-    rows = _tilts(spark, d, [("V1", 0.2, 21)]).select("session", "date", "px", "bond_ret", "tilt").persist()
+    rows = kept(_tilts(spark, d, [("V1", 0.2, 21)]).select("session", "date", "px", "bond_ret", "tilt"))
     return rounded(PF.null_points(PF.metrics(PF.backtest(PF.rotations(rows, ROTATIONS), ["draw"]), ["draw"])), "sharpe_p05", "sharpe_p50", "sharpe_p95", "cagr_p50", "cagr_p95")
 
 
@@ -630,7 +652,7 @@ _rosters = """SELECT CASE WHEN s.n = 0 THEN 'the source is empty' WHEN s.n < c.n
 
 @query(_rosters)
 def roster_validation(spark, d):
-    snaps = _members(spark, d).groupBy(F.trunc("date", "MM").cast("date").alias("snapshot_date")).agg(F.count_distinct("ticker").cast("int").alias("n_tickers")).persist()  # a row for each month
+    snaps = kept(_members(spark, d).groupBy(F.trunc("date", "MM").cast("date").alias("snapshot_date")).agg(F.count_distinct("ticker").cast("int").alias("n_tickers")))  # a row for each month
     last, first = snaps.agg(F.max("snapshot_date").alias("last")), snaps.agg(F.min("snapshot_date").alias("first"))
     named = lambda df, name: df.select(F.lit(name).alias("roster"), "snapshot_date", "n_tickers")
     fewer = snaps.join(first, F.col("snapshot_date") == F.col("first"), "left_anti")

@@ -55,3 +55,18 @@ def test_drawdowns_of_every_horizon(spark, monkeypatch):
     for k, h in HORIZONS.items():
         w = px[1 : h + 2]
         assert abs(got[k] - (w / np.maximum.accumulate(w) - 1).min()) < 1e-6
+
+
+def test_a_query_keeps_nothing_of_the_one_before(spark):
+    import __spark_entry__ as entry
+
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    d = "/root/testdata/sf0.001"
+    spark.catalog.clearCache()
+    entry.queries()["conditional_table"](spark, d).count()
+    first = held()
+    entry.queries()["last_signal"](spark, d).count()
+    entry.queries()["conditional_table"](spark, d).count()
+    assert 0 < held() <= first
+    entry.queries()["panel_cells"](spark, d).count()
+    assert held() == 0
