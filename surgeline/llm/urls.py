@@ -14,10 +14,12 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surgeline.llm.shared import Scratch
+from surgeline.llm.shared import Scratch, maybe_broadcast
 
 #: Share of a score that moves on; most turns, and the change (of all of both scores) under which they end.
 DAMPING, TURNS, STILL = 0.85, 40, 0.03
+#: Edges of a host or place that go to one task.
+EDGES = 100_000
 #: A host is blocked whose distrust is at least this share of its trust and distrust together.
 THRESHOLD = 0.55
 
@@ -60,18 +62,23 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
-    """seeds (host, good, bad) to (host, trust, distrust) over edges (src, dst, w): seeds are scaled to sum to 1, and turns end when both scores stand still."""
-    flow = []
-    for ahead, src, dst in ((True, "src", "dst"), (False, "dst", "src")):
-        total = scratch.table(edges.groupBy(src).agg(F.sum("w").alias("total")))
-        flow.append(edges.join(total, src).select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("w") / F.col("total") * DAMPING).alias("p"), F.lit(ahead).alias("ahead")))
-    flow = scratch.table(flow[0].union(flow[1]))
+    """seeds (host, good, bad) to (host, trust, distrust) over edges (src, dst, w): seeds are scaled to sum to 1, and turns end when arcs scores stand still."""
+    arcs = edges.select("src", "dst", "w", F.lit(True).alias("ahead")).union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", F.lit(False)))
+    totals = scratch.table(arcs.groupBy("src", "ahead").agg(F.sum("w").alias("total"), F.count("*").alias("edges")))
+    # a place that very many hosts name has its edges dealt out in parts, and its scores go to each of them
+    hot = scratch.table(totals.groupBy("src").agg(F.ceil(F.max("edges") / EDGES).cast("int").alias("parts")).where("parts > 1"))
+    some = maybe_broadcast(hot, 200_000)
+    part = lambda: F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    arcs = arcs.join(some, "src", "left").select("src", "dst", "w", "ahead", part())
+    totals = totals.join(some, "src", "left").select("src", "ahead", "total", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    flow = scratch.table(arcs.join(totals, ["src", "part", "ahead"]).select("src", "part", "dst", (F.col("w") / F.col("total") * DAMPING).alias("p"), "ahead"))
     good, bad = seeds.agg(F.sum("good"), F.sum("bad")).first()
     start = scratch.table(seeds.select("host", (F.col("good") / (good or 1.0)).alias("good"), (F.col("bad") / (bad or 1.0)).alias("bad")))
     restart = start.select("host", *[(F.col(c) * (1 - DAMPING)).alias(c) for c in ("good", "bad")])
     now = start
     for _ in range(TURNS):
-        moved = flow.join(now, flow.src == now.host).select(F.col("dst").alias("host"), F.when(F.col("ahead"), F.col("good") * F.col("p")).otherwise(0.0).alias("good"), F.when(F.col("ahead"), 0.0).otherwise(F.col("bad") * F.col("p")).alias("bad"))
+        spread = now.join(some, F.col("host") == F.col("src"), "left").select(F.col("host").alias("src"), "good", "bad", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        moved = flow.join(spread, ["src", "part"]).select(F.col("dst").alias("host"), F.when(F.col("ahead"), F.col("good") * F.col("p")).otherwise(0.0).alias("good"), F.when(F.col("ahead"), 0.0).otherwise(F.col("bad") * F.col("p")).alias("bad"))
         after = scratch.table(moved.union(restart).groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
         both = after.select("host", "good", "bad").union(now.select("host", -F.col("good"), -F.col("bad"))).groupBy("host").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
         change = both.agg(F.sum(F.abs("g") + F.abs("b"))).first()[0] or 0.0

@@ -71,3 +71,16 @@ def test_long_pages(spark):
     rows = [(1, "http://a.org/" + "x" * 100_000, "<a href='http://b.net/'> word " * 50_000), (2, "http://b.net/es/", None)]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
     assert len(got[1].path) == 100_001 and got[1].verdict == "block"
+
+
+def test_edges_of_hot_places_are_dealt_out(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(i, f"http://s{i}.org/", "<a href=/style.css>" + "".join(f"<a href='http://s{r.randrange(60)}.org/'>" for _ in range(3))) for i in range(60)]
+    rows += [(100 + i, f"http://b{i}.net/es/1", "<a href=/style.css>") for i in range(3)] + [(200, "http://g.com/", "<a href='http://s1.org/'>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    take = lambda: {x.page_id: (x.verdict, x.trust, x.distrust) for x in urls.judge(df, RULES).collect()}
+    whole = take()
+    monkeypatch.setattr(urls, "EDGES", 5)
+    parts = take()
+    assert whole.keys() == parts.keys() and any(d > 0 for _, _, d in whole.values())
+    assert all(whole[k][0] == parts[k][0] and abs(whole[k][1] - parts[k][1]) + abs(whole[k][2] - parts[k][2]) < 1e-12 for k in whole)
