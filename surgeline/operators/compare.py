@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surgeline.functions.chains import cut, islands
+from surgeline.functions.percentiles import percentiles
 from surgeline.functions.series import by, edges, ema, rolling_sum
 from surgeline.params import ThrustParams
 
@@ -15,11 +16,12 @@ def pair_stats(a: DataFrame, b: DataFrame, least: int = 250) -> DataFrame:
     w = Window.partitionBy("key").orderBy("date")
     j = a.select("key", "date", F.col("value").alias("x")).join(b.select("key", "date", F.col("value").alias("y")), ["key", "date"]).na.drop()
     j = j.select("*", (F.col("x") - F.lag("x").over(w)).alias("dx"), (F.col("y") - F.lag("y").over(w)).alias("dy"))
-    enough = lambda c: F.when(F.count("*") >= least, c)
-    return j.groupBy("key").agg(
-        F.count("*").alias("n"), enough(F.corr("x", "y")).alias("corr_level"), enough(F.corr("dx", "dy")).alias("corr_change"), enough(F.median(F.col("x") - F.col("y"))).alias("median_diff"),
-        enough(F.percentile(F.abs(F.col("x") - F.col("y")), F.lit(0.95))).alias("p95_abs_diff"), enough(F.median(F.abs("y")) / F.nullif(F.median(F.abs("x")), F.lit(0.0))).alias("scale_ratio"),
-    )
+    j = cut(j.select("*", (F.col("x") - F.col("y")).alias("diff"), F.abs(F.col("x") - F.col("y")).alias("gap"), F.abs("x").alias("ax"), F.abs("y").alias("ay")))
+    enough = lambda c: F.when(F.col("n") >= least, c)
+    sums = j.groupBy("key").agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr_level"), F.corr("dx", "dy").alias("corr_change"))
+    points = percentiles(j, ["key"], {"median_diff": ("diff", 0.5), "p95_abs_diff": ("gap", 0.95), "mx": ("ax", 0.5), "my": ("ay", 0.5)})
+    out = sums.join(points, "key")
+    return out.select("key", "n", *[enough(F.col(c)).alias(c) for c in ("corr_level", "corr_change", "median_diff", "p95_abs_diff")], enough(F.col("my") / F.nullif(F.col("mx"), F.lit(0.0))).alias("scale_ratio"))
 
 
 def in_units(series: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surgeline.functions.chains import cut, islands, reached, successors
+from surgeline.functions.percentiles import percentiles
 from surgeline.functions.series import by, running
 
 
@@ -67,7 +68,8 @@ def declustered(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
 def quartile_events(frame: DataFrame, gap: int = 21) -> DataFrame:
     """(universe, kind, session): falls under the first quartile and rises over the third of the whole sample, greedily thinned."""
     w = by("universe")
-    q = frame.groupBy("universe").agg(F.percentile("level", F.lit(0.25)).alias("lo"), F.percentile("level", F.lit(0.75)).alias("hi"))
+    frame = cut(frame.select("universe", "session", "level"))
+    q = percentiles(frame, ["universe"], {"lo": ("level", 0.25), "hi": ("level", 0.75)})
     rows = frame.select("universe", "session", "level", F.lag("level").over(w).alias("before")).join(q, "universe")
     down, up = (F.col("level") < F.col("lo")) & (F.col("lo") <= F.col("before")), (F.col("level") > F.col("hi")) & (F.col("hi") >= F.col("before"))
     events = rows.select("universe", F.explode(F.filter(F.array(F.when(down, "washout_entry"), F.when(up, "strength_entry")), lambda k: k.isNotNull())).alias("kind"), F.col("session").alias("i"))
