@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from surgeline.operators import stress as ST
 from surgeline.operators import study as E
 from surgeline.params import HORIZONS, RELAXED, THRESHOLDS, TiltParams
 from surgeline.plans.oracle import TABLES, r, sql
-from surgeline.plans.queries import DRAWS, ORACLE_SQL, QUERIES, _bench, _bonds, _comp, _daily, _greedy, _level, _lines, _study, _tilts, kept, query, released, rounded
+from surgeline.plans.queries import DRAWS, ORACLE_SQL, QUERIES, _bench, _bonds, _comp, _daily, _greedy, _level, _lines, _panel, _study, _tilts, kept, query, released, rounded
 from surgeline.sources import panel as D
 from surgeline.sources import store as ST_
 
@@ -95,11 +96,29 @@ def study_universe(spark, d):
     return rounded(_replicated(spark, d), *_CELL)
 
 
-@query(f"SELECT CASE WHEN replicates THEN 'ALL' ELSE '' END AS replicated_in, CASE WHEN replicates THEN 'REPLICATED' ELSE 'NOT REPLICATED' END AS verdict FROM ({_study_sql('z', 'sized')})", draws=DRAWS, variants=_BOTH)
+#: Universes of the gate: tickers by the remainder of 3; so few that a day with 5 of them counts.
+_PARTS, FEW = range(3), replace(P, min_valid=5)
+_WHOLE = ["cal", "panel", "wide", "daily", "base", "ema", "ln", "det0", "bench", "hbench", "zdet0", *["z" + n for n in (*_CHAIN, "cw", "bw", "cond", *_BACK)]]
+for _u in _PARTS:
+    TABLES[f"u{_u}cells"] = f"SELECT * FROM cells WHERE ticker % {len(_PARTS)} = {_u}"
+    clone(f"u{_u}", [n for n in TABLES if n in _WHOLE], {"cells": f"u{_u}cells"})
+    for _t in _WHOLE:
+        TABLES[f"u{_u}{_t}"] = re.sub(rf"(valid_count (?:>=|<)) {P.min_valid}\b", rf"\1 {FEW.min_valid}", TABLES[f"u{_u}{_t}"])
+_each = " UNION ALL ".join(f"SELECT '{u}' AS universe, replicates FROM ({_study_sql(f'u{u}z', 'sized')})" for u in _PARTS)
+
+
+@query(f"SELECT coalesce(string_agg(universe, ',' ORDER BY universe) FILTER (replicates), '') AS replicated_in, CASE WHEN bool_or(replicates) THEN 'REPLICATED' ELSE 'NOT REPLICATED' END AS verdict FROM ({_each})", draws=DRAWS, variants=_BOTH)
 def replication_gate(spark, d):
-    days, bench, _ = _modes(spark, d)
-    cells = RP.cell(days, bench, 3, ("1m", HORIZONS["1m"]), DRAWS).select(F.lit("ALL").alias("universe"), F.col("universe").alias("mode"), "replicates")
-    return RP.gate(cells).select(F.array_join("replicated_in", ",").alias("replicated_in"), "verdict")
+    """Three universes, each with its own calendar, benchmark and scale, in one job."""
+    panel, sessions = _panel(spark, d, universe=f"s_nationkey % {len(_PARTS)}")
+    lines = RP.scaled(B.lines(B.breadth(panel, sessions, FEW), FEW), FEW)
+    days = kept(RP.counted_days(B.composite(B.detectors(lines.withColumn("universe", F.concat_ws("/", "universe", "mode")), FEW), FEW)))
+    of = F.substring_index("universe", "/", 1)
+    holes = D.benchmark(panel).where("session % 7 <> 3").select(F.col("universe").alias("of"), "date", "px")
+    bench = kept(RP.carried(days, holes.join(days.select("universe", "date", of.alias("of")), ["of", "date"])))
+    cells = RP.cell(days, bench, 3, ("1m", HORIZONS["1m"]), DRAWS)
+    gate = RP.gate(cells.select(of.alias("universe"), F.substring_index("universe", "/", -1).alias("mode"), "replicates"))
+    return gate.select(F.array_join("replicated_in", ",").alias("replicated_in"), "verdict")
 
 
 @query("SELECT CAST(session AS BIGINT) AS session, date, CAST(n_dimensions AS BIGINT) AS n_dimensions FROM ycw")
