@@ -261,6 +261,36 @@ def _bases(spark, d):
     return c.withColumn("basis", F.lit("TOTALRETURN")).union(c.withColumn("close", F.col("close") - 1).withColumn("basis", F.lit("NONE")))
 
 
+@query("SELECT CAST(ticker AS VARCHAR) AS symbol, 'NONE' AS basis, date, CAST(px - 1 AS DOUBLE) AS close, volume, 'first' AS source_stamp FROM cells UNION ALL SELECT CAST(ticker AS VARCHAR), 'TOTALRETURN', date, CAST(px + 7 AS DOUBLE), volume, 'second' FROM cells WHERE ticker % 2 = 0")
+def series_store(spark, d):
+    """A store of two bases, of which one is replaced whole by a later delivery with fewer symbols."""
+    path, rows = place(spark, "series"), _bases(spark, d).select("basis", "symbol", "date", "close", "volume")
+    ST_.write_series(rows, path, "first")
+    ST_.write_series(rows.where("basis = 'TOTALRETURN' and symbol % 2 = 0").withColumn("close", F.col("close") + 7), path, "second")
+    return ST_.read_series(spark, path).select("symbol", "basis", "date", "close", "volume", "source_stamp")
+
+
+@query("SELECT CAST(date_trunc('month', date) AS DATE) AS snapshot_date, CAST(ticker AS VARCHAR) AS ticker FROM cells GROUP BY 1, 2")
+def snapshots_json(spark, d):
+    """Membership snapshots, each month's tickers, as their JSON is written and read back."""
+    months = D.cells(spark, d).groupBy(F.trunc("date", "MM").cast("date").cast("string").alias("day")).agg(F.collect_set(F.col("ticker").cast("string")).alias("tickers"))
+    path = place(spark, "snapshots")
+    months.select(F.create_map("day", F.struct("tickers")).alias("snapshots")).write.json(path)
+    return D.read_snapshots(spark, path, lines=True).select("snapshot_date", "ticker")
+
+
+@query("SELECT CAST(ticker % 3 AS VARCHAR) AS universe, count(*) AS cells, count(DISTINCT ticker) AS tickers FROM cells WHERE ticker % 3 < 2 GROUP BY 1 UNION ALL SELECT '2', 0, 0")
+def merged_document(spark, d):
+    """Results by universe, put into one document one after another; a later one replaces its universe's alone."""
+    path = place(spark, "results")
+    sums = D.cells(spark, d).groupBy((F.col("ticker") % 3).cast("string").alias("universe")).agg(F.count("*").alias("cells"), F.count_distinct("ticker").alias("tickers"))
+    for r in sums.collect():  # a row for each universe
+        ST_.merge_document(spark, path, r.universe, {"cells": r.cells, "tickers": r.tickers})
+    document = ST_.merge_document(spark, path, "2", {"cells": 0, "tickers": 0})
+    assert document == ST_.read_document(spark, path)
+    return spark.createDataFrame([(u, x["cells"], x["tickers"]) for u, x in document.items()], "universe string, cells long, tickers long")
+
+
 @query("SELECT date, CAST(px - 1 AS DOUBLE) AS close FROM cells WHERE ticker = 3")
 def benchmark_series(spark, d):
     """One symbol's series on the unadjusted basis: a benchmark, or a vendor's indicator."""

@@ -68,10 +68,10 @@ def masked(panel: DataFrame, members: DataFrame) -> DataFrame:
     return panel.join(members.select("universe", "session", "ticker"), ["universe", "session", "ticker"], "left_semi")
 
 
-def read_snapshots(spark: SparkSession, path: str, universe: str = "ALL") -> DataFrame:
-    """Membership snapshots from JSON {"snapshots": {date: {"tickers": [...]}}}."""
+def read_snapshots(spark: SparkSession, path: str, universe: str = "ALL", lines: bool = False) -> DataFrame:
+    """Membership snapshots from JSON {"snapshots": {date: {"tickers": [...]}}}. lines: a document on each line, rather than one in each file."""
     schema = "snapshots map<string, struct<tickers: array<string>>>"
-    days = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("snapshots"))
+    days = spark.read.schema(schema).option("multiLine", not lines).json(path).select(F.explode("snapshots"))
     return days.select(F.lit(universe).alias("universe"), F.to_date("key").alias("snapshot_date"), F.explode("value.tickers").alias("ticker"))
 
 

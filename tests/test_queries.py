@@ -10,6 +10,7 @@ D = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = ["panel_filled", "upsert_merge", "membership_masked_breadth", "breadth_counts", "composite_score", "conditional_table", "lift_table", "quartile_events", "anchor_match", "backtest_equity", "variant_grid", "pair_stats", "edge_compare", "edge_summary", "roster_validation", "payload_guard", "session_lag", "event_match_5", "one_sided_events", "rotation_null", "forward_max_drawdown", "last_signal"]
 NAMES += ["reference_curves", "era_deltas", "silent_period", "bond_proxy_check", "formation_gauges", "last_signal_path", "filed_record", "benchmark_filled", "joint_frame", "symbol_sets", "readiness_rules", "roster_sync", "raw_count_lines", "zweig_tolerance", "stamp_age_days", "synthetic_run"]
+NAMES += ["panel_cache", "series_pull", "series_store", "snapshots_json", "merged_document", "cluster_count", "decision_rule", "bootstrap_slope", "replication_gate", "zweig_ema10", "h2_level_contrast"]
 
 
 def rows(df):
