@@ -137,7 +137,7 @@ def upsert_merge(spark, d):
     return read_parts(spark, path).select("ticker", "date", "px")
 
 
-@query("SELECT CAST(l_suppkey AS VARCHAR) AS symbol, basis, CASE WHEN l_suppkey % 17 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS date, CASE WHEN l_suppkey % 17 <> 0 THEN CAST(sum(l_quantity) AS DOUBLE) * CASE WHEN basis = 'NONE' THEN 1 ELSE 2 END END AS close, CASE WHEN l_suppkey % 17 <> 0 THEN count(*) END AS volume, CASE WHEN l_suppkey % 17 = 0 THEN 'no answer for ' || l_suppkey END AS failure FROM lineitem CROSS JOIN (VALUES ('NONE'), ('TOTALRETURN')) AS v(basis) GROUP BY l_suppkey, basis, 3")
+@query("SELECT CAST(l_suppkey AS VARCHAR) AS symbol, basis, CASE WHEN l_suppkey % 17 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS date, CASE WHEN l_suppkey % 17 <> 0 THEN CAST(sum(l_quantity) AS DOUBLE) * CASE WHEN basis = 'NONE' THEN 1 ELSE 2 END END AS close, CASE WHEN l_suppkey % 17 <> 0 THEN count(*) ELSE 0 END AS volume, CASE WHEN l_suppkey % 17 = 0 THEN 'no answer for ' || l_suppkey ELSE '' END AS failure FROM lineitem CROSS JOIN (VALUES ('NONE'), ('TOTALRETURN')) AS v(basis) GROUP BY l_suppkey, basis, 3")
 def series_pull(spark, d):
     """Series of every supplier's shipments, fetched from the table by tasks as from a vendor; some symbols fail."""
     symbols = [str(r[0]) for r in D.table(spark, d, "lineitem").select("l_suppkey").distinct().collect()]
@@ -155,7 +155,7 @@ def series_pull(spark, d):
             if int(s) % 17 == 0:
                 yield s, OSError(f"no answer for {s}")
 
-    return pull(spark, symbols, ["NONE", "TOTALRETURN"], source).select("symbol", "basis", "date", "close", "volume", "failure")
+    return pull(spark, symbols, ["NONE", "TOTALRETURN"], source).select("symbol", "basis", "date", "close", F.coalesce("volume", F.lit(0)).cast("long").alias("volume"), F.coalesce("failure", F.lit("")).alias("failure"))
 
 
 @query("SELECT ticker, max(date) AS last FROM cells GROUP BY ticker HAVING max(date) < DATE '2001-11-04'")
@@ -535,7 +535,8 @@ def episode_starts(spark, d):
 def event_match_5(spark, d):
     """Greedy matches within 5 hours, and what has none."""
     _, a, b = _sides(spark, d, 4)
-    return C.match_events(a, b)
+    kind = F.when(F.col("b").isNull(), "a").when(F.col("a").isNull(), "b").otherwise("both")
+    return C.match_events(a, b).select("key", kind.alias("kind"), F.coalesce("a", "b").alias("session"), F.coalesce(F.col("b") - F.col("a"), F.lit(0)).cast("long").alias("apart"))
 
 
 def one_sided_events(spark, d):
@@ -562,7 +563,7 @@ def _matching(shift: int, rest: str) -> str:
     n0 AS MATERIALIZED (SELECT key, ub AS a, a AS b FROM left_), {steps("n", "a", "b")}, {done("n", "a")} {rest}"""
 
 
-ORACLE_SQL["event_match_5"] = _matching(4, "SELECT key, CAST(split_part(p, ':', 1) AS BIGINT) AS a, CAST(split_part(p, ':', 2) AS BIGINT) AS b FROM (SELECT key, unnest(pairs) AS p FROM left_) UNION ALL SELECT key, CAST(unnest(ua) AS BIGINT), NULL FROM left_ UNION ALL SELECT key, NULL, CAST(unnest(ub) AS BIGINT) FROM left_")
+ORACLE_SQL["event_match_5"] = _matching(4, "SELECT key, 'both' AS kind, CAST(split_part(p, ':', 1) AS BIGINT) AS session, CAST(split_part(p, ':', 2) AS BIGINT) - CAST(split_part(p, ':', 1) AS BIGINT) AS apart FROM (SELECT key, unnest(pairs) AS p FROM left_) UNION ALL SELECT key, 'a', CAST(unnest(ua) AS BIGINT), 0 FROM left_ UNION ALL SELECT key, 'b', CAST(unnest(ub) AS BIGINT), 0 FROM left_")
 _ends = sql("SELECT key, max(session) AS last FROM hours GROUP BY 1")
 ORACLE_SQL["one_sided_events"] = _matching(7, f"SELECT o.key, o.side, CAST(o.session AS BIGINT) AS session, z.last - o.session <= 5 AS pending FROM (SELECT key, 'self' AS side, unnest(ua) AS session FROM left_ UNION ALL SELECT n.key, 'vendor', unnest(list_filter(n.a, lambda x: NOT list_contains(n.hit, x))) FROM nd n) o JOIN ({_ends}) z ON z.key = o.key")
 
