@@ -175,7 +175,7 @@ def places(text: str, automaton, without=frozenset()):
     """(pattern, start, end, value, seed) of whatever fills the place of an automaton's patterns, but for those without."""
     low = lower(text)
     known = None
-    for last, pattern in automaton.iter(low):
+    for last, pattern in automaton.iter(low) if len(automaton) else ():  # one without patterns can't be asked
         at = last + 1 - len(pattern)
         if pattern in without or at and (low[at - 1].isalnum() or low[at - 1] == "_"):
             continue

@@ -148,3 +148,37 @@ def test_pure_patterns_match_plain_counts(spark):
     for parts in (1, 40):
         df = spark.createDataFrame(rows, "pattern string, value string, seed boolean").repartition(parts)
         assert {x[0] for x in pii.pure_patterns(df).collect()} == want
+
+
+def documents(path, texts):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}), path / "documents.parquet")
+    return str(path)
+
+
+def test_query_counts_each_kind(spark, tmp_path):
+    """Several entities of a kind in a text, in any order; counts and digest are those of the plain patterns."""
+    import hashlib
+
+    from surgeline.llm.queries import op9_bootstrapped_context
+
+    r = random.Random(5)
+    parts = ["a@b.c", "x@y.z", "1.2.3.4", "10.0.0.7", "4111 1111 1111 1111", "+1 (017) 555-7713", "+4420 7946 0958", "word"]
+    texts = ["a@b.c", "a@b.c x@y.z a@b.c", "+1 (017) 555-7713 and 1.2.3.4", None, ""] + [" , ".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(60)]
+    want = {}
+    for i, text in enumerate(texts):
+        found = brute(text)
+        digest = hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in found).encode()).hexdigest()
+        want[i] = (*[sum(e[1] == k for e in found) for k in range(4)], digest)
+    got = op9_bootstrapped_context(spark, documents(tmp_path, texts)).collect()
+    assert len(got) == len(texts) and {x.doc_id: (x.n_email, x.n_ip, x.n_card, x.n_phone, x.base_sha256) for x in got} == want
+
+
+def test_patterns_whose_places_are_never_filled(spark, tmp_path):
+    """An e-mail that begins with a symbol fills no pattern's place, so no pattern may be left to look for."""
+    from surgeline.llm.queries import op9_bootstrapped_context
+
+    got = op9_bootstrapped_context(spark, documents(tmp_path, [f"mail me %a{i}@b.c" for i in range(9)])).collect()
+    assert [(x.n_email, x.spans) for x in got] == [(1, "email:8:15")] * 9
