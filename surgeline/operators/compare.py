@@ -152,9 +152,14 @@ def count_lines(counts: DataFrame, p: ThrustParams) -> DataFrame:
     return df.withColumn("deemer_ratio", ratio).withColumn("deemer", F.coalesce(F.col("deemer_ratio") > p.deemer_ratio, F.lit(False)))
 
 
-def apart(a: DataFrame, b: DataFrame, tolerance: float, n: int) -> DataFrame:
-    """a, b (key, date, value): dates among the last n on which both have a value, and the values lie more than tolerance apart: (key, date, diff)."""
+def all_apart(a: DataFrame, b: DataFrame, tolerance: float, n: int) -> DataFrame:
+    """a, b (key, date, value): every date on which both have a value, and the values lie more than tolerance apart: (key, date, diff, recent). recent: the date is among the last n on which both have one."""
     j = a.select("key", "date", F.col("value").alias("x")).join(b.select("key", "date", F.col("value").alias("y")), ["key", "date"]).na.drop()
     w = Window.partitionBy("key").orderBy(F.desc("date"))
     diff = F.abs(F.col("x") - F.col("y"))
-    return j.withColumn("k", F.row_number().over(w)).where((F.col("k") <= n) & (diff > tolerance)).select("key", "date", diff.alias("diff"))
+    return j.withColumn("recent", F.row_number().over(w) <= n).where(diff > tolerance).select("key", "date", diff.alias("diff"), "recent")
+
+
+def apart(a: DataFrame, b: DataFrame, tolerance: float, n: int) -> DataFrame:
+    """The recent ones of all_apart: (key, date, diff)."""
+    return all_apart(a, b, tolerance, n).where("recent").drop("recent")

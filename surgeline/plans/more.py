@@ -362,10 +362,11 @@ def raw_count_lines(spark, d):
     return rounded(C.count_lines(_vendor(spark, d)[1], P), "session", "zweig_line", "deemer")
 
 
-@query("SELECT date, round(abs(own - other), 6) AS diff FROM (SELECT l.date, l.zweig_line AS own, e.z AS other, row_number() OVER (ORDER BY l.date DESC) AS k FROM ln l JOIN vema e ON e.session = l.session WHERE l.zweig_line IS NOT NULL AND e.z IS NOT NULL) WHERE k <= 10 AND abs(own - other) > 0.02")
+@query("SELECT date, round(abs(own - other), 6) AS diff, k <= 10 AS recent FROM (SELECT l.date, l.zweig_line AS own, e.z AS other, row_number() OVER (ORDER BY l.date DESC) AS k FROM ln l JOIN vema e ON e.session = l.session WHERE l.zweig_line IS NOT NULL AND e.z IS NOT NULL) WHERE abs(own - other) > 0.02")
 def zweig_tolerance(spark, d):
+    """Days of the whole history on which the sources' lines are apart; those of the last ten, which the guard alerts to, are marked."""
     a, b = (C.count_lines(x, P).select(F.col("universe").alias("key"), "date", F.col("zweig_line").alias("value")) for x in _vendor(spark, d))
-    return rounded(C.apart(a, b, 0.02, 10), "date", "diff")
+    return rounded(C.all_apart(a, b, 0.02, 10), "date", "diff", "recent")
 
 
 @query("SELECT CAST(o_orderkey AS BIGINT) AS stamp, CAST(greatest(floor((date_diff('second', o_orderdate, o_orderdate + to_hours(CAST(o_orderkey % 100 AS BIGINT))) + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 8 * 3600 END) / 86400), 0) AS BIGINT) AS age FROM orders")

@@ -1,5 +1,7 @@
 """Registered queries do the whole job, on small fixtures and without SQL."""
 
+import datetime as dt
+
 import numpy as np
 
 from surgeline.operators import portfolio as PF
@@ -70,3 +72,19 @@ def test_a_query_keeps_nothing_of_the_one_before(spark):
     assert 0 < held() <= first
     entry.queries()["panel_cells"](spark, d).count()
     assert held() == 0
+
+
+def test_zweig_lines_are_compared_on_every_day(spark, monkeypatch):
+    """Two sources that differ on days 5 and 70 of 80, long before the last ten, and on day 75, among them."""
+    from surgeline.plans import more
+
+    rows = lambda odd: spark.createDataFrame([("U", i, 100 + (60 if i in odd else 0), 100) for i in range(1, 81)], "universe string, session int, advances long, declines long").selectExpr("*", "date_add(date'2020-01-01', session) as date")
+    monkeypatch.setattr(more, "_vendor", lambda *a: (rows(()), rows((5, 70, 75))))
+    own, other = (1 / 2,) * 80, [160 / 260 if i in (5, 70, 75) else 1 / 2 for i in range(1, 81)]
+    z, want = other[0], {}
+    for i in range(1, 80):
+        z += 2 / 11 * (other[i] - z)
+        if abs(z - own[i]) > 0.02:
+            want[i + 1] = (round(abs(z - own[i]), 6), i + 1 > 70)
+    got = {(r.date - dt.date(2020, 1, 1)).days: (r["diff"], r.recent) for r in more.zweig_tolerance(spark, "").collect()}
+    assert got == want and 5 in want and not want[70][1] and want[75][1]
