@@ -20,7 +20,7 @@ from surgeline.operators import study as E
 from surgeline.params import HORIZONS, RELAXED, THRESHOLDS, TiltParams
 from surgeline.plans.oracle import any_in, r, sql
 from surgeline.sources import panel as D
-from surgeline.sources.pull import pull
+from surgeline.sources.pull import BATCH, pull_batches
 from surgeline.sources.versions import merge_parts, read_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,23 +139,35 @@ def upsert_merge(spark, d):
 
 @query("SELECT CAST(l_suppkey AS VARCHAR) AS symbol, basis, CASE WHEN l_suppkey % 17 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS date, CASE WHEN l_suppkey % 17 <> 0 THEN CAST(sum(l_quantity) AS DOUBLE) * CASE WHEN basis = 'NONE' THEN 1 ELSE 2 END END AS close, CASE WHEN l_suppkey % 17 <> 0 THEN count(*) ELSE 0 END AS volume, CASE WHEN l_suppkey % 17 = 0 THEN 'no answer for ' || l_suppkey ELSE '' END AS failure FROM lineitem CROSS JOIN (VALUES ('NONE'), ('TOTALRETURN')) AS v(basis) GROUP BY l_suppkey, basis, 3")
 def series_pull(spark, d):
-    """Series of every supplier's shipments, fetched from the table by tasks as from a vendor; some symbols fail."""
-    symbols = [str(r[0]) for r in D.table(spark, d, "lineitem").select("l_suppkey").distinct().collect()]
+    """Series of every supplier's shipments, fetched by tasks as from a vendor; some symbols fail. The vendor's archive has a folder for each BATCH symbols or so, so a task reads what it asks for."""
+    lines = D.table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_shipdate").cast("date").alias("date"), "l_quantity")
+    symbols = lines.select("symbol").distinct()
+    n = max(1, -(-symbols.count() // BATCH))
+    part = (F.crc32(F.coalesce("symbol", F.lit("")).cast("binary")) % n).alias("part")
+    known = F.col("symbol").isNotNull()
+    sums = lines.groupBy(part, "symbol", "date").agg(F.when(known, F.sum("l_quantity").cast("double")).alias("close"), F.when(known, F.count("*")).alias("volume"))
+    path = place(spark, "vendor")
+    sums.repartition("part").write.partitionBy("part").parquet(path)
 
     def source(wanted, basis):
-        import pyarrow.compute as pc
-        import pyarrow.dataset as ds
-
-        keys = [int(s) for s in wanted if int(s) % 17]
-        rows = ds.dataset(f"{d}/lineitem.parquet").to_table(["l_suppkey", "l_shipdate", "l_quantity"], filter=pc.field("l_suppkey").isin(keys)).to_pandas()
-        sums = rows.assign(day=rows.l_shipdate.map(lambda x: x.date() if hasattr(x, "date") else x)).groupby(["l_suppkey", "day"]).l_quantity.agg(["sum", "count"]).reset_index()
-        for key, part in sums.groupby("l_suppkey"):
-            yield str(key), [(day, float(total) * (1 if basis == "NONE" else 2), int(many)) for _, day, total, many in part.itertuples(index=False)]
-        for s in wanted:
-            if int(s) % 17 == 0:
-                yield s, OSError(f"no answer for {s}")
+        import zlib
 
-    return pull(spark, symbols, ["NONE", "TOTALRETURN"], source).select("symbol", "basis", "date", "close", F.coalesce("volume", F.lit(0)).cast("long").alias("volume"), F.coalesce("failure", F.lit("")).alias("failure"))
+        import pyarrow.dataset as ds
+        from pyarrow.fs import FileSystem
+
+        fs, root = FileSystem.from_uri(path)
+        series = {s: [] for s in wanted}
+        for p in {zlib.crc32((s or "").encode()) % n for s in wanted}:
+            rows = ds.dataset(f"{root}/part={p}", filesystem=fs, format="parquet").to_table(["symbol", "date", "close", "volume"])
+            for s, day, close, volume in zip(*(c.to_pylist() for c in rows.columns)):
+                if s in series:
+                    series[s].append((day, close if basis == "NONE" or close is None else 2 * close, volume))
+        for s, rows in series.items():
+            yield s, OSError(f"no answer for {s}") if s is not None and int(s) % 17 == 0 else rows
+
+    # a list of structs keeps a null symbol
+    asked = symbols.groupBy(part).agg(F.sort_array(F.collect_list(F.struct("symbol"))).alias("s")).select(F.explode(F.array(F.lit("NONE"), F.lit("TOTALRETURN"))).alias("basis"), F.col("s.symbol").alias("symbols"))
+    return pull_batches(asked.repartition(2 * n), source).select("symbol", "basis", "date", "close", F.coalesce("volume", F.lit(0)).cast("long").alias("volume"), F.coalesce("failure", F.lit("")).alias("failure"))
 
 
 @query("SELECT ticker, max(date) AS last FROM cells GROUP BY ticker HAVING max(date) < DATE '2001-11-04'")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Symbols that a task asks for at a time.
 BATCH = 40
 SCHEMA = "basis string, symbol string, date date, close double, volume long, failure string"
+#: Rows that a task hands on at a time.
+ROWS = 10_000
 
 
 def one_by_one(fetch: Callable[[str, str], Iterable[tuple]]):
@@ -25,47 +27,49 @@ def one_by_one(fetch: Callable[[str, str], Iterable[tuple]]):
 
 
 def pull(spark: SparkSession, symbols: list[str], bases: list[str], source: Callable[[list[str], str], Iterable[tuple]], batch: int = BATCH) -> DataFrame:
-    """Every symbol on every basis: rows (basis, symbol, date, close, volume), and for what failed one with the failure and nothing else.
+    """Every symbol on every basis, as pull_batches gives it. A partition is a batch."""
+    asked = [(b, symbols[i : i + batch]) for b in bases for i in range(0, len(symbols), batch)]
+    rows = spark.sparkContext.parallelize(asked, max(1, len(asked)))  # a task is sent its own batch, and no other
+    return pull_batches(spark.createDataFrame(rows, "basis string, symbols array<string>"), source, batch)
 
-    source(symbols, basis) gives pairs of a symbol and its rows (date, close, volume), or an
-    exception. A symbol without rows failed as empty; where source itself fails, so did all
-    symbols of the batch that it had not given. A partition is a batch, and it is fetched again if its task is lost.
-    """
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-    asked = [(b, symbols[i : i + batch]) for b in bases for i in range(0, len(symbols), batch)]
+def pull_batches(asked: DataFrame, source: Callable[[list[str], str], Iterable[tuple]], batch: int = BATCH) -> DataFrame:
+    """asked (basis, symbols): rows (basis, symbol, date, close, volume), and for what failed one with the failure and nothing else.
 
-    class Reader(DataSourceReader):
-        def partitions(self):
-            return [InputPartition(x) for x in asked]
+    source(symbols, basis) gives pairs of a symbol and its rows (date, close, volume), or an
+    exception; it is asked for batch symbols at most. A symbol without rows failed as empty;
+    where source itself fails, so did all symbols of the batch that it had not given. What a
+    lost task asked for is fetched again.
+    """
 
-        def read(self, partition):
-            basis, wanted = partition.value if partition else (None, [])  # where nothing is asked for, Spark reads no partition in particular
-            waiting, why = dict.fromkeys(wanted), "empty"
-            try:
-                for symbol, rows in source(list(wanted), basis):
-                    if symbol in waiting and (isinstance(rows, Exception) or rows):
-                        del waiting[symbol]
-                        if isinstance(rows, Exception):
-                            yield basis, symbol, None, None, None, str(rows)
-                        else:
-                            for date, close, volume in rows:
-                                yield basis, symbol, date, close, volume, None
-            except Exception as e:  # noqa: BLE001
-                why = str(e)
-            for symbol in waiting:
-                yield basis, symbol, None, None, None, why
-
-    class Pulled(DataSource):
-        @classmethod
-        def name(cls):
-            return "pulled_series"
-
-        def schema(self):
-            return SCHEMA
-
-        def reader(self, schema):
-            return Reader()
-
-    spark.dataSource.register(Pulled)
-    return spark.read.format("pulled_series").load()
+    def fetched(basis, wanted):
+        waiting, why = dict.fromkeys(wanted), "empty"
+        try:
+            for symbol, rows in source(list(wanted), basis):
+                if symbol in waiting and (isinstance(rows, Exception) or rows):
+                    del waiting[symbol]
+                    if isinstance(rows, Exception):
+                        yield basis, symbol, None, None, None, str(rows)
+                    else:
+                        for date, close, volume in rows:
+                            yield basis, symbol, date, close, volume, None
+        except Exception as e:  # noqa: BLE001
+            why = str(e)
+        for symbol in waiting:
+            yield basis, symbol, None, None, None, why
+
+    def run(batches):
+        from itertools import islice
+
+        import pyarrow as pa
+
+        names = ["basis", "symbol", "date", "close", "volume", "failure"]
+        kinds = [pa.string(), pa.string(), pa.date32(), pa.float64(), pa.int64(), pa.string()]
+        for x in batches:
+            for basis, symbols in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
+                for i in range(0, len(symbols), batch):
+                    rows = fetched(basis, symbols[i : i + batch])
+                    while some := list(islice(rows, ROWS)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names)
+
+    return asked.mapInArrow(run, SCHEMA)

@@ -88,3 +88,31 @@ def test_zweig_lines_are_compared_on_every_day(spark, monkeypatch):
             want[i + 1] = (round(abs(z - own[i]), 6), i + 1 > 70)
     got = {(r.date - dt.date(2020, 1, 1)).days: (r["diff"], r.recent) for r in more.zweig_tolerance(spark, "").collect()}
     assert got == want and 5 in want and not want[70][1] and want[75][1]
+
+
+def test_a_pull_of_every_series_reads_the_archive_once_for_each_basis(spark, tmp_path, monkeypatch):
+    """Tables of two sizes, with nulls in every column: batches together read a row for each basis and row of the archive, however many suppliers there are, and give what the SQL does."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.dataset as ds
+    import pyarrow.parquet as pq
+
+    plain, whole, kept = ds.dataset, Q.pull_batches, []
+    monkeypatch.setattr(Q, "pull_batches", lambda asked, source: kept.append((asked, source)) or whole(asked, source))
+    for n in (50, 400):
+        rows = [(None if k == 1 else 7 * k, None if j == 2 and k % 5 == 0 else dt.datetime(2020, 1, 1 + j), None if k == 3 else float(j + k)) for k in range(n) for j in (0, 1, 1, 2)]
+        d = tmp_path / str(n)
+        d.mkdir()
+        kinds = {"l_suppkey": pa.int64(), "l_shipdate": pa.timestamp("us"), "l_quantity": pa.float64()}
+        pq.write_table(pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds)), d / "lineitem.parquet")
+        got = sorted((tuple(r) for r in Q.series_pull(spark, str(d)).collect()), key=repr)
+        c = duckdb.connect()
+        c.execute(f"create view lineitem as select * from '{d}/lineitem.parquet'")
+        assert got == sorted(c.execute(f"select symbol, basis, date, close, volume, failure from ({Q.ORACLE_SQL['series_pull']})").fetchall(), key=repr)
+        asked, source = kept.pop()
+        read = []
+        monkeypatch.setattr(ds, "dataset", lambda *a, **k: read.append(plain(*a, **k).count_rows()) or plain(*a, **k))
+        for r in asked.collect():
+            list(source(r.symbols, r.basis))
+        monkeypatch.setattr(ds, "dataset", plain)
+        assert sum(read) == 2 * 3 * n
